@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fm_index, simhash, substring_dedup, suffix_dedup
+from . import byte_bpe, fm_index, language_id, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup
+from .spans import count, joined
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, base = secret_scan.scan(documents(spark, sf_dir)), ("assign", "access", "hex")
+    spans = F.col("spans")
+    return found.select("doc_id", *(count(spans, k).alias(f"n_{k}") for k in base), F.sha2(joined(spans, base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +36,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rules = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.assess(docs.select("doc_id", "text"), rules).select("doc_id", *(F.col(f"_{k}").alias(k) for k in columns))
+
+
 def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -36,12 +50,19 @@ def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeated_bytes(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_byte_bpe, op4_simhash, op7_fm_index, op9_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_byte_bpe, op4_simhash, op5_quality_rules, op7_fm_index, op9_suffix_dedup, op10_language_id)}
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
 WITH d AS (
