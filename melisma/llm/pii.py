@@ -1,0 +1,240 @@
+"""Personal data: four fixed kinds, and further spans by weak supervision. DataFrame functions only.
+
+Candidates of the further kinds are matches of broad patterns. Three labelers vote on each: a strict pattern, a
+gazetteer (titles, given names, country and area codes) and the context before it. The votes are counted over
+the whole corpus by pattern of votes, of which there are few. Expectation-maximisation over those counts
+estimates each labeler's reliability and the share of true spans by kind; a logistic classifier over votes, kind
+and length is fitted to the posteriors and applied as a column expression.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from math import exp, log
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BASE = ("email", "ip", "card", "phone")
+ADDED = ("account", "national_id", "local_phone", "person")
+KINDS = BASE + ADDED
+
+# Possessive groups are matched in a loop, so long texts take no stack; a run of name characters or digits is tried once.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # a shorter match can't hold 12 digits, nor can its tails
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+VALID_IP = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
+
+GIVEN = ("James", "John", "Robert", "Michael", "William", "David", "Mary", "Patricia", "Linda", "Elizabeth", "Maria", "Anna", "Jean", "Pierre", "Juan", "Carlos", "Hans", "Peter", "Klaus", "Sophie", "Marie", "Carmen", "Laura", "Thomas", "Paul")
+CANDIDATES = {
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "national_id": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
+    "local_phone": r"(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9-])",
+    "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|" + "|".join(GIVEN) + r")\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?",
+}
+STRICT = {
+    "account": r"^(?:DE|FR|ES|GB|IT|NL|AT|BE|CH)[0-9]{2}",
+    "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
+    "local_phone": r"^\(?[2-9]",
+    "person": r"^(?:Mr|Mrs|Ms|Dr)\.? [A-Z][a-z]+ [A-Z]",
+}
+GAZETTEER = {
+    "account": r"^(?:DE|FR|ES|GB|IT|NL)[0-9 A-Z]{16,}$",
+    "national_id": r"^(?!123-45-6789|111-11-1111|078-05-1120)",
+    "local_phone": r"^\(?(?:2[0-9]2|21[0-9]|31[0-9]|41[0-9]|51[0-9]|61[0-9]|71[0-9]|81[0-9]|91[0-9])",
+    "person": r"(?:^|\.? )(?:" + "|".join(GIVEN) + r")\b",
+}
+CONTEXT = {
+    "account": r"(?i)(?:iban|account|konto|compte|cuenta)\W*$",
+    "national_id": r"(?i)(?:ssn|social security|id|number)\W*$",
+    "local_phone": r"(?i)(?:phone|tel|call|mobile|cell|fax)\W*$",
+    "person": r"(?i)(?:name|contact|dear|attn|signed|by|from)\W*$",
+}
+BEFORE = 24
+VOTERS = ("strict", "gazetteer", "context")
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,votes:int>>"
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def matches(text: Column, pattern: str, kind: str, keep, votes=None) -> Column:
+    """Spans (code points, end exclusive) of the leftmost non-overlapping matches for which keep(match) holds.
+
+    The texts between matches tell where they stand; they are made only where there is a match.
+    """
+    rank = KINDS.index(kind)
+
+    def placed(found: Column, gaps: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            start = state["at"] + F.length(F.get(gaps, i))
+            end = start + F.length(F.get(found, i))
+            vote = votes(F.get(found, i), F.substr(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE)))) if votes else F.lit(0)
+            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), vote.cast("int").alias("votes"))
+            out = F.when(keep(F.get(found, i)), F.concat(state["out"], F.array(span))).otherwise(state["out"])
+            return F.struct(end.alias("at"), out.alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
+
+    none = F.array().cast(SPAN)
+    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(every, lambda found: F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps))).otherwise(none))
+
+
+def digits(match: Column) -> Column:
+    return F.regexp_replace(match, "[^0-9]+", "")
+
+
+def luhn(match: Column) -> Column:
+    """Whether 12 to 19 digits have a right check digit."""
+
+    def value(d: Column, i: Column) -> Column:
+        twice = d.cast("int") * 2
+        return F.when(i % 2 == 0, d.cast("int")).when(twice > 9, twice - 9).otherwise(twice)
+
+    total = let(F.reverse(digits(match)), lambda x: F.aggregate(F.transform(F.filter(F.split(x, ""), lambda c: c != ""), value), F.lit(0), lambda a, b: a + b))
+    n = F.length(digits(match))
+    return F.when((n >= 12) & (n <= 19), total % 10 == 0).otherwise(F.lit(False))
+
+
+def base_spans(text: Column) -> Column:
+    count = lambda m: F.length(digits(m))
+    return F.concat(
+        F.when(F.contains(text, F.lit("@")), matches(text, EMAIL, "email", lambda m: F.lit(True))).otherwise(F.array().cast(SPAN)),
+        matches(text, IP, "ip", lambda m: m.rlike(VALID_IP)),
+        matches(text, CARD, "card", luhn),
+        F.when(F.contains(text, F.lit("+")), matches(text, PHONE, "phone", lambda m: (count(m) >= 9) & (count(m) <= 15))).otherwise(F.array().cast(SPAN)),
+    )
+
+
+def candidates(text: Column) -> Column:
+    """Spans of the added kinds with their votes as three bits; overlaps with fixed kinds are not taken out here."""
+
+    def of(kind: str) -> Column:
+        def votes(match: Column, before: Column) -> Column:
+            tests = (match.rlike(STRICT[kind]), match.rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind]))
+            return sum((F.when(t, F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tests)), F.lit(0))
+
+        return matches(text, CANDIDATES[kind], kind, lambda m: F.lit(True), votes)
+
+    return F.concat(*(of(k) for k in ADDED))
+
+
+def free_of(spans: Column, taken: Column) -> Column:
+    return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """Log odds that a candidate is personal data: bias + votes + kind + length."""
+
+    bias: float
+    votes: tuple[float, ...]
+    kinds: dict[str, float]
+    long: float
+
+    def column(self, span: Column) -> Column:
+        odds = F.lit(self.bias) + F.when(span["end"] - span["start"] >= 14, F.lit(self.long)).otherwise(F.lit(0.0))
+        for i, w in enumerate(self.votes):
+            odds = odds + F.when(span["votes"].bitwiseAND(1 << i) > 0, F.lit(w)).otherwise(F.lit(0.0))
+        for kind, w in self.kinds.items():
+            odds = odds + F.when(span["kind"] == kind, F.lit(w)).otherwise(F.lit(0.0))
+        return odds > 0
+
+
+Counts = dict[tuple[str, int, bool], int]
+
+
+def posteriors(counts: Counts, rounds: int = 50) -> dict[tuple[str, int], float]:
+    """Expectation-maximisation for independent voters: the probability that a candidate of a kind with these votes is true.
+
+    Counts are smoothed by what a fair labeler would do (right 7 times of 10), so few candidates can't turn a labeler over.
+    """
+    hit, false = [0.7] * len(VOTERS), [0.3] * len(VOTERS)
+    share = dict.fromkeys(ADDED, 0.3)
+    total: dict[tuple[str, int], int] = {}
+    for (kind, votes, _), n in counts.items():
+        total[kind, votes] = total.get((kind, votes), 0) + n
+    out: dict[tuple[str, int], float] = {}
+    for _ in range(rounds):
+        for kind, votes in total:
+            odds = log(share[kind] / (1 - share[kind]))
+            for i in range(len(VOTERS)):
+                yes = votes >> i & 1
+                odds += log((hit[i] if yes else 1 - hit[i]) / (false[i] if yes else 1 - false[i]))
+            out[kind, votes] = 1 / (1 + exp(-odds))
+        for i in range(len(VOTERS)):
+            for rate, prior, weigh in ((hit, 0.7, lambda p: p), (false, 0.3, lambda p: 1 - p)):
+                yes = sum(n * weigh(out[k]) for k, n in total.items() if k[1] >> i & 1)
+                rate[i] = (yes + 20 * prior) / (sum(n * weigh(out[k]) for k, n in total.items()) + 20)
+        for kind in share:
+            mine = [(n, out[k]) for k, n in total.items() if k[0] == kind]
+            share[kind] = (sum(n * p for n, p in mine) + 3) / (sum(n for n, _ in mine) + 10)
+    return out
+
+
+def fit(counts: Counts, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Classifier:
+    """Logistic regression on the posteriors, each vote pattern weighted by the logarithm of its count."""
+    truth = posteriors(counts)
+    names = [*VOTERS, *ADDED, "long"]
+    weights, bias = dict.fromkeys(names, 0.0), 0.0
+    rows = [([*(v for i, v in enumerate(VOTERS) if votes >> i & 1), kind, *(["long"] if long else [])], truth[kind, votes], 1 + log(n)) for (kind, votes, long), n in sorted(counts.items())]
+    if not rows:  # nothing was seen: a majority of the labelers decides
+        return Classifier(-1.5, (1.0,) * len(VOTERS), dict.fromkeys(ADDED, 0.0), 0.0)
+    size = sum(w for *_, w in rows)
+    for _ in range(rounds):
+        steps, step = dict.fromkeys(names, 0.0), 0.0
+        for on, p, w in rows:
+            error = w / size * (p - 1 / (1 + exp(-bias - sum(weights[x] for x in on))))
+            step += error
+            for x in on:
+                steps[x] += error
+        bias += rate * step * 4
+        for x in names:
+            weights[x] += rate * 4 * (steps[x] - decay * weights[x])
+    return Classifier(bias, tuple(weights[v] for v in VOTERS), {k: weights[k] for k in ADDED}, weights["long"])
+
+
+def train(docs: DataFrame, text_col: str = "text") -> Classifier:
+    """Counts the votes on all candidates of docs; at most len(ADDED) * 16 rows reach the driver."""
+    text = F.col("_text")
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    found = rows.select(F.explode(candidates(text)).alias("s"))
+    counts = found.groupBy(F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes"), (F.col("s.end") - F.col("s.start") >= 14).alias("long")).agg(F.count("*").alias("n"))
+    return fit({(r["kind"], r["votes"], r["long"]): r["n"] for r in counts.collect()})
+
+
+def find(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
+    """docs, all columns, with _spans: array of (start, rank, end, kind, votes), sorted by start, then kind as in KINDS.
+
+    Code points, end exclusive. Null and empty texts have no spans. Fixed kinds may overlap each other; added ones overlap
+    no fixed span. Rows alike are treated alike.
+    """
+    rows = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = F.col("_text")
+
+    def merged(base: Column) -> Column:
+        return F.sort_array(F.concat(base, free_of(F.filter(candidates(text), model.column), base)))
+
+    return rows.select(*docs.columns, let(base_spans(text), merged).alias("_spans"))
+
+
+def redact(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of `find` with each run of overlapping spans in the text replaced by its first kind, as in [email]."""
+    text, spans = F.col(text_col), F.col("_spans")
+
+    def step(state: Column, s: Column) -> Column:
+        fresh = s["start"] >= state["at"]
+        gap = F.substr(text, state["at"] + 1, s["start"] - state["at"])
+        out = F.when(fresh, F.concat(state["out"], F.array(gap, F.concat(F.lit("["), s["kind"], F.lit("]"))))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    ends = lambda x: F.concat(F.array_join(x["out"], ""), F.substr(text, x["at"] + 1, F.length(text)))
+    clean = let(F.aggregate(spans, start, step), ends)
+    return rows.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fm_index, language_id, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup
+from . import byte_bpe, fm_index, language_id, pii, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup
 from .spans import count, joined
 
 
@@ -43,6 +43,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs.select("doc_id", "text"), rules).select("doc_id", *(F.col(f"_{k}").alias(k) for k in columns))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, spans = documents(spark, sf_dir).select("doc_id", "text"), F.col("_spans")
+    found = pii.find(docs, pii.train(docs))
+    # one projection of the spans first, so that each column below reads them instead of finding them again
+    return found.select("doc_id", "_spans").select(
+        "doc_id", *(count(spans, k).alias(f"n_{k}") for k in pii.BASE), F.sha2(joined(spans, pii.BASE), 256).alias("base_sha256"), joined(spans).alias("spans")
+    )
+
+
 def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -62,7 +71,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_byte_bpe, op4_simhash, op5_quality_rules, op7_fm_index, op9_suffix_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_byte_bpe, op4_simhash, op5_quality_rules, op6_pii, op7_fm_index, op9_suffix_dedup, op10_language_id)}
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
 WITH d AS (
