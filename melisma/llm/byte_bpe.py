@@ -124,25 +124,28 @@ def batches_of(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, lis
         yield begin, held
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), decoded (their bytes), one row per row of docs.
 
     A null text counts as empty and has no identifiers. Strings of special tokens are ordinary text. Other
-    columns are not read; rows alike each get their result. ranks_path is read on the executors, where the
+    columns are not read; rows alike each get their result; keep_text adds the text as a last column. ranks_path is read on the executors, where the
     vocabulary is installed.
     """
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(coder(ranks_path, pattern), RESULT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        coder(ranks_path, pattern, keep_text), RESULT + ", text string" * keep_text
+    )
 
 
-def coder(ranks_path: str, pattern: str):
+def coder(ranks_path: str, pattern: str, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(ranks_path, pattern)
         for batch in batches:
             for begin, texts in batches_of(batch.column("text")):
                 ids = codec.encode(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(begin, len(texts)), pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"]
-                )
+                columns = {"doc_id": batch.column("doc_id").slice(begin, len(texts)), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([codec.decode(x) for x in ids], pa.binary())}
+                if keep_text:
+                    columns["text"] = batch.column("text").slice(begin, len(texts))
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 

@@ -266,24 +266,34 @@ def merge_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def cut_words(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with the hit words of `found` cut out of its texts; other characters stay. Ids must be unique."""
-    names = docs.columns
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text") -> DataFrame:
+    """docs, all columns and rows, with the hit words and what stands between them cut out of the texts.
 
+    Null texts stay null. The benchmark's blocks are cut one after another, each in one pass without exchange.
+    """
+    for block in phrase_blocks(benchmark, "item_id", "text", width):
+        docs = docs.mapInArrow(cutter(block, text_col), docs.schema)
+    return docs
+
+
+def cutter(phrases: Phrases, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                if spans:
-                    whole = Texts(pa.array([text]), 0)
-                    start, end, _ = whole.words(WORDY)
-                    kept, at = [], 0
-                    for x in spans:
-                        kept.append(whole.raw[0][at : start[x["start"]]])
-                        at = end[x["end"] - 1]
-                    text = b"".join([*kept, whole.raw[0][at:]]).decode()
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == text_col else batch.column(k) for k in names], names=names)
-
-    spans = found.where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    return docs.join(spans, docs[id_col] == F.col("_id"), "left").drop("_id").mapInArrow(run, docs.schema)
+            names = batch.schema.names
+            for text in chunks(batch.column(text_col), SHARD_BYTES):
+                start, end, bound = text.words(WORDY)
+                first, last, _ = occurrences(phrases.numbers(word_codes(text, start, end, FOLD)), bound, phrases)
+                part = batch.slice(text.first_row, text.rows)
+                texts = part.column(text_col).to_pylist()
+                lo, hi = run_bounds(covered(len(start), first, last))
+                for r in set((np.searchsorted(bound, first, side="right") - 1).tolist()):
+                    at, kept = 0, []
+                    inside = (lo < bound[r + 1]) & (hi > bound[r])
+                    for a, b in zip(lo[inside].tolist(), hi[inside].tolist(), strict=True):
+                        a, b = max(a, int(bound[r])), min(b, int(bound[r + 1]))
+                        kept.append(text.raw[r][at : start[a] - text.starts[r]])
+                        at = end[b - 1] - text.starts[r]
+                    texts[r] = b"".join([*kept, text.raw[r][at:]]).decode()
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == text_col else part.column(k) for k in names], names=names)
+
+    return run

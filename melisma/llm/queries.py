@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fm_index, language_id, pii, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup
+from . import byte_bpe, fm_index, language_id, pii, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
 from .spans import count, joined
 
 
@@ -66,12 +66,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.predict(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeated_bytes(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_byte_bpe, op4_simhash, op5_quality_rules, op6_pii, op7_fm_index, op9_suffix_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_byte_bpe, op4_simhash, op5_quality_rules, op6_pii, op7_fm_index, op8_toxicity, op9_suffix_dedup, op10_language_id)}
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
 WITH d AS (
