@@ -1,4 +1,348 @@
-"""Registered queries of the retrieval engine and their oracle SQL."""
+"""Registered queries of the retrieval engine: the driver's tables mapped to songs, records and pages."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from melisma.functions import text as T
+from melisma.functions.similarity import similarity
+from melisma.functions.tables import STOPWORDS
+from melisma.operators import dedupe, frontier, html, index, search, semantic
+from melisma.sources import corpus
+
+from .oracle import ORACLE
+
+#: The stated queries of the search operators.
+STATED = ["src3", "the that and onesen", "licensed under the apache license", "ertion blehe inan", "de la ciónue", "src1 to of"]
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.from_documents(documents(spark, sf_dir))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    return rows.withColumn("lang", T.language(F.col("text")))
+
+
+def joined(c) -> F.Column:
+    return F.array_join(c, " ")
+
+
+@query
+def tokens(spark, sf_dir):
+    found = documents(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(joined("t")).alias("tokens_md5"))
+
+
+@query
+def deaccent_lower(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded_md5"))
+
+
+@query
+def word_count(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+
+
+@query
+def lang_detect(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", F.col("lang").alias("idioma"))
+
+
+@query
+def lang_histogram(spark, sf_dir):
+    return texts(spark, sf_dir).groupBy(F.col("lang").alias("idioma")).agg(F.count("*").alias("n"))
+
+
+@query
+def stop_filter(spark, sf_dir):
+    kept = T.without_stopwords(T.tokens(F.col("text")), F.col("lang"))
+    found = texts(spark, sf_dir).select("doc_id", kept.alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n_kept"), F.md5(joined("t")).alias("kept_md5"))
+
+
+@query
+def stem_words(spark, sf_dir):
+    words = documents(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", *(T.stem(F.col("word"), k).alias(f"stem_{k}") for k in STOPWORDS))
+
+
+@query
+def analyzed_terms(spark, sf_dir):
+    found = texts(spark, sf_dir).select("doc_id", T.terms(F.col("text"), F.col("lang")).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(joined("t")).alias("terms_md5"))
+
+
+def built(spark, sf_dir) -> index.Index:
+    return index.build(songs(spark, sf_dir))
+
+
+@query
+def tf(spark, sf_dir):
+    return built(spark, sf_dir).postings
+
+
+@query
+def postings(spark, sf_dir):
+    return index.posting_lists(built(spark, sf_dir).postings)
+
+
+@query
+def term_stats(spark, sf_dir):
+    found = index.term_stats(built(spark, sf_dir))
+    return found.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def vocab_size(spark, sf_dir):
+    return built(spark, sf_dir).postings.agg(F.count_distinct("term").alias("vocab_size"))
+
+
+@query
+def doc_len_stats(spark, sf_dir):
+    docs = built(spark, sf_dir).docs
+    return docs.agg(F.count("*").alias("n_docs"), F.round(F.avg("doc_len"), 6).alias("avg_len"), F.sum("doc_len").alias("total_len"))
+
+
+@query
+def bm25_multi_query(spark, sf_dir):
+    found = index_scores(spark, sf_dir)
+    return found.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+def index_scores(spark, sf_dir) -> DataFrame:
+    return search.bm25(built(spark, sf_dir), search.query_table(spark, STATED))
+
+
+@query
+def bm25_topk(spark, sf_dir):
+    found = index_scores(spark, sf_dir).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
+    return search.ranked(found, 10)
+
+
+def stated(spark) -> list[tuple[int, str]]:
+    return [(r["query_id"], r["q"]) for r in search.query_table(spark, STATED).collect()]
+
+
+@query
+def surface_features(spark, sf_dir):
+    found = search.surface(songs(spark, sf_dir), stated(spark), with_similarity=False)
+    return found.select("query_id", "doc_id", "title_words", "artist_words", "in_title", "in_artist", "is_artist", "starts")
+
+
+@query
+def hybrid_no_similarity(spark, sf_dir):
+    found = search.search(built(spark, sf_dir), STATED, min_score=10.0, with_similarity=False)
+    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"))
+
+
+@query
+def seq_similarity(spark, sf_dir):
+    rows = songs(spark, sf_dir).select("id", "titulo", F.inline(F.array(*(F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("q")) for i, q in enumerate(STATED)))))
+    return rows.select("query_id", "id", similarity(F.col("q"), F.col("titulo")).alias("similarity"))
+
+
+@query
+def hybrid_search(spark, sf_dir):
+    """The full score, with the semantic part from a small model."""
+    found = built(spark, sf_dir)
+    model = semantic.fit(found.songs, components=16, features=200)
+    asked = search.query_table(spark, STATED)
+    return search.search(found, STATED, semantic=semantic.scores(model, found.songs, asked))
+
+
+@query
+def search_reasons(spark, sf_dir):
+    found = search.search(built(spark, sf_dir), STATED, min_score=10.0)
+    return found.select("query_id", "doc_id", F.explode("razones").alias("razon"))
+
+
+@query
+def api_rows(spark, sf_dir):
+    found = search.search(built(spark, sf_dir), STATED, min_score=10.0)
+    return search.result_rows(found, songs(spark, sf_dir), search.query_table(spark, STATED))
+
+
+@query
+def topk_display(spark, sf_dir):
+    found = search.search(built(spark, sf_dir), STATED, min_score=10.0)
+    return search.display_rows(found, songs(spark, sf_dir))
+
+
+@query
+def snippet(spark, sf_dir):
+    rows = songs(spark, sf_dir).select("id", "letra", F.inline(F.array(*(F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("q")) for i, q in enumerate(STATED)))))
+    return rows.select("query_id", "id", search.snippet(F.col("letra"), F.col("q")).alias("snippet"))
+
+
+def semantic_rows(spark, sf_dir) -> DataFrame:
+    return songs(spark, sf_dir).select(F.col("id").alias("doc_id"), corpus.semantic_text().alias("text"))
+
+
+@query
+def top_ngrams(spark, sf_dir):
+    return semantic.top_ngrams(semantic.counts(semantic_rows(spark, sf_dir)), 500)
+
+
+@query
+def tfidf_ngrams(spark, sf_dir):
+    rows = semantic_rows(spark, sf_dir)
+    found = semantic.counts(rows)
+    weights = semantic.tfidf(found, semantic.top_ngrams(found, 500), rows.agg(F.count("*").alias("n_docs")))
+    return weights.select("doc_id", "ngram", F.round("weight", 6).alias("weight"))
+
+
+@query
+def lsa_embed(spark, sf_dir):
+    model = semantic.fit(songs(spark, sf_dir), components=16, features=200)
+    return model.vectors(semantic_rows(spark, sf_dir))
+
+
+@query
+def embedding_cosine(spark, sf_dir):
+    """Cosines of the stated vectors (ids divisible by 50) with all vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", semantic.unit(F.col("embedding")).alias("v"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = rows.join(F.broadcast(asked)).select("query_id", "vec_id", F.round(semantic.dot(F.col("v"), F.col("q")), 6).alias("score"))
+    return search.ranked(found.withColumnRenamed("vec_id", "doc_id"), 10)
+
+
+def crawled(spark, sf_dir) -> DataFrame:
+    """Turns of conversations as crawl records: the role is the artist, the first words are the title."""
+    rows = table(spark, sf_dir, "conversations")
+    title = F.array_join(F.slice(T.words(F.col("text")), 1, 2), " ")
+    return rows.select("conv_id", "turn", title.alias("titulo"), F.col("role").alias("artista"), F.col("text").alias("letra"))
+
+
+def known_songs(spark, sf_dir) -> DataFrame:
+    rows = crawled(spark, sf_dir).where("conv_id % 3 = 0 AND turn = 0")
+    rows = dedupe.first_wins(dedupe.with_keys(rows), ["k_titulo", "k_artista"], ["conv_id", "turn"])
+    return corpus.with_defaults(rows.withColumn("id", dedupe.song_id(F.col("titulo"), F.col("artista"))))
+
+
+@query
+def song_id_md5(spark, sf_dir):
+    return songs(spark, sf_dir).select(F.col("id").alias("doc_id"), dedupe.song_id(F.col("titulo"), F.col("artista")).alias("song_id"))
+
+
+@query
+def slug_id(spark, sf_dir):
+    return songs(spark, sf_dir).select(F.col("id").alias("doc_id"), dedupe.slug_id(F.col("titulo"), F.col("artista"), F.col("id").cast("long") * 7919).alias("slug"))
+
+
+@query
+def dedupe_first_wins(spark, sf_dir):
+    rows = dedupe.with_keys(crawled(spark, sf_dir)).where("k_titulo <> '' AND k_artista <> ''")
+    return dedupe.first_wins(rows, ["k_titulo", "k_artista"], ["conv_id", "turn"]).select("conv_id", "turn", "titulo", "artista")
+
+
+@query
+def anti_existing(spark, sf_dir):
+    rows = dedupe.with_keys(crawled(spark, sf_dir)).withColumn("id", dedupe.song_id(F.col("titulo"), F.col("artista")))
+    return dedupe.new_to(rows, known_songs(spark, sf_dir)).select("conv_id", "turn")
+
+
+@query
+def merge_counts(spark, sf_dir):
+    return dedupe.merge(known_songs(spark, sf_dir), crawled(spark, sf_dir), ["conv_id", "turn"])[1]
+
+
+@query
+def merged_songs(spark, sf_dir):
+    return dedupe.merge(known_songs(spark, sf_dir), crawled(spark, sf_dir), ["conv_id", "turn"])[0].select("id", "titulo", "artista")
+
+
+@query
+def incremental_index(spark, sf_dir):
+    """df of an index of half the songs that the other half, and some again, were added to."""
+    every = songs(spark, sf_dir)
+    n = F.col("id").cast("long")
+    first = index.build(every.where(n % 2 == 0))
+    return index.document_frequency(index.extend(first, every.where((n % 2 == 1) | (n % 10 == 0))).postings)
+
+
+@query
+def full_outer_unify(spark, sf_dir):
+    """Four sources that each lack some ids."""
+    rows = songs(spark, sf_dir)
+    n = F.col("id").cast("long")
+    info = rows.where(n % 2 == 0).select("id", "artista", "titulo", "album")
+    genres, tags = rows.where(n % 3 == 0).select("id", "generos"), rows.where(n % 5 == 0).select("id", F.array("artista").alias("tags"))
+    found = corpus.unify(info, genres, tags, rows.where(n % 7 == 0).select("id", "letra"))
+    return found.select("id", "titulo", "artista", F.array_join("generos", ",").alias("generos"), F.array_join("tags", ",").alias("tags"), F.length("letra").cast("long").alias("n_letra"))
+
+
+@query
+def genres_collect(spark, sf_dir):
+    rows = documents(spark, sf_dir).select(F.col("source").alias("id"), "doc_id", "lang")
+    listed = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "lang"))).alias("r"))
+    return listed.select("id", F.array_join(F.transform("r", lambda x: x["lang"]), ",").alias("generos"))
+
+
+@query
+def tags_split(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", html.genre_list(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("tags"))
+    return rows.select("doc_id", F.size("tags").cast("long").alias("n_tags"), F.array_join("tags", "|").alias("tags"))
+
+
+@query
+def event_props(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").alias("p"))
+    return rows.select("event_id", F.col("p.k").alias("k"))
+
+
+def pages(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+@query
+def page_title(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.trim(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
+
+
+@query
+def page_links(spark, sf_dir):
+    found = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))
+    return pages(spark, sf_dir).select("page_id", F.size(found).cast("long").alias("n_links"), F.array_join(found, "|").alias("links"))
+
+
+@query
+def url_relevant(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", frontier.relevant(F.concat("url", F.lit("/"))).alias("relevant"), frontier.authority(F.col("url")).alias("host"))
+
+
+@query
+def url_trusted(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", frontier.trusted(F.col("url"), ("example.org", "example.com")).alias("trusted"))
+
+
+@query
+def scrape_pages(spark, sf_dir):
+    return html.scrape(pages(spark, sf_dir)).select("page_id", "record.*")
+
+
+@query
+def meta_map(spark, sf_dir):
+    return html.scrape(pages(spark, sf_dir)).select("page_id", F.explode("meta").alias("name", "content"))
+
+
+@query
+def frontier_bfs(spark, sf_dir):
+    seeds = [r["url"] for r in pages(spark, sf_dir).where("page_id < 5").select("url").collect()]
+    return frontier.crawl(pages(spark, sf_dir), seeds, rounds=3, accept=F.lit(True))[1]
