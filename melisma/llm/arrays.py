@@ -10,7 +10,7 @@ import pyarrow as pa
 #: ASCII white space that separates words; every other byte belongs to a word.
 SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"
 BASE, SEED = 0x9E3779B97F4A7C15 | 5, 20240917
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 IN_WORD = np.ones(256, dtype=bool)
 IN_WORD[list(SPACES)] = False
@@ -90,7 +90,7 @@ class Texts:
 
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Texts]:
     """The column in runs of rows of about `most` bytes; a longer text is a run of its own."""
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())
     sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1, offset=8 * column.offset)) if len(column) else []
     begin = total = 0
     for i, size in enumerate(sizes):
