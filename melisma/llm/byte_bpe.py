@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 RESULT = "doc_id long, ids binary, decoded binary"
 #: Pieces that a worker keeps; beyond it starts afresh.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
 
 
 def byte_characters() -> list[str]:

@@ -23,7 +23,7 @@ from .staging import keyed, same_row
 #: Bytes that make words of [0-9a-z] and other than ASCII, after A-Z became a-z.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 WORDY = np.array([b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Words of test phrases sent to the executors at a time; larger benchmarks take several passes.
 PHRASE_WORDS = 2_000_000
 SAMPLED = 8
