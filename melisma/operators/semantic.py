@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from melisma.functions.text import let
 from melisma.sources.corpus import semantic_text
 
 # Features and components of the model.
@@ -16,9 +17,13 @@ FEATURES, COMPONENTS = 5000, 128
 
 def ngrams(text: Column) -> Column:
     """Words of two or more word characters, and pairs of neighbours."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.transform(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(found, i), w))
-    return F.concat(found, pairs)
+    single = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+
+    def with_pairs(found: Column) -> Column:
+        rest = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
+        return F.concat(found, F.transform(rest, lambda w, i: F.concat_ws(" ", F.get(found, i), w)))
+
+    return let(single, with_pairs)  # else the words would be found again for each pair
 
 
 def counts(rows: DataFrame) -> DataFrame:
