@@ -132,6 +132,7 @@ def in_blocks(spec: Windows, find: Callable) -> Callable:
         rows = list({x[:2]: x for x in rows}.values())  # rows alike in id and text send a segment twice
         text = Texts(pa.array([x[4] for x in rows], pa.binary()), 0)
         codes, _, _, bound = units_of(text, spec.units)
+        codes = text.bytes if spec.units == "bytes" else codes
         owned = np.array([x[3] for x in rows], dtype=np.int64)
         again = find(codes, bound, owned, np.array([x[2] for x in rows], dtype=np.int64), spec.width)
         inside = np.zeros(len(codes) + 1, dtype=bool)

@@ -1,8 +1,9 @@
 """Removal of repeated byte strings by bucket-pointer refinement of suffixes.
 
 The suffixes of a block of segments (see repeats.py) are put into buckets by their first eight bytes. A
-bucket is refined by sorting its members on the bucket identifiers of a later offset; identifiers are
-replaced in place, so each refinement reuses the ones before it and doubles the depth. Members alone in
+bucket is refined by sorting its members on the bucket identifiers of later offsets; identifiers are
+replaced in place, so each refinement reuses the ones before it and multiplies the depth: by three where
+three identifiers fit into one 64-bit key, else by two. Members alone in
 their bucket are finished. At depth `width`, suffixes still in company start a repeated string.
 """
 
@@ -26,35 +27,48 @@ def refine(codes: np.ndarray, bound: np.ndarray, owned: np.ndarray, count: np.nd
     n, sizes = len(codes), np.diff(bound)
     again = np.repeat(count > 1, sizes)  # the segment stands elsewhere in full
     left = np.repeat(bound[1:], sizes) - np.arange(n)  # units up to the segment's end
-    first = min(first, width)
-    _, small = np.unique(codes, return_inverse=True)
-    key, step = small.astype(np.uint64), 1
-    at = np.flatnonzero(left >= first)
+    small = codes if codes.dtype == np.uint8 else np.unique(codes, return_inverse=True)[1]
+    key = small.astype(np.uint64)
     bits = np.uint64(max(int(small.max(initial=0)).bit_length(), 1))
-    bucket = np.zeros(n, dtype=np.uint64)
+    first = min(first, width, 64 // int(bits))
+    at = np.flatnonzero(left >= first)
     gram = np.zeros(len(at), dtype=np.uint64)
-    for j in range(first):  # up to eight symbols of at most eight bits
+    for j in range(first):
         gram = (gram << bits) | key[at + j]
-    fresh = np.uint64(1)
-
-    def split(at: np.ndarray, key: np.ndarray, fresh: np.uint64) -> tuple[np.ndarray, np.uint64]:
-        """New identifiers for the buckets that key tells apart; the members still in company."""
-        order = np.argsort(key, kind="stable")
+    # Identifiers only grow, so a finished member keeps one that no other has.
+    bucket = np.zeros(n, dtype=np.uint64)
+    base = 1
+
+    def split(at: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """New identifiers for the buckets that key tells apart; the members still in company, in order of place."""
+        nonlocal base
+        if not len(at):
+            return at
+        order = np.argsort(key)
         ordered = key[order]
-        heads = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(order) else np.zeros(0, dtype=bool)
-        number = np.cumsum(heads)
-        bucket[at[order]] = fresh + number.astype(np.uint64)
-        size = np.bincount(number)[number] if len(order) else number
-        return np.sort(at[order[size > 1]]), fresh + np.uint64(number[-1] + 1 if len(order) else 0)
-
-    at, fresh = split(at, gram, fresh)
+        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        size = np.diff(np.append(heads, len(order)))
+        number = np.repeat(np.arange(len(heads)), size)
+        place = at[order]
+        bucket[place] = (base + number).astype(np.uint64)
+        base += len(heads)
+        company = np.zeros(n, dtype=bool)
+        company[place] = np.repeat(size > 1, size)
+        return np.flatnonzero(company)
+
+    at = split(at, gram)
     step = first
     while step < width and len(at):
-        offset = min(step, width - step)
-        deep = left[at] >= step + offset
-        at = at[deep]
-        at, fresh = split(at, (bucket[at] << np.uint64(32)) | bucket[at + offset], fresh)
-        step += offset
+        wide = 64 // (base.bit_length())  # identifiers that fit into a key
+        parts = 3 if wide >= 3 and width > 2 * step else 2
+        depth = min(parts * step, width)
+        at = at[left[at] >= depth]
+        room = np.uint64(64 // parts)
+        joint = bucket[at]
+        for part in range(1, parts):
+            joint = (joint << room) | bucket[at + min(part * step, depth - step)]
+        at = split(at, joint)
+        step = depth
     again[at[left[at] >= width]] = True
     return again
 
