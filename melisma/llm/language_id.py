@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from math import exp, log
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
+from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,38 +78,69 @@ class Model:
             (n, item): tuple(log((own.get(x, 0) + 0.5) / (totals.get((x, n), 0) + 0.5 * (kinds[n] + 1))) for x in langs) for (n, item), own in times.items()
         }
 
-    def word(self, word: str) -> tuple[float, ...]:
-        """The word's scores: its own, or the mean of its n-grams' at the longest length that is known, place by place."""
-        if (0, word) in self.known:
-            return self.known[0, word]
-        total = [0.0] * len(self.langs)
-        todo, count = [(x, GRAMS[0]) for x in grams_of(word, GRAMS[0])] or [(f" {word} ", GRAMS[0])], 0
-        while todo:
-            item, n = todo.pop()
-            scores = self.known.get((n, item))
-            if scores is not None:
-                total = [a + b for a, b in zip(total, scores, strict=True)]
-                count += 1
-            elif n > 1:
-                todo += [(item[i : i + n - 1], n - 1) for i in range(len(item) - n + 2) if item[i : i + n - 1].strip()]
-        return tuple(x / count for x in total) if count else tuple(total)
-
-    def predict(self, text: str | None, seen: dict[str, tuple[float, ...]]) -> tuple[str, float]:
-        words = Counter(words_of(text or ""))
-        if not words or not self.langs:
+    def backed_off(self, gram: str, n: int) -> np.ndarray:
+        """Sum and number of the scores of a gram's known pieces: itself, or those of its grams one shorter, place by place."""
+        scores = self.known.get((n, gram))
+        if scores is not None:
+            return np.array([*scores, 1.0])
+        found = np.zeros(len(self.langs) + 1)
+        if n > 1:
+            for i in range(len(gram) - n + 2):
+                if gram[i : i + n - 1].strip():
+                    found += self.backed_off(gram[i : i + n - 1], n - 1)
+        return found
+
+
+class Rows:
+    """What was computed for some strings: their rows in a table that grows, and starts anew beyond `room`."""
+
+    def __init__(self, columns: int, room: int = 200_000) -> None:
+        self.place: dict[str, int] = {}
+        self.table, self.room = np.zeros((1024, columns)), room
+
+    def of(self, items: Sequence[str], compute: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+        """The row of each item. compute: rows of those not held yet."""
+        if len(self.place) > self.room:
+            self.place.clear()
+        fresh = list(dict.fromkeys(x for x in items if x not in self.place))
+        if fresh:
+            first, size = len(self.place), len(self.place) + len(fresh)
+            if size > len(self.table):
+                self.table = np.concatenate([self.table[:first], np.zeros((2 * size - first, self.table.shape[1]))])
+            self.table[first:size] = compute(fresh)
+            self.place.update(zip(fresh, range(first, size), strict=True))
+        return self.table[np.fromiter(map(self.place.__getitem__, items), dtype=np.int64, count=len(items))]
+
+
+class Predictor:
+    """A model with the scores of the words and n-grams it has met."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.words, self.grams = model, Rows(len(model.langs)), Rows(len(model.langs) + 1)
+
+    def backed_off(self, grams: list[str]) -> np.ndarray:
+        return np.array([self.model.backed_off(x, GRAMS[0]) for x in grams])
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A word's own scores, or the mean of its n-grams' at the longest length that is known, place by place."""
+        own = [self.model.known.get((0, x)) for x in words]
+        found = np.array([x or (0.0,) * len(self.model.langs) for x in own])
+        unseen = np.array([i for i, x in enumerate(own) if x is None], dtype=np.int64)
+        if len(unseen):
+            grams = [grams_of(words[i], GRAMS[0]) or [f" {words[i]} "] for i in unseen]
+            rows = self.grams.of(list(chain.from_iterable(grams)), self.backed_off)
+            sums = np.add.reduceat(rows, np.cumsum([0, *map(len, grams[:-1])]), axis=0)
+            found[unseen] = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+        return found
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        words, langs = Counter(words_of(text or "")), self.model.langs
+        if not words or not langs:
             return "und", 0.0
-        total = [0.0] * len(self.langs)
-        for word, times in words.items():
-            scores = seen.get(word)
-            if scores is None:
-                if len(seen) > 200_000:
-                    seen.clear()
-                scores = seen[word] = self.word(word)
-            for i, x in enumerate(scores):
-                total[i] += times * x
-        size = sum(words.values())
-        best = max(range(len(total)), key=lambda i: (total[i], -i))
-        return self.langs[best], 1.0 / sum(exp((x - total[best]) / size**TEMPER) for x in total)
+        times = np.fromiter(words.values(), dtype=np.float64, count=len(words))
+        total = times @ self.words.of(list(words), self.scores)
+        best = int(np.argmax(total))
+        return langs[best], float(1.0 / np.exp((total - total[best]) / times.sum() ** TEMPER).sum())
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, least: int = 2, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
@@ -130,9 +163,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, lang_pred, score (0 to 1). A null text or one without letters is `und` at score 0. Only the text is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[float, ...]] = {}
+        predictor = Predictor(model)
         for batch in batches:
-            found = [model.predict(x.as_py(), seen) for x in batch.column("text")]
+            found = [predictor.predict(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
