@@ -6,7 +6,8 @@ alone, so equal windows have equal anchors, wherever they stand. The consecutive
 owns are a segment of at most 2 * width - gram units.
 
 1. Count anchors (map-side combined); only windows whose anchor occurs again can repeat.
-2. Keep the occurrences of those anchors; equal segments of an anchor become one with a count.
+2. Keep the occurrences of those anchors; equal segments of a text are one row with a list of their starts, so
+   that a periodic text does not load its anchor, and equal segments of an anchor become one with a count.
 3. Fetch each distinct segment's text once, and give the segments of an anchor to one block, in which
    `find` (the operator's own method) says which of their windows repeat.
 4. An anchor with over `hot_segments` distinct segments is not put into one block: its windows are
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .arrays import BYTE_CODES, Rolling, Texts, chunks, run_bounds, sliding_least, word_codes
 from .staging import keyed, same_row, stage
 
-OCCURRENCES = "did long, th long, anchor long, seg long, start int, wins int"
+OCCURRENCES = "did long, th long, anchor long, seg long, starts array<int>, wins int"
 SEGMENTS = "anchor long, seg long, n long, wins int, content binary, hot boolean"
 RUNS = "anchor long, seg long, lo int, hi int"
 #: Bytes of segments that a task indexes at a time; whole anchors only.
@@ -88,10 +89,15 @@ def occurrences(spec: Windows) -> Callable:
             for text in chunks(batch.column("text")):
                 codes, _, _, bound = units_of(text, spec.units)
                 found = segments_of(codes, bound, spec)
-                rows = found["row"] + text.first_row
+                order = np.lexsort((found["start"], found["seg"], found["row"]))  # equal segments of a row together
+                row, seg = found["row"][order], found["seg"][order]
+                heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (seg[1:] != seg[:-1])])[: len(order)])
+                starts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)), pa.int32()), pa.array(found["start"][order], pa.int32()))
+                one = order[heads]
+                rows = found["row"][one] + text.first_row
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (did[rows], th[rows], found["anchor"], found["seg"], found["start"].astype(np.int32), found["wins"].astype(np.int32))],
-                    names=["did", "th", "anchor", "seg", "start", "wins"],
+                    [pa.array(did[rows]), pa.array(th[rows]), pa.array(found["anchor"][one]), pa.array(found["seg"][one]), starts, pa.array(found["wins"][one], pa.int32())],
+                    names=["did", "th", "anchor", "seg", "starts", "wins"],
                 )
 
     return run
@@ -185,15 +191,16 @@ def window_hashes(spec: Windows) -> Callable:
 
 
 def repeated_runs(docs: DataFrame, spec: Windows, find: Callable) -> DataFrame:
-    """(did, th, runs): for each distinct row with a repeated window, the runs [lo, hi) of first units of such windows.
+    """(did, th, runs): for each distinct row with a repeated window, the runs [lo, hi) of first units of such windows, from each of `starts`.
 
     docs: as from staging.keyed. find(codes, bound, owned, count, width) gives a mask over the units of some
     segments: those at which a window starts that another place holds too.
     """
     seen = docs.select("did", "th", "text").mapInArrow(occurrences(spec), OCCURRENCES)
-    shared = seen.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    seen = stage(seen.join(shared, "anchor").select("did", "th", "anchor", "seg", "start", "wins"), "occurrences")
-    distinct = seen.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "start", "wins")).alias("at"))
+    shared = seen.groupBy("anchor").agg(F.sum(F.size("starts")).alias("times")).where("times > 1").select("anchor")
+    seen = stage(seen.join(shared, "anchor").select("did", "th", "anchor", "seg", "starts", "wins"), "occurrences")
+    at = F.struct("did", "th", F.col("starts")[0].alias("start"), "wins")
+    distinct = seen.groupBy("anchor", "seg").agg(F.sum(F.size("starts")).alias("n"), F.min(at).alias("at"))
     many = distinct.groupBy("anchor").agg(F.count("*").alias("segs"), F.sum("n").alias("total"))
     distinct = distinct.join(many, "anchor").withColumn("hot", F.col("segs") > spec.hot_segments)
     wanted = distinct.groupBy(F.col("at.did").alias("did"), F.col("at.th").alias("th")).agg(
@@ -208,8 +215,8 @@ def repeated_runs(docs: DataFrame, spec: Windows, find: Callable) -> DataFrame:
     single = stage(single, "hot-windows")
     often = single.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
     runs = runs.unionByName(single.join(often, ["h1", "h2"]).select("anchor", "seg", "lo", (F.col("lo") + 1).cast("int").alias("hi")))
-    placed = seen.join(runs, ["anchor", "seg"]).select("did", "th", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    return placed.groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    placed = seen.join(runs, ["anchor", "seg"])
+    return placed.groupBy("did", "th").agg(F.collect_set(F.struct("starts", "lo", "hi")).alias("runs"))
 
 
 def removed(docs: DataFrame, spec: Windows, find: Callable, apply: Callable, schema: str, id_col: str, text_col: str) -> DataFrame:
@@ -222,6 +229,8 @@ def removed(docs: DataFrame, spec: Windows, find: Callable, apply: Callable, sch
 def runs_of(batch: pa.RecordBatch, width: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
     """For each row, the begins and ends of the removed units, or None where there are none."""
     column = batch.column("runs")
-    bounds, flat = column.offsets.to_numpy(), column.values
-    lo, hi = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "hi"))
-    return [None if a == b else (lo[a:b], hi[a:b] + width - 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    flat, starts = column.values, column.values.field("starts")
+    at, times = starts.values.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(starts.offsets.to_numpy())
+    lo, hi = (np.repeat(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64), times) for k in ("lo", "hi"))
+    bounds = starts.offsets.to_numpy()[column.offsets.to_numpy()]
+    return [None if a == b else (at[a:b] + lo[a:b], at[a:b] + hi[a:b] + width - 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
