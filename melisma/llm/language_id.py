@@ -143,10 +143,27 @@ class Predictor:
         return langs[best], float(1.0 / np.exp((total - total[best]) / times.sum() ** TEMPER).sum())
 
 
+def least_hashed(rows: DataFrame, sample: int) -> DataFrame:
+    """The `sample` rows of least h, a signed 64-bit hash; ties by lang.
+
+    Rows are first counted by the bits of the hash's place in the order, so that only the rows of the least
+    powers of two, about twice the sample, are sent to one task to be sorted.
+    """
+    place = F.shiftright("h", 1) + F.lit(1 << 62)
+    bits = F.length(F.bin(place))
+    counts = {r["bits"]: r["count"] for r in rows.groupBy(bits.alias("bits")).count().collect()}
+    total, most = 0, 0
+    for most in sorted(counts):
+        total += counts[most]
+        if total >= sample:
+            break
+    return rows.where(bits <= most).orderBy("h", "lang").limit(sample)
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, least: int = 2, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
     """Learn from (doc_id, text, lang); rows with a null text or lang are left out."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("h"))
-    rows = rows.orderBy("h", "lang").limit(sample).repartition("h").select("lang", "text")
+    rows = least_hashed(rows, sample).repartition("h").select("lang", "text")
     counts = rows.mapInArrow(counted, "lang string, n int, item string, times long").groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
     entries = counts.groupBy("n", "item").agg(F.sum("times").alias("all"), F.collect_list(F.struct("lang", "times")).alias("by"))
     entries = stage(entries.where(F.col("all") >= least), "language-counts")  # the rarest entries say least
