@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from melisma.llm import byte_bpe, fm_index, graph, language_id, pii, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
+from melisma.llm import byte_bpe, fm_index, graph, language_id, pii, quality_rules, secret_scan, shingles, simhash, substring_dedup, suffix_dedup, toxicity
 from melisma.llm.repeats import Windows
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, runs int, did string, fp string, spans string"
@@ -153,6 +153,51 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.fixture(scope="module")
+def near_copies(spark):
+    """(rows, shingle sets): texts with copies in which 1 to 8 of 200 words are others."""
+    rng, rows = np.random.default_rng(5), []
+    for base in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append(" ".join(words))
+        for changed in range(1, 9):
+            copy = list(words)
+            for k in rng.choice(200, changed, replace=False):
+                copy[k] = f"new{base}x{changed}x{k}"
+            rows.append(" ".join(copy).title())
+    rows += ["", None, " \n", "only Four words here", "only four words here", "only four words there"]
+    words = [(t or "").lower().split() for t in rows]
+    return rows, [frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, bool(w)))) for w in words]
+
+
+def test_near_duplicates(spark, empty, near_copies):
+    import corpus_pipeline
+
+    rows, sets = near_copies
+    forest, between = simhash.Forest(len(rows)), Counter()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            s = jaccard(a, sets[j])
+            between[int(s * 20)] += 1
+            if s >= 0.8:
+                forest.join(i, j)
+    assert all(between[k] >= 20 for k in (16, 17, 18, 19))  # 0.8 to 1 in steps of 0.05
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {}
+    for r in shingles.near_duplicates(table).collect():
+        got.setdefault(r["component"], set()).add(r["did"])
+    want = {}
+    for i in range(len(rows)):
+        want.setdefault(forest.root(i), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, "").collect()) == sorted(want)
+    assert shingles.near_duplicates(empty).count() == 0
+
+
 @pytest.mark.parametrize("radius", [4, 7])
 def test_tree(radius):
     rng = np.random.default_rng(radius)
