@@ -198,6 +198,16 @@ def test_near_duplicates(spark, empty, near_copies):
     assert shingles.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_rows(spark):
+    import corpus_pipeline
+
+    other = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"]
+    rows = [(None, other[0]), (None, other[1]), (None, other[1]), (7, other[2]), (7, other[3]), (3, other[3]), (7, other[4]), (7, other[4]), (None, other[4]), (9, None), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, corpus_pipeline.near_duplicates(spark, table, "").collect()))
+    assert got == Counter([(None, other[0]), (None, other[1]), (7, other[2]), (3, other[3]), (7, other[4]), (9, None)])
+
+
 @pytest.mark.parametrize("radius", [4, 7])
 def test_tree(radius):
     rng = np.random.default_rng(radius)
