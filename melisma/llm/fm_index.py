@@ -28,6 +28,8 @@ SHARD_BYTES = 2 << 20
 PHRASE_WORDS = 2_000_000
 SAMPLED = 8
 RESULT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+#: Column of the words that earlier blocks of a benchmark hit.
+HITS = "_hits"
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -269,30 +271,67 @@ def merge_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text") -> DataFrame:
     """docs, all columns and rows, with the hit words and what stands between them cut out of the texts.
 
-    Null texts stay null. The benchmark's blocks are cut one after another, each in one pass without exchange.
+    Null texts stay null. All blocks of the benchmark are searched in the texts as given, in one pass without
+    exchange; the words that any of them hits are cut once.
     """
-    for block in phrase_blocks(benchmark, "item_id", "text", width):
-        docs = docs.mapInArrow(cutter(block, text_col), docs.schema)
-    return docs
+    blocks = list(phrase_blocks(benchmark, "item_id", "text", width))
+    if not blocks:
+        return docs
+    marked = docs if len(blocks) == 1 else docs.withColumn(HITS, F.array().cast("array<struct<start:int,end:int>>"))
+    for block in blocks[:-1]:
+        marked = marked.mapInArrow(marker(block, text_col), marked.schema)
+    return marked.mapInArrow(cutter(blocks[-1], text_col), docs.schema)
 
 
-def cutter(phrases: Phrases, text_col: str):
+def hit_runs(text: Texts, phrases: Phrases, earlier: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]:
+    """start, end and bound of the text's words, and by row the runs of words, counted from its first, that this block or an earlier one hits."""
+    start, end, bound = text.words(WORDY)
+    first, last, _ = occurrences(phrases.numbers(word_codes(text, start, end, FOLD)), bound, phrases)
+    known = [(bound[r] + x["start"], bound[r] + x["end"]) for r, found in enumerate(earlier) for x in found]
+    first, last = (np.concatenate([v, np.array([x[k] for x in known], dtype=np.int64)]) for k, v in enumerate((first, last)))
+    lo, hi = run_bounds(covered(len(start), first, last))
+    runs = {}
+    for r in set((np.searchsorted(bound, first, side="right") - 1).tolist()):
+        inside = (lo < bound[r + 1]) & (hi > bound[r])
+        runs[r] = [(max(a, int(bound[r])) - int(bound[r]), min(b, int(bound[r + 1])) - int(bound[r])) for a, b in zip(lo[inside].tolist(), hi[inside].tolist(), strict=True)]
+    return start, end, bound, runs
+
+
+def hits_of(batch: pa.RecordBatch, text: Texts) -> list[list[dict]]:
+    """What earlier blocks hit in the rows of text."""
+    return batch.column(HITS).slice(text.first_row, text.rows).to_pylist() if HITS in batch.schema.names else []
+
+
+def marker(phrases: Phrases, text_col: str):
+    """The rows with this block's hits added to HITS."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             for text in chunks(batch.column(text_col), SHARD_BYTES):
-                start, end, bound = text.words(WORDY)
-                first, last, _ = occurrences(phrases.numbers(word_codes(text, start, end, FOLD)), bound, phrases)
+                runs = hit_runs(text, phrases, hits_of(batch, text))[3]
+                found = pa.array([[{"start": a, "end": b} for a, b in runs.get(r, [])] for r in range(text.rows)], SPANS)
+                part = batch.slice(text.first_row, text.rows)
+                yield pa.RecordBatch.from_arrays([found if k == HITS else part.column(k) for k in names], names=names)
+
+    return run
+
+
+def cutter(phrases: Phrases, text_col: str):
+    """The rows without HITS, and their texts without the words in it and this block's hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [k for k in batch.schema.names if k != HITS]
+            for text in chunks(batch.column(text_col), SHARD_BYTES):
+                start, end, bound, runs = hit_runs(text, phrases, hits_of(batch, text))
                 part = batch.slice(text.first_row, text.rows)
                 texts = part.column(text_col).to_pylist()
-                lo, hi = run_bounds(covered(len(start), first, last))
-                for r in set((np.searchsorted(bound, first, side="right") - 1).tolist()):
+                for r, cuts in runs.items():
                     at, kept = 0, []
-                    inside = (lo < bound[r + 1]) & (hi > bound[r])
-                    for a, b in zip(lo[inside].tolist(), hi[inside].tolist(), strict=True):
-                        a, b = max(a, int(bound[r])), min(b, int(bound[r + 1]))
-                        kept.append(text.raw[r][at : start[a] - text.starts[r]])
-                        at = end[b - 1] - text.starts[r]
+                    for a, b in cuts:
+                        kept.append(text.raw[r][at : start[bound[r] + a] - text.starts[r]])
+                        at = end[bound[r] + b - 1] - text.starts[r]
                     texts[r] = b"".join([*kept, text.raw[r][at:]]).decode()
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == text_col else part.column(k) for k in names], names=names)
 

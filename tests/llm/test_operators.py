@@ -287,6 +287,21 @@ def test_contamination(spark, docs, empty, monkeypatch, block):
     assert cut[0] is None and cut[3] == "" and "common25" not in cut[7] and cut[7].startswith("common0 ")
 
 
+def test_cut_of_blocks(spark, monkeypatch):
+    words = [f"v{i}" for i in range(60)]
+    items = [("a", " ".join(words[:10] + [f"z{i}" for i in range(30)])), ("b", " ".join(words[:15])), ("c", " ".join(words[20:24] + words[30:40]))]
+    texts = [" ".join(words), "Head, " + " ".join(words[:15]) + ". tail", " ".join(words[20:24] + words[:15] + words[30:40]), None, "", " ".join(words[:9])]
+    table = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[1]), (1, texts[1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    cut = {}
+    for block in (2_000_000, 40):
+        monkeypatch.setattr(fm_index, "PHRASE_WORDS", block)
+        cut[block] = fm_index.decontaminated(table, bench)
+        assert len(list(fm_index.phrase_blocks(bench, "item_id", "text", 10))) == (1 if block > 40 else 2) and cut[block].columns == table.columns
+        cut[block] = Counter(map(tuple, cut[block].collect()))
+    assert cut[40] == cut[2_000_000] and cut[40][1, "Head, . tail"] == 2
+
+
 def test_toxicity(spark, empty):
     rows = [(i, f"word{i % 7} plain{i % 5} text" + (" vile" if i % 4 == 0 else ""), int(i % 4 == 0), int(i % 3 != 0)) for i in range(200)]
     table = spark.createDataFrame(rows, "doc_id int, text string, toxic int, quality int")
