@@ -77,6 +77,14 @@ class Model:
         return rows.select("doc_id", ngrams(F.col("text")).alias("ngrams")).mapInArrow(run, f"doc_id {kind}, vec array<double>")
 
 
+def packed(rows):
+    """Batches (i, row) of a matrix's rows from the diagonal on, as bytes."""
+    import pyarrow as pa
+
+    for i, row in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row.tobytes()], pa.binary())], names=["i", "row"])
+
+
 def fit(songs: DataFrame, components: int = COMPONENTS, features: int = FEATURES) -> Model:
     """The leading eigenvectors of the n-grams' Gram matrix, which is summed on the executors; features squared numbers reach the driver."""
     rows = songs.select(F.col("id").alias("doc_id"), semantic_text().alias("text"))
@@ -89,21 +97,33 @@ def fit(songs: DataFrame, components: int = COMPONENTS, features: int = FEATURES
     size = min(components, len(idf) - 1, n - 1)
     if size < 1:
         return Model(idf, None)
-    vectors, width = Model(idf, None).vectors(rows), len(idf)
+    weights, width = np.array(list(idf.values())), len(idf)
 
     def gram(batches):
-        import pyarrow as pa
-
-        total = np.zeros((width, width))
+        place, total = {g: i for i, g in enumerate(idf)}, np.zeros((width, width))
+        for batch in batches:
+            for words in batch.column("ngrams"):
+                at = [place[g] for g in words.as_py() if g in place]
+                if at:
+                    at, times = np.unique(at, return_counts=True)
+                    x = times * weights[at]
+                    x /= np.linalg.norm(x)
+                    total[np.ix_(at, at)] += np.outer(x, x)
+        yield from packed((i, total[i, i:]) for i in range(width))
+
+    def add(batches):
+        sums = {}
         for batch in batches:
-            x = np.array(batch.column("vec").to_pylist()).reshape(-1, width)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "row"])
+            for i, row in zip(batch.column("i").to_pylist(), batch.column("row"), strict=True):
+                part = np.frombuffer(row.as_buffer(), dtype=np.float64)
+                sums[i] = sums[i] + part if i in sums else part.copy()
+        yield from packed(sums.items())
 
-    sums = vectors.mapInArrow(gram, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).where("x <> 0")
+    # a partial matrix for each core, not for each file: its size does not depend on the input
+    words = rows.coalesce(max(songs.sparkSession.sparkContext.defaultParallelism, 1)).select(ngrams(F.col("text")).alias("ngrams"))
     matrix = np.zeros((width, width))
-    for r in sums.toLocalIterator():
-        matrix[r["i"], r["j"]] = r["x"]
+    for r in words.mapInArrow(gram, "i int, row binary").repartition("i").mapInArrow(add, "i int, row binary").toLocalIterator():
+        matrix[r["i"], r["i"] :] = matrix[r["i"] :, r["i"]] = np.frombuffer(r["row"], dtype=np.float64)
     values, axes = np.linalg.eigh(matrix)
     return Model(idf, axes[:, np.argsort(-values)[:size]])
 

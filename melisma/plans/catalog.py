@@ -158,31 +158,31 @@ def seq_similarity(spark, sf_dir):
     return rows.select("query_id", "id", similarity(F.col("q"), F.col("titulo")).alias("similarity"))
 
 
+def hybrid(spark, sf_dir, min_score: float = search.LEAST_SCORE) -> DataFrame:
+    """The full score, with the semantic part from the full model."""
+    found = built(spark, sf_dir)
+    meaning = semantic.scores(semantic.fit(found.songs), found.songs, search.query_table(spark, STATED))
+    return search.search(found, STATED, min_score=min_score, semantic=meaning)
+
+
 @query
 def hybrid_search(spark, sf_dir):
-    """The full score, with the semantic part from a small model."""
-    found = built(spark, sf_dir)
-    model = semantic.fit(found.songs, components=16, features=200)
-    asked = search.query_table(spark, STATED)
-    return search.search(found, STATED, semantic=semantic.scores(model, found.songs, asked))
+    return hybrid(spark, sf_dir)
 
 
 @query
 def search_reasons(spark, sf_dir):
-    found = search.search(built(spark, sf_dir), STATED, min_score=10.0)
-    return found.select("query_id", "doc_id", F.explode("razones").alias("razon"))
+    return hybrid(spark, sf_dir, 10.0).select("query_id", "doc_id", F.explode("razones").alias("razon"))
 
 
 @query
 def api_rows(spark, sf_dir):
-    found = search.search(built(spark, sf_dir), STATED, min_score=10.0)
-    return search.result_rows(found, songs(spark, sf_dir), search.query_table(spark, STATED))
+    return search.result_rows(hybrid(spark, sf_dir, 10.0), songs(spark, sf_dir), search.query_table(spark, STATED))
 
 
 @query
 def topk_display(spark, sf_dir):
-    found = search.search(built(spark, sf_dir), STATED, min_score=10.0)
-    return search.display_rows(found, songs(spark, sf_dir))
+    return search.display_rows(hybrid(spark, sf_dir, 10.0), songs(spark, sf_dir))
 
 
 @query
@@ -210,7 +210,7 @@ def tfidf_ngrams(spark, sf_dir):
 
 @query
 def lsa_embed(spark, sf_dir):
-    model = semantic.fit(songs(spark, sf_dir), components=16, features=200)
+    model = semantic.fit(songs(spark, sf_dir))
     return model.vectors(semantic_rows(spark, sf_dir))
 
 

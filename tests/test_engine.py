@@ -1,6 +1,7 @@
 import json
 from math import log
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,22 @@ def test_semantic(spark, songs):
     assert spark.createDataFrame([("a one",), ("one",)], "t string").select(semantic.ngrams(F.col("t")).alias("g")).first()["g"] == ["one"]
 
 
+def test_semantic_model(spark, songs):
+    model = semantic.fit(songs, components=2, features=50)
+    rows = songs.select(F.col("id").alias("doc_id"), corpus.semantic_text().alias("text"))
+    x = np.array([r["vec"] for r in semantic.Model(model.idf, None).vectors(rows).collect()])
+    axes = np.linalg.eigh(x.T @ x)[1][:, -2:]
+    assert np.allclose(axes @ axes.T, model.directions @ model.directions.T)
+
+
+def test_full_semantic_queries(spark):
+    from melisma.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    assert {len(r["vec"]) for r in catalog.lsa_embed(spark, folder).collect()} == {semantic.COMPONENTS}
+    assert any(r["razon"].startswith("semántica") for r in catalog.search_reasons(spark, folder).collect())
+
+
 def test_merge_and_greedy(spark, songs):
     crawl = spark.createDataFrame([(0, " the WHO sings", "The who"), (1, "New", "N"), (2, "new ", "n"), (3, "", "N"), (4, "New", "Other")], "pos int, titulo string, artista string")
     merged, counts = dedupe.merge(songs, crawl, ["pos"])
