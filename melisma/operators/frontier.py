@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +55,11 @@ def next_links(found: DataFrame, seen: DataFrame, accept: Column, most: int = MO
     return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("url", "source", "pos")
 
 
-def crawl(pages: DataFrame, seeds: list[str], budget: int = 1000, rounds: int = 50, accept: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def crawl(pages: DataFrame, seeds: list[str], budget: int = 1000, accept: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(records of the pages visited that have title and artist, visited urls with their depth).
 
     Pages are scraped once. Each round takes the frontier's pages in order of url up to the budget; a url that is
-    not stored fails and is not visited. The frontier is bounded by the budget times the links of a page.
+    not stored fails and is not visited. It ends with the frontier or the budget, at any depth. The frontier is bounded by the budget times the links of a page.
     """
     spark = pages.sparkSession
     known = scrape(pages).select("url", "record", "links").dropDuplicates(["url"]).persist()
@@ -65,7 +67,7 @@ def crawl(pages: DataFrame, seeds: list[str], budget: int = 1000, rounds: int =
     frontier = spark.createDataFrame([(u,) for u in dict.fromkeys(seeds)], "url string")
     visited: list[tuple[str, int]] = []
     queued = set(seeds)
-    for depth in range(rounds):
+    for depth in count():
         here = known.join(F.broadcast(frontier), "url").orderBy("url").limit(budget - len(visited))
         visited += [(r["url"], depth) for r in here.select("url").collect()]
         seen = spark.createDataFrame([(u,) for u in queued], "url string")

@@ -345,4 +345,4 @@ def meta_map(spark, sf_dir):
 @query
 def frontier_bfs(spark, sf_dir):
     seeds = [r["url"] for r in pages(spark, sf_dir).where("page_id < 5").select("url").collect()]
-    return frontier.crawl(pages(spark, sf_dir), seeds, rounds=3, accept=F.lit(True))[1]
+    return frontier.crawl(pages(spark, sf_dir), seeds, accept=F.lit(True))[1]

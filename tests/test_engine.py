@@ -170,6 +170,14 @@ def test_crawl(spark):
     assert not frontier.allowed("User-agent: *\nDisallow: /song", "http://x/song/a") and frontier.allowed(None, "http://x/")
 
 
+def test_crawl_depth(spark, tmp_path):
+    from melisma.plans import catalog
+
+    rows = [(0 if i == 0 else 10 + i, f"http://example.org/p{i}", f"<title>T{i}</title><a href='http://example.org/p{i + 1}'>n</a>") for i in range(6)]
+    spark.createDataFrame(rows, "page_id int, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted((r["depth"], r["url"][-1]) for r in catalog.frontier_bfs(spark, str(tmp_path)).collect()) == [(i, str(i)) for i in range(6)]
+
+
 def test_web(spark):
     reply = {"response": {"hits": [{"result": {"title": t, "primary_artist": {"name": "A"}, "url": "u", "album": None}} for t in ("T", "", "U", "V")]}}
     rows = web.hits(spark.createDataFrame([(0, json.dumps(reply)), (1, "bad")], "query_id int, json string")).collect()
