@@ -1,34 +1,30 @@
-"""Tables between steps, in the folder that driver and executors share."""
+"""Rows carried whole beside work columns, and matched again after a step."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from melisma.sources.staging import stage
+
+__all__ = ["NO_ID", "fresh", "keyed", "same_row", "stage", "whole"]
+
 #: Stands for a null doc_id where rows are matched; text hashes are matched as well, so it can't mix texts.
 NO_ID = -(2**63) + 1
-OWN_FOLDER: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset (tests on one machine) a temporary folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not OWN_FOLDER:
-            OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="melisma-"))
-        folder = OWN_FOLDER[0]
-    return folder
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one struct `row`, so that work columns beside it can't clash with any of them."""
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    return F.struct(*(F.col(name(c)).alias(c) for c in docs.columns)).alias("row")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/melisma/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
