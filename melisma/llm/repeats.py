@@ -10,8 +10,9 @@ owns are a segment of at most 2 * width - gram units.
    that a periodic text does not load its anchor, and equal segments of an anchor become one with a count.
 3. Fetch each distinct segment's text once, and give the segments of an anchor to one block, in which
    `find` (the operator's own method) says which of their windows repeat.
-4. An anchor with over `hot_segments` distinct segments is not put into one block: its windows are
-   counted by 128-bit hash with map-side combining, which gives the same answer for any number.
+4. An anchor with over `most` distinct segments is not put into one block. Its segments are texts in their turn,
+   and step 1 cuts them again by a longer gram, at last by the whole window, of which a block has one. So
+   no block grows with the corpus, and `find` decides every window, at any size.
 5. Send the repeated runs back to the rows; the text is joined by (doc_id, hash of text).
 
 Nulls count as empty texts; a null doc_id is matched by its text; rows alike in id and text each get the
@@ -21,7 +22,7 @@ same result, and being copies of each other they repeat entirely.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,25 @@ from .staging import keyed, same_row, stage
 
 OCCURRENCES = "did long, th long, anchor long, seg long, starts array<int>, wins int"
 SEGMENTS = "anchor long, seg long, n long, wins int, content binary, hot boolean"
+PIECES = "anchor long, seg long, n long, start int, anchor2 long, seg2 long, wins2 int, content binary"
 RUNS = "anchor long, seg long, lo int, hi int"
 #: Bytes of segments that a task indexes at a time; whole anchors only.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 
 
 @dataclass(frozen=True)
 class Windows:
-    """What repeats: units are "words" or "bytes"."""
+    """What repeats: units are "words" or "bytes". most: distinct segments of an anchor in one block."""
 
     units: str
     width: int
     gram: int
-    hot_segments: int = 4096
+    most: int = 4096
+
+    def finer(self) -> Windows:
+        """The same windows with anchors of a longer gram: 0.8 of the width, 0.96 of it, then all."""
+        longer = (self.width * 4 // 5, self.width * 24 // 25, self.width)
+        return replace(self, gram=next(x for x in longer if x > self.gram))
 
 
 def units_of(text: Texts, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,27 +176,49 @@ def in_blocks(spec: Windows, find: Callable) -> Callable:
     return run
 
 
-def window_hashes(spec: Windows) -> Callable:
-    """A row for each window of a hot anchor's segments, with two independent hashes of its units."""
+def cut_again(spec: Windows) -> Callable:
+    """The segments of segments: rows of PIECES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchor, seg, n, wins = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("anchor", "seg", "n", "wins"))
             for text in chunks(batch.column("content")):
-                codes, _, _, bound = units_of(text, spec.units)
-                rows = slice(text.first_row, text.first_row + text.rows)
-                row = np.repeat(np.arange(text.rows), wins[rows])
-                lo = np.concatenate([np.arange(x) for x in wins[rows]]) if text.rows else np.zeros(0, dtype=np.int64)
-                first = bound[row] + lo
-                hashes = [Rolling(x).slices(first, first + spec.width).view(np.int64) for x in (codes, codes ^ (codes >> np.uint64(17)))]
-                row = row + text.first_row
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (anchor[row], seg[row], n[row], lo.astype(np.int32), *hashes)], names=["anchor", "seg", "n", "lo", "h1", "h2"]
-                )
+                codes, begin, end, bound = units_of(text, spec.units)
+                found = segments_of(codes, bound, spec)
+                first = bound[found["row"]] + found["start"]
+                stops, data = end[first + found["wins"] + spec.width - 2].tolist(), text.bytes.tobytes()
+                content = [data[a:b] for a, b in zip(begin[first].tolist(), stops, strict=True)]
+                rows = pa.array(found["row"] + text.first_row)
+                own = [batch.column(k).take(rows) for k in ("anchor", "seg", "n")]
+                new = [pa.array(found["start"], pa.int32()), pa.array(found["anchor"]), pa.array(found["seg"]), pa.array(found["wins"], pa.int32()), pa.array(content, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *new], names=["anchor", "seg", "n", "start", "anchor2", "seg2", "wins2", "content"])
 
     return run
 
 
+def with_hot(distinct: DataFrame, spec: Windows) -> DataFrame:
+    """distinct (anchor, seg, ...) with hot: whether the anchor has more segments than a block takes. Hot anchors are few, so their table can be sent to all where its size allows."""
+    if spec.gram >= spec.width:  # an anchor is a whole window
+        return distinct.withColumn("hot", F.lit(False))
+    many = stage(distinct.groupBy("anchor").agg(F.count("*").alias("segs")).where(F.col("segs") > spec.most).select("anchor", F.lit(True).alias("_hot")), "hot-anchors")
+    return distinct.join(many, "anchor", "left").withColumn("hot", F.coalesce("_hot", F.lit(False))).drop("_hot")
+
+
+def runs_in(segments: DataFrame, spec: Windows, find: Callable) -> DataFrame:
+    """RUNS of staged segments (SEGMENTS): cold anchors in blocks, hot ones cut again."""
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cold = segments.where("not hot").drop("hot").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    runs, hot = cold.mapInArrow(in_blocks(spec, find), RUNS), segments.where("hot")
+    if spec.gram >= spec.width or hot.isEmpty():
+        return runs
+    finer = spec.finer()
+    pieces = stage(hot.dropDuplicates(["anchor", "seg"]).select("anchor", "seg", "n", "content").mapInArrow(cut_again(finer), PIECES), "pieces")
+    one = pieces.groupBy(F.col("anchor2").alias("anchor"), F.col("seg2").alias("seg")).agg(F.sum("n").alias("n"), F.first("wins2").alias("wins"), F.first("content").alias("content"))
+    again = runs_in(stage(with_hot(one, finer), "segments"), finer, find)
+    again = again.select(F.col("anchor").alias("anchor2"), F.col("seg").alias("seg2"), "lo", "hi")
+    placed = pieces.drop("content").join(again, ["anchor2", "seg2"])
+    return runs.unionByName(placed.select("anchor", "seg", (F.col("start") + F.col("lo")).cast("int").alias("lo"), (F.col("start") + F.col("hi")).cast("int").alias("hi")))
+
+
 def repeated_runs(docs: DataFrame, spec: Windows, find: Callable) -> DataFrame:
     """(did, th, runs): for each distinct row with a repeated window, the runs [lo, hi) of first units of such windows, from each of `starts`.
 
@@ -200,21 +229,12 @@ def repeated_runs(docs: DataFrame, spec: Windows, find: Callable) -> DataFrame:
     shared = seen.groupBy("anchor").agg(F.sum(F.size("starts")).alias("times")).where("times > 1").select("anchor")
     seen = stage(seen.join(shared, "anchor").select("did", "th", "anchor", "seg", "starts", "wins"), "occurrences")
     at = F.struct("did", "th", F.col("starts")[0].alias("start"), "wins")
-    distinct = seen.groupBy("anchor", "seg").agg(F.sum(F.size("starts")).alias("n"), F.min(at).alias("at"))
-    many = distinct.groupBy("anchor").agg(F.count("*").alias("segs"), F.sum("n").alias("total"))
-    distinct = distinct.join(many, "anchor").withColumn("hot", F.col("segs") > spec.hot_segments)
+    distinct = with_hot(seen.groupBy("anchor", "seg").agg(F.sum(F.size("starts")).alias("n"), F.min(at).alias("at")), spec)
     wanted = distinct.groupBy(F.col("at.did").alias("did"), F.col("at.th").alias("th")).agg(
         F.collect_list(F.struct("anchor", "seg", "n", F.col("at.start").alias("start"), F.col("at.wins").alias("wins"), "hot")).alias("wanted")
     )
     segments = docs.alias("l").join(wanted.alias("r"), same_row()).select("text", "wanted").mapInArrow(fetch(spec), SEGMENTS)
-    segments = stage(segments, "segments")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = segments.where("not hot").drop("hot").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    runs = cold.mapInArrow(in_blocks(spec, find), RUNS)
-    single = segments.where("hot").dropDuplicates(["anchor", "seg"]).mapInArrow(window_hashes(spec), "anchor long, seg long, n long, lo int, h1 long, h2 long")
-    single = stage(single, "hot-windows")
-    often = single.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
-    runs = runs.unionByName(single.join(often, ["h1", "h2"]).select("anchor", "seg", "lo", (F.col("lo") + 1).cast("int").alias("hi")))
+    runs = runs_in(stage(segments, "segments"), spec, find)
     placed = seen.join(runs, ["anchor", "seg"])
     return placed.groupBy("did", "th").agg(F.collect_set(F.struct("starts", "lo", "hi")).alias("runs"))
 
@@ -226,9 +246,8 @@ def removed(docs: DataFrame, spec: Windows, find: Callable, apply: Callable, sch
     return rows.alias("l").join(runs.alias("r"), same_row(), "left").select("doc_id", "text", "runs").mapInArrow(apply, schema)
 
 
-def runs_of(batch: pa.RecordBatch, width: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
-    """For each row, the begins and ends of the removed units, or None where there are none."""
-    column = batch.column("runs")
+def runs_of(column: pa.ListArray, width: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """For each row of runs, the begins and ends of the removed units, or None where there are none."""
     flat, starts = column.values, column.values.field("starts")
     at, times = starts.values.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(starts.offsets.to_numpy())
     lo, hi = (np.repeat(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64), times) for k in ("lo", "hi"))

@@ -87,7 +87,7 @@ def remove(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words_n, gone_n, spans, kept = [], [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), runs_of(batch, width), strict=True):
+            for text, runs in zip(batch.column("text").to_pylist(), runs_of(batch.column("runs"), width), strict=True):
                 words = text.encode().split()  # bytes.split() cuts at the six ASCII spaces only
                 words_n.append(len(words))
                 if runs is None:

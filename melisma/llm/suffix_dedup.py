@@ -77,7 +77,7 @@ def remove(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bytes_n, gone_n, spans, kept = [], [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), runs_of(batch, width), strict=True):
+            for text, runs in zip(batch.column("text").to_pylist(), runs_of(batch.column("runs"), width), strict=True):
                 data = text.encode()
                 bytes_n.append(len(data))
                 if runs is None:
