@@ -1,10 +1,14 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-Segments that share an anchor stand in one reference block (see repeats.py), and the corpus is the set of
-blocks. Each block is indexed by a suffix array over word identifiers; each document's segment is factored
-greedily against it: at a position take the longest match that starts at any other place, go on after
-it. A factor of at least `width` words is a duplicate span. A repeated window can also straddle the end of a
-factor, so the starts of the last width - 1 words of every factor are looked up in the index as well.
+The corpus is routed into reference blocks: segments of text that share an anchor stand in one block (see
+repeats.py), and two equal windows always do. Each block is indexed by suffix ranks over word identifiers, and
+each of its segments is parsed greedily against the index: a factor is the longest match, at any other place,
+of what follows; the next factor begins at its end. Matches are looked up only where the parse asks.
+
+A factor of at least `width` words is a duplicate span. A repeated window that begins in one factor and goes
+beyond it ends in the next: what follows the boundary occurs elsewhere as well, so the greedy next factor reaches
+the window's end. So only windows across a boundary of two factors of together at least `width` words
+are looked up besides, and no repeated window is missed.
 """
 
 from __future__ import annotations
@@ -23,63 +27,76 @@ WORDS = Windows(units="words", width=35, gram=8)
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
 
 
-def longest_matches(codes: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """For each unit, the length of the longest match of what follows it in its segment at any other place.
-
-    Suffixes are ranked by doubled prefixes; a segment ends in a symbol of its own, so no match crosses
-    its end. The ranks of all lengths give the common prefix of neighbours in suffix order.
-    """
-    segs = len(bound) - 1
-    n = len(codes) + segs
-    ends = bound[1:] + np.arange(segs)  # where each segment's closing symbol stands
-    units = np.ones(n, dtype=bool)
-    units[ends] = False
-    words, ids = np.unique(codes, return_inverse=True)
-    rank = np.zeros(n, dtype=np.int64)
-    rank[units] = ids
-    rank[ends] = len(words) + np.arange(segs)
-    longest = int(np.diff(bound).max(initial=0)) + 1
-    levels, step = [rank], 1
-    while step < longest:
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - step] = rank[step:] + 1
-        _, rank = np.unique(rank * (n + len(words) + 2) + after, return_inverse=True)
-        levels.append(rank)
-        step *= 2
-    order = np.argsort(rank, kind="stable")
-    left, right = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(max(n - 1, 0), dtype=np.int64)
-    for power in range(len(levels) - 1, -1, -1):
-        inside = (left < n) & (right < n)
-        same = inside.copy()
-        same[inside] = levels[power][left[inside]] == levels[power][right[inside]]
-        common += same << power
-        left, right = left + (same << power), right + (same << power)
-    longest_at = np.zeros(n, dtype=np.int64)
-    np.maximum.at(longest_at, order[:-1], common)
-    np.maximum.at(longest_at, order[1:], common)
-    return longest_at[units]
+class Reference:
+    """The suffixes of a block's segments, ranked by doubled prefixes; each segment ends in a symbol of its own."""
+
+    def __init__(self, codes: np.ndarray, bound: np.ndarray) -> None:
+        segs = len(bound) - 1
+        self.n = n = len(codes) + segs
+        ends = bound[1:] + np.arange(segs)  # where each segment's closing symbol stands
+        units = np.ones(n, dtype=bool)
+        units[ends] = False
+        self.place = np.flatnonzero(units)
+        words, ids = np.unique(codes, return_inverse=True)
+        rank = np.zeros(n, dtype=np.int64)
+        rank[units] = ids
+        rank[ends] = len(words) + np.arange(segs)
+        longest = int(np.diff(bound).max(initial=0)) + 1
+        self.levels, step = [rank], 1
+        while step < longest:
+            after = np.zeros(n, dtype=np.int64)
+            after[: n - step] = rank[step:] + 1
+            rank = np.unique(rank * (n + len(words) + 2) + after, return_inverse=True)[1]
+            self.levels.append(rank)
+            step *= 2
+        # suffixes end in symbols of their own, so the last ranks are all different
+        self.rank, self.order = rank, np.argsort(rank)
+
+    def common(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The length of the common prefix of suffixes, from the longest doubled prefix down."""
+        out = np.zeros(len(left), dtype=np.int64)
+        for power in range(len(self.levels) - 1, -1, -1):
+            inside = np.flatnonzero((left + out < self.n) & (right + out < self.n))
+            same = inside[self.levels[power][left[inside] + out[inside]] == self.levels[power][right[inside] + out[inside]]]
+            out[same] += 1 << power
+        return out
+
+    def longest(self, at: np.ndarray) -> np.ndarray:
+        """The longest match of what follows the given units at any other place: one of the neighbours in rank has it."""
+        at = self.place[at]
+        rank = self.rank[at]
+        out = np.zeros(len(at), dtype=np.int64)
+        for other in (rank - 1, rank + 1):
+            known = np.flatnonzero((other >= 0) & (other < self.n))
+            out[known] = np.maximum(out[known], self.common(at[known], self.order[other[known]]))
+        return out
+
+
+def places(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places of the runs begin:end; runs that end before they begin are empty."""
+    size = np.maximum(end - begin, 0)
+    return np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
 
 
 def factor(codes: np.ndarray, bound: np.ndarray, owned: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
-    """Starts of repeated windows: greedy factors of all segments of a block, in step."""
-    match = longest_matches(codes, bound)
-    whole = np.repeat(count > 1, np.diff(bound))  # the segment stands elsewhere in full
-    left = np.repeat(bound[1:], np.diff(bound)) - np.arange(len(codes))
-    match = np.where(whole, left, match)
+    """Starts of repeated windows: the segments of a block are parsed in step, a factor of each at a time."""
     again = np.zeros(len(codes), dtype=bool)
-    at, end = bound[:-1].copy(), bound[1:]
+    if not len(codes):
+        return again
+    reference = Reference(codes, bound)
+    whole = count > 1  # the segment stands elsewhere in full
+    at, end, before = bound[:-1].copy(), bound[1:], bound[:-1].copy()
     while len(at):
         going = at < end
-        at, end = at[going], end[going]
-        length = np.maximum(match[at], 1)
-        inner = length - width + 1  # starts whose window lies within the factor
-        long = inner > 0
-        begin = np.where(long, at + inner, at)
-        again |= covered(len(codes), at[long], begin[long])
-        straddling = covered(len(codes), begin, at + length)  # starts near the factor's end
-        again |= straddling & (match >= width)
-        at = at + length
+        at, end, before, whole = at[going], end[going], before[going], whole[going]
+        length = end - at
+        asked = np.flatnonzero(~whole)
+        length[asked] = np.maximum(reference.longest(at[asked]), 1)
+        stop = at + length
+        again[places(at, stop - width + 1)] = True
+        across = places(np.maximum(before, at - width + 1), np.minimum(at, stop - width + 1))
+        again[across[reference.longest(across) >= width]] = True
+        before, at = at, stop
     return again
 
 
@@ -111,7 +128,7 @@ def remove_repeated_words(docs: DataFrame, spec: Windows = WORDS, id_col: str =
     """doc_id, n_words, n_removed, spans (word runs removed, end exclusive), kept (the other words, joined by one space).
 
     A word goes if it is in a window of spec.width words that also starts anywhere else, same text included.
-    Null and empty texts have no words and keep ''. Rows alike in all columns are copies of each other. Other
-    columns are not read. An empty table gives an empty result.
+    Null and empty texts have no words and keep ''. Rows alike in id and text are copies of each other. Texts of any
+    length are read whole. Other columns are not read. An empty table gives an empty result.
     """
     return removed(docs, spec, factor, remove(spec.width), RESULT, id_col, text_col)
