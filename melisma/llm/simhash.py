@@ -1,17 +1,21 @@
 """SimHash near-duplicates by exact Hamming search in vantage-point trees.
 
-Fingerprints are put into shards by Hamming distance zero from a block pattern: their 64 bits are cut into
-blocks, and of `radius + agree` blocks two fingerprints at most `radius` bits apart share at least `agree`
-whole ones, so each linked pair meets in a shard. Within a shard a vantage-point tree splits the fingerprints at the
-median distance from a vantage point. Only what lies within `radius` of the boundary is compared across it
-(triangle inequality), down to small leaves. A shard gives no pairs but a spanning forest of them; the global
-components come from those edges.
+The 64 bits are cut into BLOCKS parts. Two fingerprints at most `radius` bits apart differ in at most
+`radius // BLOCKS` bits of some part, which is their `reach` there. For each part a vantage-point tree is laid over all
+fingerprints: a node's vantage point and the median distance from it, in bits of the part, send a fingerprint to the
+near or the far side. The leaves of its upper levels are the shards. A fingerprint lives in one shard of each
+part; where it stands within `reach` of a boundary, a neighbour may be on the other side (triangle inequality), so it
+also visits that side's shards as a query. Within a shard the tree goes on, down to small leaves, by the same
+two rules. Pairs that meet in a leaf are tested on all 64 bits.
+
+The upper levels are laid out by a sample of at most SAMPLE fingerprints, which decides who is compared where but not what is
+found. A fingerprint visits about (n / SHARD) ** 0.42 shards of a part. A shard gives a spanning forest
+of its links, not all pairs; the global components come from those edges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import mix
 from .graph import components
 from .staging import stage
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
-LEAF = 64
-#: Fingerprints that a shard should have on average at most; more blocks must agree beyond it.
-SHARD = 64
+BLOCKS, LEAF = 3, 64
+#: Fingerprints that live in a shard, about; fingerprints that lay out the trees, at most.
+SHARD, SAMPLE = 4096, 8192
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -58,18 +63,22 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
 
 
 class Forest:
-    """Union of places; a find halves its path."""
+    """Union of places."""
 
     def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+        self.up = np.arange(n)
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
+    def roots(self, places: np.ndarray) -> np.ndarray:
+        out = self.up[places]
+        while True:
+            above = self.up[out]
+            if (above == out).all():
+                self.up[places] = out
+                return out
+            out = above
 
     def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
+        a, b = (int(x) for x in self.roots(np.array([a, b])))
         if a != b:
             self.up[max(a, b)] = min(a, b)
         return a != b
@@ -79,21 +88,37 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def block_masks(radius: int) -> tuple[np.ndarray, int]:
+    """The bits of each part, and how far two linked fingerprints can be apart in one of them."""
+    cuts = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    return np.array([(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)], dtype=np.uint64), radius // BLOCKS
+
+
 class Tree:
-    """All links of a set of distinct fingerprints within a radius, as the edges of a spanning forest."""
+    """All links of a set of distinct fingerprints within a radius that are near in the masked bits, as the edges of a spanning forest."""
 
-    def __init__(self, prints: np.ndarray, radius: int) -> None:
-        self.prints, self.radius = prints, radius
-        self.forest, self.edges = Forest(len(prints)), []
+    def __init__(self, prints: np.ndarray, radius: int, mask: int = (1 << 64) - 1, reach: int | None = None) -> None:
+        self.prints, self.radius, self.reach = prints, radius, radius if reach is None else reach
+        self.masked = prints & np.uint64(mask)
+        self.forest, self.edges, self.splits, self.tested = Forest(len(prints)), [], 0, 0
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         """Compare two leaves, or bounded blocks of places."""
         for i in range(0, len(a), 512):
-            near = distance(self.prints[a[i : i + 512], None], self.prints[None, b]) <= self.radius
-            for x, y in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
-                p, q = int(a[i + x]), int(b[y])
-                if p != q and self.forest.join(p, q):
-                    self.edges.append((p, q))
+            some = a[i : i + 512]
+            self.tested += len(some) * len(b)
+            x, y = np.nonzero(distance(self.prints[some, None], self.prints[None, b]) <= self.radius)
+            p, q = some[x], b[y]
+            new = self.forest.roots(p) != self.forest.roots(q)
+            if new.any():  # one pair for each two trees of the forest that it joins
+                p, q = p[new], q[new]
+                ends = np.sort(np.stack([self.forest.roots(p), self.forest.roots(q)]), axis=0)
+                for k in np.unique(ends, axis=1, return_index=True)[1].tolist():
+                    if self.forest.join(int(p[k]), int(q[k])):
+                        self.edges.append((int(p[k]), int(q[k])))
+
+    def far(self, places: np.ndarray, vantage: int) -> np.ndarray:
+        return distance(self.masked[places], self.masked[vantage]).astype(np.int64)
 
     def within(self, places: np.ndarray) -> None:
         todo = [places]
@@ -102,20 +127,21 @@ class Tree:
             if len(places) <= LEAF:
                 self.link(places, places)
                 continue
-            far = distance(self.prints[places], self.prints[places[0]])
-            mid = np.median(far)
-            near = far <= mid
+            far = self.far(places, places[0])
+            middle = int(np.median(far))
+            near = far <= middle
             if near.all():  # the median is the greatest distance
-                near = far < mid
+                middle -= 1
+                near = far <= middle
             if not near.any() or near.all():
                 self.link(places, places)
                 continue
+            self.splits += 1
             todo += [places[near], places[~near]]
-            edge = far[near].max()  # inner points within the radius of the outer ones, and the other way
-            rim = far[~near].min()
-            self.across(places[near & (far.astype(int) >= int(rim) - self.radius)], places[~near & (far.astype(int) <= int(edge) + self.radius)])
+            self.across(places[near & (far > middle - self.reach)], places[~near & (far <= middle + self.reach)])
 
     def across(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links between two sets of places."""
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
@@ -124,67 +150,118 @@ class Tree:
             if min(len(a), len(b)) <= LEAF:
                 self.link(a, b)
                 continue
-            da, db = (distance(self.prints[x], self.prints[a[0]]).astype(int) for x in (a, b))
-            mid = int(np.median(np.concatenate([da, db])))
-            left, right = da <= mid, db <= mid
-            parts = [(a[left], b[db <= mid + self.radius]), (a[~left], b[db > mid - self.radius])]
-            if max(len(x) * len(y) for x, y in parts) > 0.9 * len(a) * len(b) or left.all() or not left.any():
+            da, db = self.far(a, a[0]), self.far(b, a[0])
+            middle = int(np.median(da))
+            left = da <= middle
+            if left.all():
+                middle -= 1
+                left = da <= middle
+            parts = [(a[left], b[db <= middle + self.reach]), (a[~left], b[db > middle - self.reach])]
+            if left.all() or not left.any() or sum(len(x) * len(y) for x, y in parts) > 0.95 * len(a) * len(b):
                 self.link(a, b)
             else:
+                self.splits += 1
                 todo += parts
 
 
+class Layout:
+    """The upper levels of one part's tree: node k has the children 2k (near) and 2k + 1 (far)."""
+
+    def __init__(self, sample: np.ndarray, mask: np.uint64, levels: int) -> None:
+        self.mask, self.levels = mask, levels
+        nodes = 1 << levels
+        self.vantage = mix(np.arange(nodes, dtype=np.uint64) + mask)  # of nodes without a sample
+        self.middle = np.full(nodes, int(mask).bit_count() // 2, dtype=np.int64)
+        node = np.ones(len(sample), dtype=np.int64)
+        for level in range(levels):
+            for k in range(1 << level, 2 << level):
+                own = sample[node == k]
+                if len(own):
+                    self.vantage[k] = own[0]
+                    self.middle[k] = int(np.median(distance(own & mask, own[0] & mask)))
+            node = 2 * node + (self.far(sample, node) > self.middle[node])
+
+    def far(self, prints: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return distance(prints & self.mask, self.vantage[node] & self.mask).astype(np.int64)
+
+    def shards(self, prints: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, shard, whether the fingerprint lives there) of all shards that prints live in or visit."""
+        place, node, lives = np.arange(len(prints)), np.ones(len(prints), dtype=np.int64), np.ones(len(prints), dtype=bool)
+        for _ in range(self.levels):
+            far, middle = self.far(prints[place], node), self.middle[node]
+            home = far > middle  # 1 is the far side
+            both = np.flatnonzero((far > middle - reach) & (far <= middle + reach))
+            place, node, lives = (
+                np.concatenate([place, place[both]]),
+                np.concatenate([2 * node + home, 2 * node[both] + ~home[both]]),
+                np.concatenate([lives, np.zeros(len(both), dtype=bool)]),
+            )
+        return place, node, lives
+
+
+def dealt(layouts: list[Layout], reach: int):
+    """(block, shard, lives, fp) of fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, len(every), 2048):
+                prints = every[i : i + 2048]
+                for k, layout in enumerate(layouts):
+                    place, shard, lives = layout.shards(prints, reach)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(place), k, dtype=np.int32)), pa.array(shard), pa.array(lives), pa.array(prints[place].view(np.int64))], names=["block", "shard", "lives", "fp"]
+                    )
+
+    return run
+
+
 def shard_links(radius: int):
-    """Edges (u, v) of spanning forests of the shards; rows come sorted by shard."""
-
-    def solve(prints: np.ndarray) -> list[tuple[int, int]]:
-        prints = np.unique(prints)
-        if len(prints) < 2:
-            return []
-        tree = Tree(prints.view(np.uint64), radius)
-        tree.within(np.arange(len(prints)))
+    """Edges (u, v) of spanning forests of the shards; rows come sorted by block and shard."""
+    parts, reach = block_masks(radius)
+
+    def solve(block: int, held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+        prints, lives = (np.concatenate(x) for x in zip(*held, strict=True))
+        tree = Tree(prints.view(np.uint64), radius, int(parts[block]), reach)
+        own = np.flatnonzero(lives)
+        tree.within(own)
+        tree.across(own, np.flatnonzero(~lives))
         return [(int(prints[a]), int(prints[b])) for a, b in tree.edges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, held, edges = None, [], []
         for batch in batches:
-            block, key, prints = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("block", "key", "fp"))
-            heads = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (key[1:] != key[:-1])])) if len(key) else []
-            for a, b in zip(heads, [*heads[1:], len(key)], strict=True):
-                if (block[a], key[a]) != open_key:
-                    edges += solve(np.concatenate(held)) if held else []
-                    open_key, held = (block[a], key[a]), []
-                held.append(prints[a:b])
+            block, shard, lives, prints = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("block", "shard", "lives", "fp"))
+            heads = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (shard[1:] != shard[:-1])])) if len(shard) else []
+            for a, b in zip(heads, [*heads[1:], len(shard)], strict=True):
+                if (block[a], shard[a]) != open_key:
+                    edges += solve(open_key[0], held) if held else []
+                    open_key, held = (block[a], shard[a]), []
+                held.append((prints[a:b], lives[a:b]))
             if len(edges) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["u", "v"])
                 edges = []
-        edges += solve(np.concatenate(held)) if held else []
+        edges += solve(open_key[0], held) if held else []
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["u", "v"])
 
     return run
 
 
-def masks(radius: int, agree: int) -> list[int]:
-    """The bits of each choice of `agree` blocks out of radius + agree."""
-    n = radius + agree
-    cuts = [64 * i // n for i in range(n + 1)]
-    block = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(x) for x in combinations(block, agree)]
+def shards_of(prints: DataFrame, radius: int) -> DataFrame:
+    """(block, shard, lives, fp) of fingerprints (column fp, distinct), each in all shards that it lives in or visits."""
+    parts, reach = block_masks(radius)
+    levels = max((prints.count() - 1) // SHARD, 0).bit_length()
+    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect() if levels else []
+    sample = np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64)
+    return prints.select("fp").mapInArrow(dealt([Layout(sample, m, levels) for m in parts], reach), "block int, shard long, lives boolean, fp long")
 
 
 def links(prints: DataFrame, radius: int) -> DataFrame:
     """(u, v): edges that connect all fingerprints (column fp, distinct) within the radius of each other."""
-    n, agree = prints.count(), 1
-    while agree < 4 and n > SHARD << (64 * agree // (radius + agree)):
-        agree += 1
-    shards = prints.select(
-        "fp", F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks(radius, agree))))).alias("s")
-    ).select("s.block", "s.key", "fp")
-    alone = shards.groupBy("block", "key").agg(F.count("*").alias("size")).where("size > 1").select("block", "key")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = shards.join(alone, ["block", "key"]).repartition(parts, "block", "key").sortWithinPartitions("block", "key")
-    return met.select("block", "key", "fp").mapInArrow(shard_links(radius), "u long, v long")
+    met = shards_of(prints, radius).repartition(parts, "block", "shard").sortWithinPartitions("block", "shard")
+    return met.mapInArrow(shard_links(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,8 +269,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col:
 
     Two rows are linked if their fingerprints differ in at most `radius` bits. Texts without words (null or
     empty) have fingerprint 0 and are linked like any other; texts under `shingle` words are one shingle. Rows alike
-    are linked, being copies. A null doc_id keeps its row; a component of null ids only has a null id. Other columns
-    are not read. An empty table gives an empty result.
+    are linked, being copies. A null doc_id keeps its row; a component of null ids only has a null id. Texts of any length
+    are read whole. Other columns are not read. An empty table gives an empty result.
     """
     rows = stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
