@@ -25,13 +25,15 @@ def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
+def most_similar(query: Column, other: Column) -> Column:
+    """What the similarity can be at most: twice the shorter length over both lengths; 0 for blanks."""
+    a, b = F.length(F.lower(query)), F.length(F.lower(other))
+    return F.coalesce(F.when(a + b > 0, 2.0 * F.least(a, b) / (a + b)), F.lit(0.0))
+
+
 def similarity(query: Column, other: Column, floor: float = 0.0) -> Column:
     """Matching-block ratio, cases folded, the query first (the ratio is not symmetric); 0 for blanks.
 
-    Twice the shorter length over both lengths bounds the ratio. Pairs at or under `floor` by that bound are
-    passed as nulls and cost nothing.
+    Pairs at or under `floor` by most_similar are passed as nulls and cost nothing.
     """
-    a, b = F.lower(query), F.lower(other)
-    total = F.length(a) + F.length(b)
-    bound = F.when(total > 0, 2.0 * F.least(F.length(a), F.length(b)) / total).otherwise(0.0)
-    return F.coalesce(_ratio(F.when(bound > floor, a), b), F.lit(0.0))
+    return F.coalesce(_ratio(F.when(most_similar(query, other) > floor, F.lower(query)), F.lower(other)), F.lit(0.0))

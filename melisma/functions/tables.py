@@ -60,3 +60,6 @@ LEAST_WORD, LEAST_STEM = 5, 3
 
 # Accented letters and what stands for them.
 ACCENTED, PLAIN = "áàâãéèêëíìîïóòôõúùûüçñý", "aaaaeeeeiiiioooouuuucny"
+# Names of the languages in the console's detail view, and the code of a document without one.
+LANGUAGE_NAMES = {"es": "Español", "en": "Inglés", "fr": "Francés", "pt": "Portugués", "it": "Italiano"}
+UNKNOWN_LANGUAGE = "desconocido"

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melisma.functions.text import strip
 from melisma.sources.corpus import with_defaults
+from melisma.sources.staging import stage
 
 
 def key(column: str) -> Column:
@@ -34,11 +34,12 @@ def with_keys(rows: DataFrame) -> DataFrame:
 
 
 def new_to(rows: DataFrame, known: DataFrame, by: str = "id") -> DataFrame:
-    """Rows that share neither (title, artist) nor `by` with a known song: one equi join for each test."""
+    """Rows that share neither (title, artist) nor `by` with a known song: one equi join for each test. ids are compared as they are, urls stripped and in lower case."""
+    same = (lambda c: strip(F.lower(c))) if by == "url" else (lambda c: c)
     known = with_keys(known)
     out = rows.join(known.select("k_titulo", "k_artista").distinct(), ["k_titulo", "k_artista"], "left_anti")
-    ids = known.select(F.col(by).alias("_by")).where("_by IS NOT NULL AND _by <> ''").distinct()
-    return out.join(ids, out[by] == F.col("_by"), "left_anti")
+    ids = known.select(same(F.col(by)).alias("_by")).where("_by IS NOT NULL AND _by <> ''").distinct()
+    return out.join(ids, same(out[by]) == F.col("_by"), "left_anti")
 
 
 def merge(songs: DataFrame, crawled: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -60,21 +61,38 @@ def merge(songs: DataFrame, crawled: DataFrame, order: list[str]) -> tuple[DataF
     return songs.unionByName(with_defaults(added)), counts
 
 
-def greedy_first_wins(rows: DataFrame, by: list[list[str]], order: list[str], component: str) -> DataFrame:
-    """First wins on any of several keys, where a dropped row blocks none: a fold over each component of rows that share keys.
+def greedy_first_wins(rows: DataFrame, by: list[list[str]], order: list[str], rounds: int = 100) -> DataFrame:
+    """First wins on any of several keys, where a dropped row blocks none. A key with a blank part is no key; order tells all rows apart.
 
-    `component` names a column that rows sharing a key have in common (a connected component); components are
-    groups of duplicates of one song, which bounds them.
+    In a round the rows that are first by each of their keys among those left are kept, and what shares a key with
+    them goes. No group is gathered: a key's least row is found with map-side combining.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        taken: set[tuple] = set()
-        kept = []
-        for i, row in group.sort_values(order).iterrows():
-            own = {(k, *(row[c] for c in columns)) for k, columns in enumerate(by) if all(row[c] not in (None, "") for c in columns)}
-            if not own & taken:
-                taken |= own
-                kept.append(i)
-        return group.loc[kept]
-
-    return rows.groupBy(component).applyInPandas(fold, rows.schema)
+    keys = [F.when(sum((F.col(c).isNull() | (F.col(c) == "")).cast("int") for c in columns) == 0, F.struct(*columns)) for columns in by]
+    names = [f"_key{i}" for i in range(len(by))]
+    left = stage(rows.select("*", F.struct(*order).alias("_order"), *(k.alias(n) for k, n in zip(keys, names, strict=True))), "undecided")
+    kept = rows.limit(0)
+    for _ in range(rounds):
+        if left.isEmpty():
+            return kept
+        first = left
+        for n in names:
+            least = left.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("_order").alias("_least"))
+            first = first.join(least, n, "left").where(F.col("_least").isNull() | (F.col("_least") == F.col("_order"))).drop("_least")
+        first = stage(first.select(left.columns), "first")
+        kept = kept.unionByName(first.select(rows.columns))
+        left = left.join(first.select("_order"), "_order", "left_anti")
+        for n in names:
+            left = left.join(first.where(F.col(n).isNotNull()).select(n), n, "left_anti")
+        left = stage(left.select(first.columns), "undecided")
+    raise RuntimeError(f"undecided rows after {rounds} rounds")
+
+
+def add_new(songs: DataFrame, found: DataFrame, order: list[str], millis: Column) -> DataFrame:
+    """The song rows to add of found records (titulo, artista, url, ...): those that no known song and no earlier one of them has by title and artist, or by url. Ids are slugs with the time."""
+    rows = with_keys(found).withColumn("k_url", key("url"))
+    named = (F.col("k_titulo") != "") & (F.col("k_artista") != "")
+    known = with_keys(songs.select("titulo", "artista", "url")).withColumn("k_url", key("url"))
+    pairs = known.where(named).select("k_titulo", "k_artista").distinct()
+    rows = rows.join(pairs, ["k_titulo", "k_artista"], "left_anti").join(known.where("k_url <> ''").select("k_url").distinct(), "k_url", "left_anti")
+    rows = greedy_first_wins(rows.select(*found.columns, "k_titulo", "k_artista", "k_url"), [["k_titulo", "k_artista"], ["k_url"]], order)
+    return with_defaults(rows.withColumn("id", slug_id(F.col("titulo"), F.col("artista"), millis)))

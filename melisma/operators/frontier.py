@@ -1,13 +1,13 @@
-"""Breadth-first crawl over stored pages: each round is a join of the frontier with the pages."""
+"""Breadth-first crawl over stored pages: each round is a join of the head of the queue with the pages."""
 
 from __future__ import annotations
 
-from itertools import count
+from collections import Counter, deque
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .html import scrape
+from .html import host, scrape
 
 # Path parts of relevant pages, trusted hosts, links taken from a page.
 RELEVANT = "lyrics song artist album track music cancion letra artists songs albums".split()
@@ -47,40 +47,49 @@ def allowed(rules: str | None, url: str) -> bool:
     return parser.can_fetch("*", url)
 
 
-def next_links(found: DataFrame, seen: DataFrame, accept: Column, most: int = MOST_LINKS) -> DataFrame:
-    """(url, source): the first accepted links of each page that are not seen yet. found: url, links."""
-    rows = found.select(F.col("url").alias("source"), F.posexplode("links").alias("pos", "url")).where(accept)
-    rows = rows.join(seen.select("url").distinct(), "url", "left_anti")
-    order = Window.partitionBy("source").orderBy("pos")
-    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("url", "source", "pos")
-
-
-def crawl(pages: DataFrame, seeds: list[str], budget: int = 1000, accept: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def crawl(pages: DataFrame, seeds: list[str], budget: int = 1000, accept: Column | None = None, robots: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(records of the pages visited that have title and artist, visited urls with their depth).
 
-    Pages are scraped once. Each round takes the frontier's pages in order of url up to the budget; a url that is
-    not stored fails and is not visited. It ends with the frontier or the budget, at any depth. The frontier is bounded by the budget times the links of a page.
+    Pages are taken in the order of the queue until it is empty or `budget` pages were visited. Of a page the first
+    MOST_LINKS accepted links that are neither done nor queued are queued. A url that robots rules (by host)
+    forbid or whose page (column content_type, if there is one) is not HTML is done without a visit; one that is not stored fails.
+    A round takes as many urls as the budget leaves and scrapes only their pages; what the driver holds is bounded by
+    the budget and the links of so many pages.
     """
     spark = pages.sparkSession
-    known = scrape(pages).select("url", "record", "links").dropDuplicates(["url"]).persist()
     test = accept if accept is not None else relevant(F.col("url")) & trusted(F.col("url"))
-    frontier = spark.createDataFrame([(u,) for u in dict.fromkeys(seeds)], "url string")
-    visited: list[tuple[str, int]] = []
-    queued = set(seeds)
-    for depth in count():
-        here = known.join(F.broadcast(frontier), "url").orderBy("url").limit(budget - len(visited))
-        visited += [(r["url"], depth) for r in here.select("url").collect()]
-        seen = spark.createDataFrame([(u,) for u in queued], "url string")
-        fresh = [r["url"] for r in next_links(here, seen, test).select("url").distinct().orderBy("url").collect()]
-        queued.update(fresh)
-        if not fresh or len(visited) >= budget:
-            break
-        frontier = spark.createDataFrame([(u,) for u in fresh], "url string")
-    done = spark.createDataFrame(visited, "url string, depth int")
-    records = known.join(F.broadcast(done), "url").where("record.titulo <> '' AND record.artista <> ''").select("url", "depth", "record")
-    return records, done
-
-
-def stats(visited: DataFrame, records: DataFrame, failed: int = 0) -> DataFrame:
+    queue, queued = deque((u, 0) for u in seeds), Counter(seeds)
+    done: set[str] = set()
+    visited: dict[str, int] = {}
+    plain = is_html(F.col("content_type")) if "content_type" in pages.columns else F.lit(True)
+    stored = pages.withColumn("plain", plain).dropDuplicates(["url"])
+    while queue and len(visited) < budget:
+        head = [queue.popleft() for _ in range(min(budget - len(visited), len(queue)))]
+        asked = spark.createDataFrame([(u,) for u in dict.fromkeys(u for u, _ in head if u not in done)] or [("",)], "url string")
+        here = stored.join(F.broadcast(asked), "url")
+        kinds = {r["url"]: r["plain"] for r in here.select("url", "plain").collect()}
+        links: dict[str, list[tuple[int, str]]] = {}
+        found = scrape(here.where("plain")).select(F.col("url").alias("source"), F.posexplode("links").alias("pos", "url")).where(test)
+        for r in found.toLocalIterator():
+            links.setdefault(r["source"], []).append((r["pos"], r["url"]))
+        for url, depth in head:
+            queued[url] -= 1
+            if url in done:
+                continue
+            if not allowed((robots or {}).get(host(url)), url) or kinds.get(url) is False:
+                done.add(url)
+            elif url in kinds:
+                new = [u for _, u in sorted(links.get(url, [])) if u not in done and not queued[u]][:MOST_LINKS]
+                queue.extend((u, depth + 1) for u in new)
+                queued.update(new)
+                done.add(url)
+                visited[url] = depth
+    done_table = spark.createDataFrame(list(visited.items()), "url string, depth int")
+    records = scrape(stored.join(F.broadcast(done_table), "url")).where("record.titulo <> '' AND record.artista <> ''")
+    extracted = F.struct("record.*", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("fecha_extraccion"))
+    return records.select("url", extracted.alias("record"), "meta").join(F.broadcast(done_table), "url"), done_table
+
+
+def stats(visited: DataFrame, records: DataFrame, failed: int = 0, queued: int = 0, seconds: float = 0.0) -> DataFrame:
     counts = visited.agg(F.count("*").alias("visited")).join(F.broadcast(records.agg(F.count("*").alias("songs"))))
-    return counts.withColumn("failed", F.lit(failed).cast("long"))
+    return counts.select("*", F.lit(queued).cast("long").alias("queued"), F.lit(failed).cast("long").alias("failed"), F.lit(float(seconds)).alias("seconds"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RECORD = pa.struct([("titulo", pa.string()), ("artista", pa.string()), ("letra", pa.string()), ("generos", pa.list_(pa.string())), ("tags", pa.list_(pa.string())), ("url", pa.string())])
+# Fixed value: what stands for lyrics that a page does not have.
+NO_LYRICS = "[Letra no disponible]"
 RECORD_SQL = "struct<titulo:string,artista:string,letra:string,generos:array<string>,tags:array<string>,url:string>"
 
 
@@ -162,17 +164,16 @@ def allmusic(root: Node) -> dict:
 
 
 def generic(root: Node) -> dict:
-    meta = meta_map(root)
-    heading = first_text(root, "h1")
-    title = heading if heading and len(heading) < 100 else first_text(root, "title")
-    about = meta.get("description", "")
+    heading = next((n.text() for n in every(root, "h1")), None)  # a blank one replaces the title too
+    title = heading if heading is not None and len(heading) < 100 else first_text(root, "title")
+    about = next((n.attrs.get("content", "") for n in every(root, "meta") if n.attrs.get("name") == "description"), "")
     canonical = next((n.attrs["href"] for n in every(root, "link") if n.attrs.get("rel") == "canonical" and n.attrs.get("href")), None)
-    words = [x.strip() for x in meta.get("keywords", "").split(",") if x.strip()]
+    about_words = next((n.attrs.get("content", "") for n in every(root, "meta") if n.attrs.get("name") == "keywords"), None)
     out = {
         "titulo": title,
         "artista": about.split(" - ")[0].strip() if " - " in about else "",
         "letra": next((t for n in every(root, "p") if len(t := n.text()) > 100), ""),
-        "tags": words[:5],
+        "tags": [] if about_words is None else [x.strip() for x in about_words.split(",")[:5]],
     }
     return out | ({"url": canonical} if canonical else {})
 
@@ -238,6 +239,28 @@ def scrape(pages: DataFrame, rules: dict[str, Callable] = FACTORY) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, record {RECORD_SQL}, meta map<string,string>, links array<string>")
 
 
+def lyrics(html: str | None) -> str:
+    """The lyrics of a song page as the web search takes them: the first container's text with a line for each break."""
+    boxes = every(parse(html or ""), "div", lambda n: n.attrs.get("data-lyrics-container") == "true")
+    if not boxes:
+        return NO_LYRICS
+    for n in (boxes[0], *boxes[0].walk()):
+        n.children = ["\n" if isinstance(c, Node) and c.tag == "br" else c for c in n.children]
+    return boxes[0].text(False).strip()
+
+
+def with_lyrics(rows: DataFrame) -> DataFrame:
+    """rows (..., html) with letra instead of html; a row without a page has the text that says so."""
+    names = [c for c in rows.columns if c != "html"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([lyrics(x.as_py()) for x in batch.column("html")], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], names=[*names, "letra"])
+
+    return rows.mapInArrow(run, rows.select(names).withColumn("letra", F.lit("")).schema)
+
+
 def clean_text(text) -> F.Column:
     """White space as one space; other symbols than word characters and plain marks go."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"(?U)[^\w\s\-.,!?áéíóúñÁÉÍÓÚÑ]", "")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from melisma.functions.text import language, terms, word_count
 from melisma.sources.corpus import index_text, search_text
+from melisma.sources.staging import stage
 
 
 @dataclass(frozen=True)
 class Index:
-    """songs; docs (doc_id, idioma, doc_len); postings (term, doc_id, tf) of the index text; search (the same of the search text)."""
+    """songs; docs (doc_id, idioma, doc_len); postings (term, doc_id, tf) of the index text; search (term, doc_id, doc_len, tf) of the search text."""
 
     songs: DataFrame
     docs: DataFrame
@@ -21,27 +22,26 @@ class Index:
     search: DataFrame
 
 
-def postings_of(rows: DataFrame) -> DataFrame:
-    """(term, doc_id, tf) of rows (doc_id, text, idioma)."""
-    exploded = rows.select("doc_id", F.explode(terms(F.col("text"), F.col("idioma"))).alias("term"))
-    return exploded.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+def counted(rows: DataFrame, found: str, *also: str) -> DataFrame:
+    """(term, doc_id, also..., tf) of rows with a list of terms; a document's terms are in one row, so most of the sum is map-side."""
+    return rows.select("doc_id", *also, F.explode(found).alias("term")).groupBy("term", "doc_id", *also).agg(F.count("*").alias("tf"))
 
 
-def texts(songs: DataFrame, text) -> DataFrame:
-    rows = songs.select(F.col("id").alias("doc_id"), text.alias("text"))
-    return rows.withColumn("idioma", language(F.col("text")))
+def analysed(songs: DataFrame, languages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, idioma, doc_len, index_terms, search_terms), each text analysed once."""
+    rows = songs.select(F.col("id").alias("doc_id"), index_text().alias("i"), search_text().alias("s"))
+    rows = rows.withColumn("idioma", language(F.col("i")))
+    if languages is not None:
+        known = languages.select("doc_id", F.col("idioma").alias("known"))
+        rows = rows.join(known, "doc_id", "left").withColumn("idioma", F.coalesce("known", "idioma"))
+    own = language(F.col("s"))
+    return rows.select("doc_id", "idioma", word_count(F.col("s")).alias("doc_len"), terms(F.col("i"), F.col("idioma")).alias("index_terms"), terms(F.col("s"), own).alias("search_terms"))
 
 
 def build(songs: DataFrame, languages: DataFrame | None = None) -> Index:
-    """Full build. languages (doc_id, idioma): those known already; other documents' are detected."""
-    indexed = texts(songs, index_text())
-    if languages is not None:
-        known = languages.select("doc_id", F.col("idioma").alias("known"))
-        indexed = indexed.join(known, "doc_id", "left").select("doc_id", "text", F.coalesce("known", "idioma").alias("idioma"))
-    searched = texts(songs, search_text())
-    lengths = searched.select("doc_id", word_count(F.col("text")).alias("doc_len"))
-    docs = indexed.select("doc_id", "idioma").join(lengths, "doc_id")
-    return Index(songs, docs, postings_of(indexed), postings_of(searched))
+    """Full build: one pass over the songs, whose analysis is staged; the tables of the index read it. languages (doc_id, idioma): those known already; other documents' are detected."""
+    found = stage(analysed(songs, languages), "analysed")
+    return Index(songs, found.select("doc_id", "idioma", "doc_len"), counted(found, "index_terms"), counted(found, "search_terms", "doc_len"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 def term_stats(index: Index) -> DataFrame:
     """(term, df, idf) with idf = ln(N / (df + 1)), which may be negative."""
-    n = index.songs.agg(F.count("*").alias("n"))
+    n = index.docs.agg(F.count("*").alias("n"))
     return document_frequency(index.postings).join(F.broadcast(n)).select("term", "df", F.log(F.col("n") / (F.col("df") + 1)).alias("idf"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from melisma.functions.similarity import similarity
+from melisma.functions.similarity import most_similar, similarity
+from melisma.functions.tables import LANGUAGE_NAMES, UNKNOWN_LANGUAGE
 from melisma.functions.text import language, strip, terms, words
 
 from .index import Index, average_length, document_frequency
@@ -32,11 +33,11 @@ def bm25(index: Index, queries: DataFrame) -> DataFrame:
     A query is analysed in its own language. Only postings of query terms are read, so work follows the matches.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("q"), language(F.col("q"))))).alias("term"))
-    n = index.songs.agg(F.count("*").alias("n"))
+    n = index.docs.agg(F.count("*").alias("n"))
     seen = document_frequency(index.postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi"))
     weighed = wanted.join(seen, "term", "left").join(F.broadcast(n)).withColumn("df", F.coalesce("df", F.lit(0)))
     weighed = weighed.select("query_id", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
-    hits = index.search.join(F.broadcast(weighed), "term").join(index.docs.select("doc_id", "doc_len"), "doc_id").join(F.broadcast(average_length(index.docs)))
+    hits = index.search.join(F.broadcast(weighed), "term").join(F.broadcast(average_length(index.docs)))
     length = F.when(F.col("avg_len") > 0, F.col("doc_len") / F.col("avg_len")).otherwise(F.lit(0.0))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
@@ -46,22 +47,23 @@ def matched(query: Column, other: Column) -> Column:
     return F.size(F.array_intersect(words(query), words(F.lower(other)))).cast("long")
 
 
-def surface(songs: DataFrame, queries: list[tuple[int, str]], with_similarity: bool = True) -> DataFrame:
+def surface(songs: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
     """Features of titles and artists, a row for each query and document; the stated queries are literals of one pass."""
     listed = F.array(*(F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("q")) for i, q in queries))
     rows = songs.select(F.col("id").alias("doc_id"), "titulo", "artista", F.inline(listed))
     q, title, artist = F.col("q"), F.col("titulo"), F.col("artista")
-    sim = (lambda x: similarity(q, x, SIMILAR)) if with_similarity else (lambda x: F.lit(0.0))
     return rows.select(
         "query_id",
         "doc_id",
-        sim(title).alias("title_sim"),
-        sim(artist).alias("artist_sim"),
+        "q",
+        "titulo",
+        "artista",
         matched(q, title).alias("title_words"),
         matched(q, artist).alias("artist_words"),
         F.contains(F.lower(title), q).alias("in_title"),
         F.contains(F.lower(artist), q).alias("in_artist"),
         ((F.lower(artist) == q) & (strip(artist) != "")).alias("is_artist"),
+        F.get(words(q), F.lit(0)).alias("first"),
         F.startswith(F.lower(title), F.get(words(q), F.lit(0))).alias("starts"),
     )
 
@@ -88,12 +90,12 @@ def reasons() -> Column:
         (parts["artista"] > 0, F.format_string("artista (%.2f)", c("artist_sim"))),
         (c("title_words") > 0, F.format_string("%d palabras en título", c("title_words"))),
         (c("artist_words") > 0, F.format_string("%d palabras en artista", c("artist_words"))),
-        (c("bm25") > 0, F.format_string("BM25 (%.2f)", c("bm25"))),
+        (c("bm25") > 0, F.format_string("BM25 (%.3f)", c("bm25"))),
         (c("semantic") > SEMANTIC_SHOWN, F.format_string("semántica (%.2f)", c("semantic"))),
-        (c("in_title"), F.lit("frase en título")),
-        (~c("in_title") & c("in_artist"), F.lit("frase en artista")),
-        (c("is_artist"), F.lit("artista exacto")),
-        (c("starts"), F.lit("título empieza igual")),
+        (c("in_title"), F.lit("frase exacta en título")),
+        (~c("in_title") & c("in_artist"), F.lit("frase exacta en artista")),
+        (c("is_artist"), F.lit("artista completo")),
+        (c("starts"), F.format_string("título comienza con '%s'", c("first"))),
     )
     return F.array_compact(F.array(*(F.when(test, text) for test, text in shown)))
 
@@ -101,18 +103,31 @@ def reasons() -> Column:
 def search(index: Index, queries: list[str], min_score: float = LEAST_SCORE, semantic: DataFrame | None = None, with_similarity: bool = True) -> DataFrame:
     """(query_id, doc_id, score, razones) of documents with at least min_score. semantic: (query_id, doc_id, semantic) if there is a model.
 
-    Every document is scored against each stated query, as short titles alone can reach the least score.
+    Every document is scored against each stated query, as short titles alone can reach the least score. The gestalt
+    similarity, which Python computes, is asked for only where it could still lift the rest of the score to the least one.
     """
     spark = index.songs.sparkSession
     asked = query_table(spark, queries)
     stated = [(r["query_id"], r["q"]) for r in asked.collect()]
     if not stated:
         return spark.createDataFrame([], "query_id int, doc_id string, score double, razones array<string>")
-    rows = surface(index.songs, stated, with_similarity).join(bm25(index, asked), ["query_id", "doc_id"], "left")
+    rows = surface(index.songs, stated).join(bm25(index, asked), ["query_id", "doc_id"], "left")
     rows = rows.join(semantic, ["query_id", "doc_id"], "left") if semantic is not None else rows.withColumn("semantic", F.lit(0.0))
     rows = rows.withColumn("bm25", F.coalesce("bm25", F.lit(0.0))).withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
+    parts = score_parts()
+    sims = (("titulo", "title_sim", TITLE_SIMILARITY), ("artista", "artist_sim", ARTIST_SIMILARITY))
+    if with_similarity:
+        reach = F.lit(0.0)
+        for part, value in parts.items():
+            reach = reach if part in ("titulo", "artista") else reach + value
+        for name, _, weight in sims:
+            most = most_similar(F.col("q"), F.col(name))
+            reach = reach + F.when(most > SIMILAR, most * weight).otherwise(F.lit(0.0))
+        rows = rows.where(reach >= min_score - 1e-6)  # sums in another order may differ in their last digits
+    for name, sim, _ in sims:
+        rows = rows.withColumn(sim, similarity(F.col("q"), F.col(name), SIMILAR) if with_similarity else F.lit(0.0))
     total = F.lit(0.0)
-    for part in score_parts().values():
+    for part in parts.values():
         total = total + part
     return rows.select("query_id", "doc_id", total.alias("score"), reasons().alias("razones")).where(F.col("score") >= min_score)
 
@@ -121,7 +136,7 @@ def ranked(found: DataFrame, most: int) -> DataFrame:
     """The best of each query, with rank; ties by doc_id. A report, so the cap is the feature."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")  # the order of a sum is no order of results
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
@@ -149,9 +164,66 @@ def result_rows(found: DataFrame, songs: DataFrame, queries: DataFrame) -> DataF
     )
 
 
-def display_rows(found: DataFrame, songs: DataFrame, most: int = 15) -> DataFrame:
-    """Lines of a result list: the first `most`, heads of the lists, and how many more there are."""
+def console_excerpt(text: Column, query: Column) -> Column:
+    """The excerpt of a result list: around the query, else around the first of its first two words that has over three letters and occurs, else the begin of a text of over ten characters; null without any."""
+    q, lower = F.lower(query), F.lower(text)
+
+    def around(found: Column, before: int, after: int) -> Column:
+        at = F.position(found, lower) - 1
+        begin = F.greatest(at - before, F.lit(0))
+        return F.concat(F.lit("..."), F.replace(F.substring(text, begin + 1, F.least(at + after, F.length(text)) - begin), F.lit("\n"), F.lit(" ")), F.lit("..."))
+
+    word = F.get(F.filter(F.slice(words(q), 1, 2), lambda w: (F.length(w) > 3) & F.contains(lower, w)), F.lit(0))
+    head = F.substring(text, 1, 100)
+    shown = F.when(F.contains(lower, q), around(q, 50, 100)).when(word.isNotNull(), around(word, 40, 60))
+    shown = shown.when(F.length(head) > 10, F.concat(F.replace(head, F.lit("\n"), F.lit(" ")), F.lit("...")))
+    return F.when((text != "") & (query != ""), shown)
+
+
+def text_lines(*parts: tuple[Column, Column]) -> Column:
+    """Lines of a text; each line only where its test holds."""
+    return F.array_join(F.array_compact(F.array(*(F.when(test, line) for test, line in parts))), "\n")
+
+
+def display_rows(found: DataFrame, songs: DataFrame, queries: DataFrame, min_score: float = LEAST_SCORE, most: int = 15) -> DataFrame:
+    """(query_id, rank, doc_id, text, more): the console's list, a text for each of the first `most` results, and how many more there are.
+
+    found: results with scores, of which those under min_score are left out; or documents (query_id, doc_id) given by
+    id alone, which are listed with score 0 and without reasons. queries: (query_id, q); the excerpt needs them.
+    """
+    if "score" in found.columns:
+        found = found.where(F.col("score") >= min_score)
+    else:
+        found = found.select("query_id", "doc_id", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("razones"))
     left = found.groupBy("query_id").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
+    rows = ranked(found, most).join(F.broadcast(left), "query_id").join(songs.withColumnRenamed("id", "doc_id"), "doc_id").join(F.broadcast(queries.select("query_id", "q")), "query_id", "left")
     head = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
-    rows = ranked(found, most).join(left, "query_id").join(songs.withColumnRenamed("id", "doc_id"), "doc_id")
-    return rows.select("query_id", "rank", "doc_id", F.format_string("%d. %s - %s", "rank", "titulo", "artista").alias("line"), head("generos", 3).alias("genres"), head("tags", 3).alias("tags"), head("razones", 3).alias("reasons"), "more")
+    excerpt = console_excerpt(F.col("letra"), F.coalesce("q", F.lit("")))
+    text = text_lines(
+        (F.lit(True), F.format_string("%d. [Relevancia: %.2f] 🎵 %s", "rank", "score", "titulo")),
+        (F.lit(True), F.format_string("   👤 Artista: %s", "artista")),
+        (F.size("razones") > 0, F.concat(F.lit("   📊 Relevancia por: "), head("razones", 3))),
+        (F.col("album") != "", F.format_string("   💿 Álbum: %s", "album")),
+        (F.size("generos") > 0, F.concat(F.lit("   🏷️  Géneros: "), head("generos", 3))),
+        (F.size("tags") > 0, F.concat(F.lit("   🔖 Tags: "), head("tags", 3))),
+        (excerpt.isNotNull(), F.concat(F.lit("   📝 "), excerpt)),
+    )
+    return rows.select("query_id", "rank", "doc_id", text.alias("text"), "more")
+
+
+def detail_rows(songs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the console's view of whole songs. docs: (doc_id, idioma); the language of a song without one is unknown, one without a name is shown by its code."""
+    rows = songs.join(docs.select(F.col("doc_id").alias("id"), "idioma"), "id", "left")
+    lang = F.coalesce("idioma", F.lit(UNKNOWN_LANGUAGE))
+    names = F.create_map(*(F.lit(x) for pair in LANGUAGE_NAMES.items() for x in pair))
+    text = text_lines(
+        (F.lit(True), F.format_string("🎵 %s", "titulo")),
+        (F.lit(True), F.format_string("👤 Artista: %s", "artista")),
+        (F.col("album") != "", F.format_string("💿 Álbum: %s", "album")),
+        (F.size("generos") > 0, F.concat(F.lit("🏷️  Géneros: "), F.array_join("generos", ", "))),
+        (F.size("tags") > 0, F.concat(F.lit("🔖 Tags: "), F.array_join(F.slice("tags", 1, 10), ", "))),
+        (F.lit(True), F.concat(F.lit("🌐 Idioma detectado: "), F.coalesce(F.try_element_at(names, lang), lang))),
+        (F.lit(True), F.lit("📝 LETRA COMPLETA:")),
+        (F.lit(True), F.col("letra")),
+    )
+    return rows.select(F.col("id").alias("doc_id"), text.alias("text"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from melisma.functions.text import let
 from melisma.sources.corpus import semantic_text
+from melisma.sources.staging import stage
 
 # Features and components of the model.
 FEATURES, COMPONENTS = 5000, 128
@@ -26,23 +27,26 @@ def ngrams(text: Column) -> Column:
     return let(single, with_pairs)  # else the words would be found again for each pair
 
 
-def counts(rows: DataFrame) -> DataFrame:
-    """(doc_id, ngram, n) of rows (doc_id, text)."""
-    return rows.select("doc_id", F.explode(ngrams(F.col("text"))).alias("ngram")).groupBy("doc_id", "ngram").agg(F.count("*").alias("n"))
+def top_ngrams(rows: DataFrame, features: int = FEATURES) -> DataFrame:
+    """(ngram, total) of rows (doc_id, text): the most frequent n-grams; ties by text. One pass, summed map-side."""
+    found = rows.select(F.explode(ngrams(F.col("text"))).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("total"))
+    return found.orderBy(F.desc("total"), "ngram").limit(features)
 
 
-def top_ngrams(found: DataFrame, features: int = FEATURES) -> DataFrame:
-    """(ngram, total): the most frequent; ties by text."""
-    return found.groupBy("ngram").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "ngram").limit(features)
+def counts(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, ngram, n) of rows (doc_id, text), of the vocabulary's n-grams only: what is not in it never leaves its task. The vocabulary is bounded by its limit."""
+    found = rows.select("doc_id", F.explode(ngrams(F.col("text"))).alias("ngram")).join(F.broadcast(vocabulary.select("ngram")), "ngram")
+    return found.groupBy("doc_id", "ngram").agg(F.count("*").alias("n"))
 
 
-def tfidf(found: DataFrame, vocabulary: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(doc_id, ngram, weight): tf times ln((1 + N) / (1 + df)) + 1, unit length by document. The vocabulary is bounded by its limit."""
-    kept = found.join(F.broadcast(vocabulary.select("ngram")), "ngram")
-    idf = kept.groupBy("ngram").agg(F.count("*").alias("df")).join(F.broadcast(n_docs)).select("ngram", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = kept.join(F.broadcast(idf), "ngram").select("doc_id", "ngram", (F.col("n") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "ngram", (F.col("w") / F.col("norm")).alias("weight"))
+def tfidf(rows: DataFrame, features: int = FEATURES) -> DataFrame:
+    """(doc_id, ngram, weight): tf times ln((1 + N) / (1 + df)) + 1, unit length by document. A document has at most `features` entries."""
+    kept = stage(counts(rows, stage(top_ngrams(rows, features), "vocabulary")), "ngrams")
+    idf = kept.groupBy("ngram").agg(F.count("*").alias("df")).join(F.broadcast(rows.agg(F.count("*").alias("n_docs"))))
+    idf = idf.select("ngram", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = kept.join(F.broadcast(idf), "ngram").select("doc_id", F.struct("ngram", (F.col("n") * F.col("idf")).alias("w")).alias("x"))
+    listed = raw.groupBy("doc_id").agg(F.collect_list("x").alias("x"), F.sqrt(F.sum(F.col("x.w") * F.col("x.w"))).alias("norm"))
+    return listed.select("doc_id", "norm", F.inline("x")).select("doc_id", "ngram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 @dataclass(frozen=True)
@@ -88,10 +92,10 @@ def packed(rows):
 def fit(songs: DataFrame, components: int = COMPONENTS, features: int = FEATURES) -> Model:
     """The leading eigenvectors of the n-grams' Gram matrix, which is summed on the executors; features squared numbers reach the driver."""
     rows = songs.select(F.col("id").alias("doc_id"), semantic_text().alias("text"))
-    found = counts(rows)
-    vocabulary = top_ngrams(found, features)
+    vocabulary = stage(top_ngrams(rows, features), "vocabulary")
     n = songs.count()
-    kept = found.join(F.broadcast(vocabulary.select("ngram")), "ngram")
+    # once for each document, as the n-grams are found anyway for the matrix
+    kept = rows.select("doc_id", F.explode(F.array_distinct(ngrams(F.col("text")))).alias("ngram")).join(F.broadcast(vocabulary.select("ngram")), "ngram")
     df = {r["ngram"]: r["df"] for r in kept.groupBy("ngram").agg(F.count("*").alias("df")).orderBy("ngram").collect()}
     idf = {g: float(np.log((1 + n) / (1 + d)) + 1) for g, d in df.items()}
     size = min(components, len(idf) - 1, n - 1)

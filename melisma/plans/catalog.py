@@ -9,7 +9,7 @@ from melisma.functions import text as T
 from melisma.functions.similarity import similarity
 from melisma.functions.tables import STOPWORDS
 from melisma.operators import dedupe, frontier, html, index, search, semantic
-from melisma.sources import corpus
+from melisma.sources import corpus, store
 
 from .oracle import ORACLE
 
@@ -142,7 +142,7 @@ def stated(spark) -> list[tuple[int, str]]:
 
 @query
 def surface_features(spark, sf_dir):
-    found = search.surface(songs(spark, sf_dir), stated(spark), with_similarity=False)
+    found = search.surface(songs(spark, sf_dir), stated(spark))
     return found.select("query_id", "doc_id", "title_words", "artist_words", "in_title", "in_artist", "is_artist", "starts")
 
 
@@ -172,17 +172,58 @@ def hybrid_search(spark, sf_dir):
 
 @query
 def search_reasons(spark, sf_dir):
-    return hybrid(spark, sf_dir, 10.0).select("query_id", "doc_id", F.explode("razones").alias("razon"))
+    return hybrid(spark, sf_dir).select("query_id", "doc_id", F.explode("razones").alias("razon"))
 
 
 @query
 def api_rows(spark, sf_dir):
-    return search.result_rows(hybrid(spark, sf_dir, 10.0), songs(spark, sf_dir), search.query_table(spark, STATED))
+    return search.result_rows(hybrid(spark, sf_dir), songs(spark, sf_dir), search.query_table(spark, STATED))
 
 
 @query
 def topk_display(spark, sf_dir):
-    return search.display_rows(hybrid(spark, sf_dir, 10.0), songs(spark, sf_dir))
+    return search.display_rows(hybrid(spark, sf_dir), songs(spark, sf_dir), search.query_table(spark, STATED))
+
+
+def lexical(spark, sf_dir) -> DataFrame:
+    """Results without the two parts that only Python can compute, so that SQL can say the rest."""
+    return search.search(built(spark, sf_dir), STATED, with_similarity=False)
+
+
+@query
+def reasons_lexical(spark, sf_dir):
+    return lexical(spark, sf_dir).select("query_id", "doc_id", F.array_join("razones", ", ").alias("razones"))
+
+
+@query
+def api_rows_lexical(spark, sf_dir):
+    found = search.result_rows(lexical(spark, sf_dir), songs(spark, sf_dir), search.query_table(spark, STATED))
+    listed = (F.array_join(c, ",").alias(c) for c in ("generos", "tags"))
+    return found.select("query_id", "id", "titulo", "artista", "album", *listed, "score", F.col("año").alias("anio"), "duracion", "snippet", F.md5("letra").alias("letra_md5"))
+
+
+@query
+def console_lexical(spark, sf_dir):
+    return search.display_rows(lexical(spark, sf_dir), songs(spark, sf_dir), search.query_table(spark, STATED))
+
+
+@query
+def detail_view(spark, sf_dir):
+    """Songs as the console shows them whole; every tenth has no known language."""
+    docs = built(spark, sf_dir).docs.where(F.col("doc_id").cast("long") % 10 != 0)
+    return search.detail_rows(songs(spark, sf_dir), docs).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def console_excerpts(spark, sf_dir):
+    rows = songs(spark, sf_dir).select("id", "letra", F.inline(F.array(*(F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("q")) for i, q in enumerate(STATED)))))
+    return rows.select("query_id", "id", search.console_excerpt(F.col("letra"), F.col("q")).alias("excerpt"))
+
+
+@query
+def search_replies(spark, sf_dir):
+    """The JSON reply to each stated query."""
+    return store.response(search.result_rows(hybrid(spark, sf_dir), songs(spark, sf_dir), search.query_table(spark, STATED)))
 
 
 @query
@@ -197,15 +238,12 @@ def semantic_rows(spark, sf_dir) -> DataFrame:
 
 @query
 def top_ngrams(spark, sf_dir):
-    return semantic.top_ngrams(semantic.counts(semantic_rows(spark, sf_dir)), 500)
+    return semantic.top_ngrams(semantic_rows(spark, sf_dir))
 
 
 @query
 def tfidf_ngrams(spark, sf_dir):
-    rows = semantic_rows(spark, sf_dir)
-    found = semantic.counts(rows)
-    weights = semantic.tfidf(found, semantic.top_ngrams(found, 500), rows.agg(F.count("*").alias("n_docs")))
-    return weights.select("doc_id", "ngram", F.round("weight", 6).alias("weight"))
+    return semantic.tfidf(semantic_rows(spark, sf_dir)).select("doc_id", "ngram", F.round("weight", 6).alias("weight"))
 
 
 @query

@@ -88,7 +88,7 @@ WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, concat_ws(' ', nullif(regex
 w AS (SELECT doc_id, regexp_extract_all(lower(t), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM s),
 g AS (SELECT doc_id, unnest(w) AS ngram FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
 c AS (SELECT doc_id, ngram, count(*) AS n FROM g GROUP BY ALL),
-top AS (SELECT ngram, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY ngram ORDER BY total DESC, ngram LIMIT 500)"""
+top AS (SELECT ngram, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY ngram ORDER BY total DESC, ngram LIMIT 5000)"""
 CRAWLED = f"""SELECT conv_id, turn, array_to_string(({words('text')})[1:2], ' ') AS titulo, role AS artista FROM conversations"""
 KEYED = f"""WITH r AS (SELECT *, {strip('lower(titulo)')} AS kt, {strip('lower(artista)')} AS ka FROM ({CRAWLED})),
 known AS (SELECT DISTINCT ON (kt, ka) * FROM r WHERE conv_id % 3 = 0 AND turn = 0 ORDER BY kt, ka, conv_id, turn),
@@ -96,6 +96,28 @@ firsts AS (SELECT DISTINCT ON (kt, ka) * FROM r WHERE kt <> '' AND ka <> '' ORDE
 added AS (SELECT * FROM firsts WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.kt = firsts.kt AND k.ka = firsts.ka))"""
 SONG_ID = f"substring(md5({strip('lower(titulo)')} || '|' || {strip('lower(artista)')}), 1, 16)"
 
+LEXICAL = f"""{SCORES}, parts AS (
+  SELECT x.*, coalesce(bm25, 0) AS lexical, 2.0::DOUBLE * title_words + 2.0::DOUBLE * artist_words + 1.5::DOUBLE * coalesce(bm25, 0)
+    + CASE WHEN in_title OR in_artist THEN 8.0 ELSE 0.0 END + CASE WHEN is_artist THEN 5.0 ELSE 0.0 END + CASE WHEN starts THEN 3.0 ELSE 0.0 END AS score
+  FROM ({SURFACE}) x LEFT JOIN scores ON x.query_id = scores.query_id AND x.doc_id = scores.doc_id
+), results AS (
+  SELECT parts.query_id, doc_id, q, score, [r for r in [
+    CASE WHEN title_words > 0 THEN title_words || ' palabras en título' END, CASE WHEN artist_words > 0 THEN artist_words || ' palabras en artista' END,
+    CASE WHEN lexical > 0 THEN printf('BM25 (%.3f)', lexical) END,
+    CASE WHEN in_title THEN 'frase exacta en título' WHEN in_artist THEN 'frase exacta en artista' END,
+    CASE WHEN is_artist THEN 'artista completo' END, CASE WHEN starts THEN 'título comienza con ''' || ({words('q')})[1] || '''' END] if r IS NOT NULL] AS razones
+  FROM parts JOIN {STATED_TABLE} ON parts.query_id = stated.query_id WHERE score >= 15
+)"""
+EXCERPT = f"""CASE WHEN letra = '' OR q = '' THEN NULL
+  WHEN contains(lower(letra), q) THEN '...' || replace(substring(letra, greatest(strpos(lower(letra), q) - 51, 0) + 1, least(strpos(lower(letra), q) + 99, length(letra)) - greatest(strpos(lower(letra), q) - 51, 0)), chr(10), ' ') || '...'
+  WHEN word IS NOT NULL THEN '...' || replace(substring(letra, greatest(strpos(lower(letra), word) - 41, 0) + 1, least(strpos(lower(letra), word) + 59, length(letra)) - greatest(strpos(lower(letra), word) - 41, 0)), chr(10), ' ') || '...'
+  WHEN length(letra) > 10 THEN replace(substring(letra, 1, 100), chr(10), ' ') || '...' END"""
+WORD = f"list_filter(({words('q')})[1:2], lambda w: length(w) > 3 AND contains(lower(letra), w))[1]"
+SNIPPET = f"""CASE WHEN letra = '' THEN '' WHEN pos >= 0 THEN
+  CASE WHEN a > 0 THEN '...' ELSE '' END || {strip('substring(letra, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT))')} || CASE WHEN z < length(letra) THEN '...' ELSE '' END END"""
+POSITION = f"""CASE WHEN contains(lower(letra), q) THEN strpos(lower(letra), q)
+    ELSE strpos(lower(letra), list_filter({words('q')}, lambda w: length(w) > 3 AND contains(lower(letra), w))[1]) END - 1"""
+
 ORACLE: dict[str, str] = {
     "tokens": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, {md5_of('t')} AS tokens_md5 FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
     "deaccent_lower": f"SELECT doc_id, md5(translate(lower(text), '{ACCENTED}', '{PLAIN}')) AS folded_md5 FROM documents",
@@ -123,6 +145,22 @@ ORACLE: dict[str, str] = {
 ), b AS (SELECT *, greatest(pos - 40, 0) AS a, least(pos + length(q) + 80, length(letra)) AS z FROM p)
 SELECT query_id, id, CASE WHEN letra = '' THEN '' WHEN pos >= 0 THEN
   CASE WHEN a > 0 THEN '...' ELSE '' END || {strip('substring(letra, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT))')} || CASE WHEN z < length(letra) THEN '...' ELSE '' END END AS snippet FROM b""",
+    "reasons_lexical": f"{LEXICAL} SELECT query_id, doc_id, array_to_string(razones, ', ') AS razones FROM results",
+    "api_rows_lexical": f"""{LEXICAL}, p AS (SELECT query_id, s.*, score, q, {POSITION} AS pos FROM results JOIN s ON s.id = doc_id),
+b AS (SELECT *, greatest(pos - 40, 0) AS a, least(pos + length(q) + 80, length(letra)) AS z FROM p)
+SELECT query_id, id, titulo, artista, '' AS album, genero AS generos, '' AS tags, round(score, 2) AS score, 'N/A' AS anio, 'N/A' AS duracion, {SNIPPET} AS snippet, md5(letra) AS letra_md5 FROM b""",
+    "console_lexical": f"""{LEXICAL}, rest AS (SELECT query_id, greatest(count(*) - 15, 0) AS more FROM results GROUP BY query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM results),
+w AS (SELECT r.*, titulo, artista, genero, letra, {WORD} AS word FROM r JOIN s ON s.id = doc_id WHERE rank <= 15),
+e AS (SELECT *, {EXCERPT} AS excerpt FROM w)
+SELECT e.query_id, CAST(rank AS INTEGER) AS rank, doc_id, concat_ws(chr(10), printf('%d. [Relevancia: %.2f] 🎵 %s', rank, CAST(score AS DOUBLE), titulo), '   👤 Artista: ' || artista,
+  CASE WHEN len(razones) > 0 THEN '   📊 Relevancia por: ' || array_to_string(razones[1:3], ', ') END, '   🏷️  Géneros: ' || genero, '   📝 ' || excerpt) AS text, CAST(more AS BIGINT) AS more
+FROM e JOIN rest ON rest.query_id = e.query_id""",
+    "detail_view": f"""WITH s AS ({SONGS}), it AS ({analysed("concat_ws(' ', titulo, artista, letra, genero)")})
+SELECT id AS doc_id, md5(concat_ws(chr(10), '🎵 ' || titulo, '👤 Artista: ' || artista, '🏷️  Géneros: ' || genero, '🌐 Idioma detectado: ' || CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN 'desconocido'
+  ELSE CASE lang WHEN 'es' THEN 'Español' WHEN 'en' THEN 'Inglés' WHEN 'fr' THEN 'Francés' WHEN 'pt' THEN 'Portugués' WHEN 'it' THEN 'Italiano' ELSE lang END END, '📝 LETRA COMPLETA:', letra)) AS text_md5
+FROM s JOIN it ON it.doc_id = s.id""",
+    "console_excerpts": f"WITH s AS ({SONGS}), w AS (SELECT query_id, id, letra, q, {WORD} AS word FROM s, {STATED_TABLE}) SELECT query_id, id, {EXCERPT} AS excerpt FROM w",
     "top_ngrams": f"{NGRAMS} SELECT ngram, total FROM top",
     "tfidf_ngrams": f"""{NGRAMS}, k AS (SELECT c.* FROM c JOIN top USING (ngram)), i AS (
   SELECT ngram, ln((1 + (SELECT count(*) FROM s)) / (1 + count(*))) + 1 AS idf FROM k GROUP BY ngram

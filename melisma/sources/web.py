@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from melisma.operators.dedupe import add_new
+from melisma.operators.html import with_lyrics
+from melisma.operators.index import Index, extend
+from melisma.operators.search import search
+from melisma.sources.staging import stage
+
 HITS = "response struct<hits: array<struct<result: struct<title: string, primary_artist: struct<name: string>, url: string, album: struct<name: string>>>>>"
 
 
@@ -16,6 +22,28 @@ def hits(replies: DataFrame, most: int = 3) -> DataFrame:
     return rows.where("titulo <> '' AND artista <> '' AND url <> ''")
 
 
+def found_songs(replies: DataFrame, pages: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, pos, titulo, artista, url, album, generos, tags, letra) of the hits; letra from the stored pages (url, html)."""
+    rows = hits(replies, most)
+    stored = pages.select("url", "html").join(F.broadcast(rows.select("url").distinct()), "url", "left_semi").dropDuplicates(["url"])  # hits are few
+    rows = rows.join(stored, "url", "left").select("query_id", "pos", "titulo", "artista", "url", "album", "html")
+    tags = F.array(F.lit("genius"), F.lit("web-scraping"))
+    return with_lyrics(rows).select("*", F.array().cast("array<string>").alias("generos"), tags.alias("tags"))
+
+
+def search_completed(index: Index, query: str, replies: DataFrame, pages: DataFrame, millis: Column, least: int = 5, **options) -> tuple[DataFrame, Index]:
+    """(results, index): the local results of a query; if they are fewer than `least`, the new songs among the hits are added and the search is made again."""
+    local = search(index, [query], **options)
+    have = local.limit(least).count()
+    if have >= least:
+        return local, index
+    new = stage(add_new(index.songs, found_songs(replies, pages, least - have), ["query_id", "pos"], millis), "web-songs")
+    if new.isEmpty():
+        return local, index
+    index = extend(index, new)
+    return search(index, [query], **options), index
+
+
 def with_fallback(local: DataFrame, search, fetch, add, least: int = 5) -> DataFrame:
     """local, or if it has fewer than `least` rows the result of searching again once the fetched songs are added."""
     have = local.limit(least).count()

@@ -70,7 +70,7 @@ def test_bm25_and_search(spark, songs):
     found = search.search(built, ["The Who", "  "], min_score=15.0).collect()
     best = {r["doc_id"]: r for r in found}
     assert "1" in best and "4" in best and {r["query_id"] for r in found} == {0}
-    assert "artista exacto" in best["4"]["razones"] and best["1"]["score"] > best["4"]["score"]  # all of its terms are stop words
+    assert "artista completo" in best["4"]["razones"] and best["1"]["score"] > best["4"]["score"]  # all of its terms are stop words
     rows = search.result_rows(search.search(built, ["The Who"]), songs, search.query_table(spark, ["The Who"])).collect()
     assert {r["año"] for r in rows} == {"N/A"}
     assert search.search(built, [" "]).count() == 0
@@ -139,7 +139,7 @@ def test_merge_and_greedy(spark, songs):
     assert {r["status"]: r["n"] for r in counts.collect()} == {"agregada": 2, "duplicada": 2, "omitida": 1}
     assert merged.count() == 6
     chain = spark.createDataFrame([(0, "k1", "1", 0), (1, "k1", "2", 0), (2, "k2", "2", 0)], "pos int, k string, id string, c int")
-    kept = dedupe.greedy_first_wins(chain, [["k"], ["id"]], ["pos"], "c").collect()
+    kept = dedupe.greedy_first_wins(chain, [["k"], ["id"]], ["pos"]).collect()
     assert sorted(r["pos"] for r in kept) == [0, 2]  # a dropped row blocks none
 
 
@@ -182,3 +182,87 @@ def test_web(spark):
     reply = {"response": {"hits": [{"result": {"title": t, "primary_artist": {"name": "A"}, "url": "u", "album": None}} for t in ("T", "", "U", "V")]}}
     rows = web.hits(spark.createDataFrame([(0, json.dumps(reply)), (1, "bad")], "query_id int, json string")).collect()
     assert [r["titulo"] for r in rows] == ["T", "U"] and rows[0]["album"] == ""
+
+
+def test_reasons_and_console(spark, songs):
+    found = search.search(index.build(songs), ["the who"], with_similarity=False)
+    reasons = {r["doc_id"]: r["razones"] for r in found.collect()}
+    assert reasons["1"] == ["2 palabras en título", "2 palabras en artista", "frase exacta en título", "artista completo", "título comienza con 'the'"]
+    queries = search.query_table(spark, ["the who"])
+    text = {r["doc_id"]: r["text"] for r in search.display_rows(found, songs, queries).collect()}
+    lines = text["1"].split("\n")
+    assert lines[0].startswith("1. [Relevancia: ") and lines[0].endswith("🎵 The Who Sings") and lines[1] == "   👤 Artista: The Who"
+    assert lines[2] == "   📊 Relevancia por: 2 palabras en título, 2 palabras en artista, frase exacta en título" and lines[3] == "   🏷️  Géneros: rock"
+    assert search.display_rows(found, songs, queries, min_score=1000.0).count() == 0
+    plain = search.display_rows(spark.createDataFrame([(0, "2")], "query_id int, doc_id string"), songs, queries).first()
+    assert plain["text"].startswith("1. [Relevancia: 0.00] 🎵 Canción del mar") and "Relevancia por" not in plain["text"]
+    detail = {r["doc_id"]: r["text"] for r in search.detail_rows(songs, spark.createDataFrame([("1", "en"), ("2", "xx")], "doc_id string, idioma string")).collect()}
+    assert "Idioma detectado: Inglés" in detail["1"] and "detectado: xx" in detail["2"] and "detectado: desconocido" in detail["3"]
+
+
+def test_console_excerpt(spark):
+    text = "a" * 70 + "\nneedle " + "b" * 150
+    rows = [(text, "needle"), (text, "abc needle"), (text, "zz yy needle"), ("short", "q"), ("long enough text", "q"), ("", "q")]
+    got = [r["s"] for r in spark.createDataFrame(rows, "t string, q string").select(search.console_excerpt(F.col("t"), F.col("q")).alias("s")).collect()]
+    assert got[0] == "..." + "a" * 49 + " needle " + "b" * 93 + "..." and got[1] == "..." + "a" * 39 + " needle " + "b" * 53 + "..."
+    assert got[2] == "a" * 70 + " needle " + "b" * 22 + "..." and got[3:] == [None, "long enough text...", None]
+
+
+def test_stored_model(spark, songs, tmp_path):
+    model = semantic.fit(songs, components=2, features=50)
+    rows = songs.select(F.col("id").alias("doc_id"), corpus.semantic_text().alias("text"))
+    store.save_model(model, model.vectors(rows), str(tmp_path / "m"))
+    again, vectors = store.load_model(spark, str(tmp_path / "m"))
+    assert again.idf.keys() == model.idf.keys() and np.allclose(again.directions, model.directions) and vectors.count() == 4
+    listed = lambda df: [r["vec"] for r in df.orderBy("doc_id").collect()]
+    assert np.allclose(listed(again.vectors(rows)), listed(vectors)) and store.load_model(spark, str(tmp_path / "none")) is None
+
+
+def test_replies_and_dumps(spark, songs, tmp_path):
+    found = search.result_rows(search.search(index.build(songs), ["the who"]), songs, search.query_table(spark, ["the who"]))
+    reply = json.loads(store.response(found).first()["json"])
+    assert [x["id"] for x in reply] == [r["id"] for r in found.orderBy(F.desc("score")).collect()] and "año" in reply[0]
+    path = store.export_crawl(songs, str(tmp_path))
+    assert path.rsplit("/", 1)[1].startswith("crawled_songs_2") and spark.read.json(path).count() == 4
+
+
+def test_add_new(spark, songs):
+    found = [(0, 0, "The Who SINGS ", "the who", "u1"), (0, 1, "New", "N", "http://X/1 "), (0, 2, "Other", "O", " HTTP://x/1"), (0, 3, "new", "n", "u3"), (0, 4, "Third", "T", "u3"), (0, 5, "", "A", ""), (0, 6, "", "A", "")]
+    rows = spark.createDataFrame(found, "query_id int, pos int, titulo string, artista string, url string")
+    got = dedupe.add_new(songs, rows, ["query_id", "pos"], F.lit(1234567))
+    assert sorted(r["titulo"] for r in got.collect()) == ["", "", "New", "Third"]  # what a dropped row has in common blocks none
+    assert {r["id"] for r in got.where("titulo = 'New'").collect()} == {"new_n_34567"}
+    known = songs.withColumn("url", F.lit(" HTTP://x/1"))
+    assert "New" not in {r["titulo"] for r in dedupe.add_new(known, rows, ["query_id", "pos"], F.lit(0)).collect()}
+
+
+def test_search_completed(spark, songs):
+    hits = [{"result": {"title": "Zebra", "primary_artist": {"name": "Zed"}, "url": "http://g/z", "album": {"name": "Al"}}}, {"result": {"title": "Zebra two", "primary_artist": {"name": "Zed"}, "url": "http://g/none"}}]
+    replies = spark.createDataFrame([(0, json.dumps({"response": {"hits": hits}}))], "query_id int, json string")
+    pages = spark.createDataFrame([("http://g/z", "<div data-lyrics-container=true>one<br>two <i>zebra</i></div><div>no</div>")], "url string, html string")
+    found, after = web.search_completed(index.build(songs), "zebra", replies, pages, F.lit(5))
+    assert {r["doc_id"] for r in found.collect()} == {"zebra_zed_5", "zebra_two_zed_5"} and after.docs.count() == 6
+    letra = {r["titulo"]: r["letra"] for r in after.songs.collect()}
+    assert letra["Zebra"] == "one\ntwo zebra" and letra["Zebra two"] == html.NO_LYRICS
+    same, before = web.search_completed(index.build(songs), "the who", replies, pages, F.lit(5), least=1)
+    assert before.docs.count() == 4 and same.count() >= 1
+
+
+def test_crawl_rules(spark):
+    link = lambda *names: "".join(f"<a href='http://azlyrics.com/song/{n}'>x</a>" for n in names)
+    many = [f"m{i}" for i in range(12)]
+    rows = [("a", link("z", "b", "b", *many), "text/html"), ("z", link("c"), "Text/HTML; charset=utf-8"), ("b", "", "text/html"), ("c", "", "text/html"), ("m0", "", "application/pdf"), ("m1", "", "text/html"), *((n, "", "text/html") for n in many[2:])]
+    pages = spark.createDataFrame([(i, f"http://azlyrics.com/song/{n}", h, k) for i, (n, h, k) in enumerate(rows)], "page_id int, url string, html string, content_type string")
+    seed = ["http://azlyrics.com/song/a"]
+    names = lambda budget, **k: [r["url"].rsplit("/", 1)[1] for r in frontier.crawl(pages, seed, budget, **k)[1].collect()]
+    assert sorted(names(1000)) == sorted(["a", "z", "b", "c", *many[1:7]])  # ten links of a page, the repeated one counted twice; m0 is no page
+    assert sorted(names(3)) == ["a", "b", "z"]  # in the order of the queue, not of the alphabet
+    assert sorted(names(1000, robots={"azlyrics.com": "User-agent: *\nDisallow: /song/z"})) == sorted(["a", "b", *many[1:7]])
+    records, done = frontier.crawl(pages, seed)
+    assert frontier.stats(done, records, failed=1, queued=2, seconds=3.0).first().asDict() == {"visited": 10, "songs": 0, "queued": 2, "failed": 1, "seconds": 3.0}
+
+
+def test_generic_rules():
+    page = "<title>T</title><h1></h1><meta name=keywords content=' a,, b,c,d,e'>"
+    got = html.extract(page, "http://example.org/")
+    assert got["titulo"] == "" and got["tags"] == ["a", "", "b", "c", "d"] and html.extract("<title>T</title>", "")["tags"] == []
