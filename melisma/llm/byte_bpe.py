@@ -2,8 +2,8 @@
 
 Bytes are mapped to printable characters, the alphabet of byte-level vocabularies; pieces of text (matches of
 the split pattern) are encoded by the library in batches and kept, so a repeated piece costs one look-up.
-Decoding maps identifiers back to bytes through the reversed table; a character that is split over tokens is
-whole again once their bytes are joined.
+Decoding joins the tokens' characters and maps each back to its byte through the reversed table; a character that is
+split over tokens is whole again once their bytes are joined.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import base64
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RESULT = "doc_id long, ids binary, decoded binary"
+RESULT = "doc_id long, ids binary, decoded binary, n_split long"
 #: Pieces that a worker keeps; beyond it starts afresh.
 KEPT_PIECES = 150_000
 
@@ -70,9 +69,12 @@ class Codec:
         merges.sort()
         self.library = Tokenizer(models.BPE({shown(k): v for k, v in ranks.items()}, [x[3:] for x in merges]))
         self.table = {b: c for b, c in enumerate(self.characters)}
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.back = np.zeros(512, dtype=np.uint8)  # the byte that each character stands for
+        self.back[[ord(c) for c in self.characters]] = np.arange(256)
+        self.shown = [""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+            self.shown[rank] = shown(token)
+        self.sizes = np.array([len(x) for x in self.shown], dtype=np.int64)
         self.any, self.simple = regex.compile(pattern), simple_pattern(pattern)
         self.beyond = re.compile("[^\x00-ɏ]")
         self.known: dict[str, bytes] = {}
@@ -101,14 +103,23 @@ class Codec:
 
     def decode(self, ids: bytes | np.ndarray) -> bytes:
         numbers = np.frombuffer(ids, dtype="<u4") if isinstance(ids, bytes) else ids
-        return b"".join(map(self.bytes_of.__getitem__, numbers.tolist()))
+        characters = "".join(map(self.shown.__getitem__, numbers.tolist())).encode("utf-16-le")
+        return self.back[np.frombuffer(characters, dtype="<u2")].tobytes()
+
+    def ends(self, ids: bytes) -> np.ndarray:
+        """Where each token ends, in bytes of the text."""
+        return np.cumsum(self.sizes[np.frombuffer(ids, dtype="<u4")])
+
+    def splits(self, ids: bytes, data: bytes) -> int:
+        """How many tokens end inside a character."""
+        ends = self.ends(ids)[:-1]
+        return int(((np.frombuffer(data, dtype=np.uint8)[ends] & 0xC0) == 0x80).sum()) if len(ends) else 0
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """For each token of the text, the code points [start, end) that it holds a byte of."""
-        tokens = [self.bytes_of[i] for i in np.frombuffer(self.encode([text])[0], dtype="<u4").tolist()]
-        ends = list(accumulate(map(len, tokens)))
+        ends = self.ends(self.encode([text])[0])
         place = np.cumsum((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1
-        return [(int(place[b - len(t)]), int(place[b - 1]) + 1) for t, b in zip(tokens, ends, strict=True)]
+        return [(int(place[a]), int(place[b - 1]) + 1) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
 
 
 def batches_of(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -125,11 +136,11 @@ def batches_of(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, lis
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers), decoded (their bytes), one row per row of docs.
+    """doc_id, ids (little-endian unsigned 32-bit integers), decoded (their bytes), n_split (tokens that end inside a character), one row per row of docs.
 
     A null text counts as empty and has no identifiers. Strings of special tokens are ordinary text. Other
-    columns are not read; rows alike each get their result; keep_text adds the text as a last column. ranks_path is read on the executors, where the
-    vocabulary is installed.
+    columns are not read; rows alike each get their result; keep_text adds the text as a last column. Texts of any length are
+    coded whole. An empty table gives an empty result. ranks_path is read on the executors, where the vocabulary is installed.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         coder(ranks_path, pattern, keep_text), RESULT + ", text string" * keep_text
@@ -142,7 +153,9 @@ def coder(ranks_path: str, pattern: str, keep_text: bool):
         for batch in batches:
             for begin, texts in batches_of(batch.column("text")):
                 ids = codec.encode(texts)
-                columns = {"doc_id": batch.column("doc_id").slice(begin, len(texts)), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([codec.decode(x) for x in ids], pa.binary())}
+                decoded = [codec.decode(x) for x in ids]
+                columns = {"doc_id": batch.column("doc_id").slice(begin, len(texts)), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.binary())}
+                columns["n_split"] = pa.array([codec.splits(i, x) for i, x in zip(ids, decoded, strict=True)], pa.int64())
                 if keep_text:
                     columns["text"] = batch.column("text").slice(begin, len(texts))
                 yield pa.RecordBatch.from_pydict(columns)
@@ -158,4 +171,3 @@ def codec_of(ranks_path: str, pattern: str) -> Codec:
     if (ranks_path, pattern) not in CODECS:
         CODECS[ranks_path, pattern] = Codec(ranks_path, pattern)
     return CODECS[ranks_path, pattern]
-
