@@ -2,14 +2,16 @@
 
 A known word scores by its log frequency in each language. An unseen word is cut into the longest character
 n-grams; those that are unseen too fall back to the n-grams one shorter, down to single characters. Counts
-come from a sample of at most SAMPLE labelled rows (those of least hash, so the same rows each time); the model
-keeps what occurs `least` times, at most MOST_WORDS words and MOST_GRAMS n-grams (the most frequent; ties by text),
-which bounds what is sent to executors.
+come from a sample of at most SAMPLE labelled rows (those of least hash, so the same rows each time). Of what occurs in it
+the model keeps at most MOST_WORDS words and MOST_GRAMS n-grams (the most frequent; ties by text), which bounds what
+is sent to executors; rarer words are scored by their n-grams.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that are no digits, as ½ or Ⅳ: word characters to `re`, but not letters.
+NUMBERS = "".join(f"\\U{c:08x}" for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 #: Lengths of the n-grams of words bounded by spaces, the longest first.
 GRAMS = (4, 3, 2, 1)
 SAMPLE, MOST_WORDS, MOST_GRAMS = 5_000, 60_000, 60_000
@@ -160,13 +164,16 @@ def least_hashed(rows: DataFrame, sample: int) -> DataFrame:
     return rows.where(bits <= most).orderBy("h", "lang").limit(sample)
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, least: int = 2, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
-    """Learn from (doc_id, text, lang); rows with a null text or lang are left out."""
+def train(labelled: DataFrame, sample: int = SAMPLE, least: int = 1, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
+    """Learn from (doc_id, text, lang); rows with a null text or lang are left out, and rows alike count as often as they stand there.
+
+    least: entries that occur less often are left out as well. Ties in frequency are kept by text. No rows give a model without languages.
+    """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("h"))
     rows = least_hashed(rows, sample).repartition("h").select("lang", "text")
     counts = rows.mapInArrow(counted, "lang string, n int, item string, times long").groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
     entries = counts.groupBy("n", "item").agg(F.sum("times").alias("all"), F.collect_list(F.struct("lang", "times")).alias("by"))
-    entries = stage(entries.where(F.col("all") >= least), "language-counts")  # the rarest entries say least
+    entries = stage(entries.where(F.col("all") >= least), "language-counts")
     words = entries.where("n = 0").orderBy(F.desc("all"), "item").limit(most_words)
     grams = entries.where("n > 0").orderBy(F.desc("all"), "n", "item").limit(most_grams)
     kept = [(b["lang"], r["n"], r["item"], b["times"]) for part in (words, grams) for r in part.toLocalIterator() for b in r["by"]]
@@ -177,7 +184,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE, least: int = 2, most_words:
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1). A null text or one without letters is `und` at score 0. Only the text is read."""
+    """doc_id, lang_pred, score (0 to 1), one row per row of docs.
+
+    A null text or one without letters (Unicode category L) is `und` at score 0, as is any text of a model without languages; of equal
+    scores the first language by name is taken. Only the text is read, whole; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(model)
