@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Texts, chunks, covered, run_bounds, word_codes
-from .staging import keyed, same_row
+from .staging import fresh, keyed, same_row, stage
 
 #: Bytes that make words of [0-9a-z] and other than ASCII, after A-Z became a-z.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 WORDY = np.array([b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 18
 #: Words of test phrases sent to the executors at a time; larger benchmarks take several passes.
 PHRASE_WORDS = 2_000_000
 SAMPLED = 8
 RESULT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
-#: Column of the words that earlier blocks of a benchmark hit.
-HITS = "_hits"
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -235,17 +234,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
 
     A window is `width` consecutive words of an item, or a shorter item's words. A document word in any
     occurrence of a window is hit. Null and empty texts have no words; an empty benchmark hits nothing; a null item
-    name counts as ''. Rows alike each get their result; other columns are not read. The benchmark is read in
-    blocks of PHRASE_WORDS; beyond one block the results of the blocks are merged by row.
+    name counts as ''. Rows alike each get their result; other columns are not read. Texts of any length are searched whole. The
+    benchmark is read in blocks of PHRASE_WORDS; beyond one block the results of the blocks are merged by row.
     """
     rows = keyed(docs, id_col, text_col)
-    blocks = list(phrase_blocks(benchmark, item_col, "text", width)) or [Phrases([], width)]
-    if len(blocks) == 1:
-        return rows.select("doc_id", "text").mapInArrow(find_hits(blocks[0]), RESULT)
+    blocks = phrase_blocks(benchmark, item_col, "text", width)
+    first, second = next(blocks, None) or Phrases([], width), next(blocks, None)
+    if second is None:
+        return rows.select("doc_id", "text").mapInArrow(find_hits(first), RESULT)
     found = None
-    for block in blocks:
+    for block in chain([first, second], blocks):  # each block's hits are written, so the driver holds one block at a time
         part = rows.select(F.struct("did", "th").alias("doc_id"), "text").mapInArrow(find_hits(block), RESULT.replace("doc_id long", "doc_id struct<did:long,th:long>"))
-        part = part.where("n_hit > 0").select("doc_id.did", "doc_id.th", "items", "spans")
+        part = stage(part.where("n_hit > 0").select("doc_id.did", "doc_id.th", "items", "spans"), "hits")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.flatten(F.collect_set("spans")).alias("spans"))
     joined = rows.alias("l").join(merged.alias("r"), same_row(), "left").select("doc_id", "text", "items", "spans")
@@ -271,16 +271,18 @@ def merge_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text") -> DataFrame:
     """docs, all columns and rows, with the hit words and what stands between them cut out of the texts.
 
-    Null texts stay null. All blocks of the benchmark are searched in the texts as given, in one pass without
-    exchange; the words that any of them hits are cut once.
+    Null texts stay null, texts of any length are searched whole, and rows alike are cut alike. Columns may have any names. All
+    blocks of the benchmark are searched in the texts as given, in one pass without exchange; the words that any of
+    them hits are cut once. An empty benchmark cuts nothing.
     """
     blocks = list(phrase_blocks(benchmark, "item_id", "text", width))
     if not blocks:
         return docs
-    marked = docs if len(blocks) == 1 else docs.withColumn(HITS, F.array().cast("array<struct<start:int,end:int>>"))
+    hits = fresh(docs, "hits")  # the column of the words that earlier blocks hit
+    marked = docs if len(blocks) == 1 else docs.withColumn(hits, F.array().cast("array<struct<start:int,end:int>>"))
     for block in blocks[:-1]:
-        marked = marked.mapInArrow(marker(block, text_col), marked.schema)
-    return marked.mapInArrow(cutter(blocks[-1], text_col), docs.schema)
+        marked = marked.mapInArrow(marker(block, text_col, hits), marked.schema)
+    return marked.mapInArrow(cutter(blocks[-1], text_col, hits), docs.schema)
 
 
 def hit_runs(text: Texts, phrases: Phrases, earlier: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]:
@@ -297,34 +299,34 @@ def hit_runs(text: Texts, phrases: Phrases, earlier: list[list[dict]]) -> tuple[
     return start, end, bound, runs
 
 
-def hits_of(batch: pa.RecordBatch, text: Texts) -> list[list[dict]]:
+def hits_of(batch: pa.RecordBatch, text: Texts, hits: str) -> list[list[dict]]:
     """What earlier blocks hit in the rows of text."""
-    return batch.column(HITS).slice(text.first_row, text.rows).to_pylist() if HITS in batch.schema.names else []
+    return batch.column(hits).slice(text.first_row, text.rows).to_pylist() if hits in batch.schema.names else []
 
 
-def marker(phrases: Phrases, text_col: str):
-    """The rows with this block's hits added to HITS."""
+def marker(phrases: Phrases, text_col: str, hits: str):
+    """The rows with this block's hits added to the column hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             for text in chunks(batch.column(text_col), SHARD_BYTES):
-                runs = hit_runs(text, phrases, hits_of(batch, text))[3]
+                runs = hit_runs(text, phrases, hits_of(batch, text, hits))[3]
                 found = pa.array([[{"start": a, "end": b} for a, b in runs.get(r, [])] for r in range(text.rows)], SPANS)
                 part = batch.slice(text.first_row, text.rows)
-                yield pa.RecordBatch.from_arrays([found if k == HITS else part.column(k) for k in names], names=names)
+                yield pa.RecordBatch.from_arrays([found if k == hits else part.column(k) for k in names], names=names)
 
     return run
 
 
-def cutter(phrases: Phrases, text_col: str):
-    """The rows without HITS, and their texts without the words in it and this block's hits."""
+def cutter(phrases: Phrases, text_col: str, hits: str):
+    """The rows without the column hits, and their texts without the words in it and this block's hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [k for k in batch.schema.names if k != HITS]
+            names = [k for k in batch.schema.names if k != hits]
             for text in chunks(batch.column(text_col), SHARD_BYTES):
-                start, end, bound, runs = hit_runs(text, phrases, hits_of(batch, text))
+                start, end, bound, runs = hit_runs(text, phrases, hits_of(batch, text, hits))
                 part = batch.slice(text.first_row, text.rows)
                 texts = part.column(text_col).to_pylist()
                 for r, cuts in runs.items():
