@@ -1,10 +1,11 @@
 """Personal data: four fixed kinds, and further spans by weak supervision. DataFrame functions only.
 
-Candidates of the further kinds are matches of broad patterns. Three labelers vote on each: a strict pattern, a
-gazetteer (titles, given names, country and area codes) and the context before it. The votes are counted over
-the whole corpus by pattern of votes, of which there are few. Expectation-maximisation over those counts
-estimates each labeler's reliability and the share of true spans by kind; a logistic classifier over votes, kind
-and length is fitted to the posteriors and applied as a column expression.
+Candidates of the further kinds are matches of broad patterns. Three labelers vote on each: a strict rule (check
+digits where a kind has them), a gazetteer (country codes with their lengths, numbers known from print, area codes, given names)
+and the context before it. The votes are counted over the whole corpus by pattern of votes, of which there are few.
+Expectation-maximisation over those counts estimates, for each kind, the share of true spans and each labeler's rates
+of right and wrong votes; a logistic classifier over kind, votes, votes by kind and the shape of the surroundings is fitted to
+the posteriors. It says yes or no to each pattern, which is what a column expression then looks up.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import whole
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("account", "national_id", "local_phone", "person")
 KINDS = BASE + ADDED
@@ -27,33 +30,40 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 VALID_IP = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
 
-GIVEN = ("James", "John", "Robert", "Michael", "William", "David", "Mary", "Patricia", "Linda", "Elizabeth", "Maria", "Anna", "Jean", "Pierre", "Juan", "Carlos", "Hans", "Peter", "Klaus", "Sophie", "Marie", "Carmen", "Laura", "Thomas", "Paul")
+# IBAN lengths by country, and social security numbers that were printed as examples.
+IBAN = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+PRINTED = r"(?:078-05-1120|219-09-9999|457-55-5462|123-45-6789|987-65-43[0-9]{2}|([0-9])\1{2}-\1{2}-\1{4})"
+TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
+GIVEN = """James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Mark Paul Steven Andrew George Edward Peter
+Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah Karen Nancy Lisa Margaret Emily Laura Anna Maria Jean Pierre Louis Claude Marie
+Sophie Camille Juan Carlos Luis Antonio Carmen Pilar Lucía Hans Klaus Jürgen Wolfgang Ursula Sabine""".split()
 CANDIDATES = {
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "national_id": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "local_phone": r"(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9-])",
-    "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|" + "|".join(GIVEN) + r")\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?",
+    "person": r"(?<![A-Za-z])(?:" + "|".join(TITLES + GIVEN) + r")\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?",
 }
 STRICT = {
-    "account": r"^(?:DE|FR|ES|GB|IT|NL|AT|BE|CH)[0-9]{2}",
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
-    "local_phone": r"^\(?[2-9]",
-    "person": r"^(?:Mr|Mrs|Ms|Dr)\.? [A-Z][a-z]+ [A-Z]",
+    "local_phone": r"[ .)-]*[2-9](?!11)[0-9]{2}[.-][0-9]{4}$",
+    "person": r"^(?:" + "|".join(TITLES) + r")\.? [A-Z][a-z]+ [A-Z]",
 }
 GAZETTEER = {
-    "account": r"^(?:DE|FR|ES|GB|IT|NL)[0-9 A-Z]{16,}$",
-    "national_id": r"^(?!123-45-6789|111-11-1111|078-05-1120)",
-    "local_phone": r"^\(?(?:2[0-9]2|21[0-9]|31[0-9]|41[0-9]|51[0-9]|61[0-9]|71[0-9]|81[0-9]|91[0-9])",
+    "account": "^(?:" + "|".join(f"{k}[0-9A-Z]{{{n - 2}}}" for k, n in IBAN.items()) + ")$",
+    "national_id": f"^(?!{PRINTED}$)",
+    "local_phone": r"^\(?[2-9](?!11)[0-8][0-9]",
     "person": r"(?:^|\.? )(?:" + "|".join(GIVEN) + r")\b",
 }
 CONTEXT = {
-    "account": r"(?i)(?:iban|account|konto|compte|cuenta)\W*$",
-    "national_id": r"(?i)(?:ssn|social security|id|number)\W*$",
-    "local_phone": r"(?i)(?:phone|tel|call|mobile|cell|fax)\W*$",
-    "person": r"(?i)(?:name|contact|dear|attn|signed|by|from)\W*$",
+    "account": r"(?i)(?:iban|account|acct|konto|compte|cuenta)\W*(?:no|number|nr)?\W*$",
+    "national_id": r"(?i)(?:ssn|social security|id|number|no)\W*$",
+    "local_phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|telefon|téléphone|teléfono)\W*$",
+    "person": r"(?i)(?:name|contact|dear|attn|signed|by|from|sincerely|regards)\W*$",
 }
-BEFORE = 24
-VOTERS = ("strict", "gazetteer", "context")
+#: Shapes of what stands before a candidate: a mark that announces a value, or the begin of a line.
+MARKED, FIRST = r"[:=#]\s*$", r"(?:^|\n)\s*$"
+BEFORE, LONG, CHUNK = 24, 14, 128
+VOTERS, SHAPES = ("strict", "gazetteer", "context"), ("long", "marked", "first")
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,votes:int>>"
 
 
@@ -65,11 +75,21 @@ def let(value: Column, body) -> Column:
 def matches(text: Column, pattern: str, kind: str, keep, votes=None) -> Column:
     """Spans (code points, end exclusive) of the leftmost non-overlapping matches for which keep(match) holds.
 
-    The texts between matches tell where they stand; they are made only where there is a match.
+    The texts between matches tell where they stand; they are made only where there is a match. Matches are placed CHUNK at a
+    time, from where the chunks before end, so that no long array is copied at each step.
     """
     rank = KINDS.index(kind)
+    none = F.array().cast(SPAN)
 
     def placed(found: Column, gaps: Column) -> Column:
+        n = F.size(found)
+        chunks = F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
+        steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+
+        def begins(steps: Column) -> Column:
+            sums = F.transform(chunks, lambda c: F.aggregate(F.slice(steps, c * CHUNK + 1, F.lit(CHUNK)), F.lit(0), lambda a, x: a + x))
+            return F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.get(a, F.size(a) - 1) + x)))
+
         def step(state: Column, i: Column) -> Column:
             start = state["at"] + F.length(F.get(gaps, i))
             end = start + F.length(F.get(found, i))
@@ -78,10 +98,12 @@ def matches(text: Column, pattern: str, kind: str, keep, votes=None) -> Column:
             out = F.when(keep(F.get(found, i)), F.concat(state["out"], F.array(span))).otherwise(state["out"])
             return F.struct(end.alias("at"), out.alias("out"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
+        def spans(at: Column, c: Column) -> Column:
+            first = F.struct(F.get(at, c).alias("at"), none.alias("out"))
+            return F.aggregate(F.sequence(c * CHUNK, F.least(n, (c + 1) * CHUNK) - 1), first, step)["out"]
+
+        return let(let(steps, begins), lambda at: F.flatten(F.transform(chunks, lambda c: spans(at, c))))
 
-    none = F.array().cast(SPAN)
     every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(every, lambda found: F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps))).otherwise(none))
 
@@ -112,12 +134,26 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def mod97(match: Column) -> Column:
+    """Whether the check digits of an account number are right: the first four moved to the end, letters as 10 to 35, the rest of 97 is 1."""
+    bare = F.regexp_replace(match, " ", "")
+    moved = F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))
+
+    def step(rest: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
+
+    return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), step) == 1
+
+
 def candidates(text: Column) -> Column:
-    """Spans of the added kinds with their votes as three bits; overlaps with fixed kinds are not taken out here."""
+    """Spans of the added kinds with votes: a bit for each of VOTERS, then of SHAPES; overlaps with fixed kinds are not taken out here."""
 
     def of(kind: str) -> Column:
         def votes(match: Column, before: Column) -> Column:
-            tests = (match.rlike(STRICT[kind]), match.rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind]))
+            strict = mod97(match) if kind == "account" else match.rlike(STRICT[kind])
+            listed = (F.regexp_replace(match, " ", "") if kind == "account" else match).rlike(GAZETTEER[kind])
+            tests = (strict, listed, before.rlike(CONTEXT[kind]), F.length(match) >= LONG, before.rlike(MARKED), before.rlike(FIRST))
             return sum((F.when(t, F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tests)), F.lit(0))
 
         return matches(text, CANDIDATES[kind], kind, lambda m: F.lit(True), votes)
@@ -129,104 +165,116 @@ def free_of(spans: Column, taken: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
 
 
+def names_of(kind: str, votes: int) -> list[str]:
+    """What the classifier sees of a candidate."""
+    seen = [v for i, v in enumerate((*VOTERS, *SHAPES)) if votes >> i & 1]
+    return [kind, *seen, *(f"{kind}:{v}" for v in seen)]
+
+
 @dataclass(frozen=True)
 class Classifier:
-    """Log odds that a candidate is personal data: bias + votes + kind + length."""
+    """Log odds that a candidate is personal data: bias + kind + votes and shapes, of all kinds and of its own."""
 
     bias: float
-    votes: tuple[float, ...]
-    kinds: dict[str, float]
-    long: float
+    weights: dict[str, float]
+
+    def accepts(self, kind: str, votes: int) -> bool:
+        return self.bias + sum(self.weights.get(x, 0.0) for x in names_of(kind, votes)) > 0
 
     def column(self, span: Column) -> Column:
-        odds = F.lit(self.bias) + F.when(span["end"] - span["start"] >= 14, F.lit(self.long)).otherwise(F.lit(0.0))
-        for i, w in enumerate(self.votes):
-            odds = odds + F.when(span["votes"].bitwiseAND(1 << i) > 0, F.lit(w)).otherwise(F.lit(0.0))
-        for kind, w in self.kinds.items():
-            odds = odds + F.when(span["kind"] == kind, F.lit(w)).otherwise(F.lit(0.0))
-        return odds > 0
+        out = F.lit(False)
+        for kind in ADDED:
+            yes = [v for v in range(1 << len(VOTERS + SHAPES)) if self.accepts(kind, v)]
+            if yes:
+                out = out | ((span["kind"] == kind) & span["votes"].isin(yes))
+        return out
 
 
-Counts = dict[tuple[str, int, bool], int]
+Counts = dict[tuple[str, int], int]
 
 
 def posteriors(counts: Counts, rounds: int = 50) -> dict[tuple[str, int], float]:
     """Expectation-maximisation for independent voters: the probability that a candidate of a kind with these votes is true.
 
-    Counts are smoothed by what a fair labeler would do (right 7 times of 10), so few candidates can't turn a labeler over.
+    Each kind has rates of its own. They are smoothed by what a fair labeler would do (right 7 times of 10), so few
+    candidates can't turn a labeler over.
     """
-    hit, false = [0.7] * len(VOTERS), [0.3] * len(VOTERS)
-    share = dict.fromkeys(ADDED, 0.3)
-    total: dict[tuple[str, int], int] = {}
-    for (kind, votes, _), n in counts.items():
-        total[kind, votes] = total.get((kind, votes), 0) + n
     out: dict[tuple[str, int], float] = {}
-    for _ in range(rounds):
-        for kind, votes in total:
-            odds = log(share[kind] / (1 - share[kind]))
-            for i in range(len(VOTERS)):
-                yes = votes >> i & 1
-                odds += log((hit[i] if yes else 1 - hit[i]) / (false[i] if yes else 1 - false[i]))
-            out[kind, votes] = 1 / (1 + exp(-odds))
-        for i in range(len(VOTERS)):
+    for kind in ADDED:
+        total: dict[int, int] = {}
+        for (k, votes), n in counts.items():
+            if k == kind:
+                voted = votes & ((1 << len(VOTERS)) - 1)
+                total[voted] = total.get(voted, 0) + n
+        hit, false, share = [0.7] * len(VOTERS), [0.3] * len(VOTERS), 0.3
+        true: dict[int, float] = {}
+        for _ in range(rounds):
+            for voted in total:
+                odds = log(share / (1 - share))
+                for i in range(len(VOTERS)):
+                    yes = voted >> i & 1
+                    odds += log((hit[i] if yes else 1 - hit[i]) / (false[i] if yes else 1 - false[i]))
+                true[voted] = 1 / (1 + exp(-odds))
             for rate, prior, weigh in ((hit, 0.7, lambda p: p), (false, 0.3, lambda p: 1 - p)):
-                yes = sum(n * weigh(out[k]) for k, n in total.items() if k[1] >> i & 1)
-                rate[i] = (yes + 20 * prior) / (sum(n * weigh(out[k]) for k, n in total.items()) + 20)
-        for kind in share:
-            mine = [(n, out[k]) for k, n in total.items() if k[0] == kind]
-            share[kind] = (sum(n * p for n, p in mine) + 3) / (sum(n for n, _ in mine) + 10)
+                size = sum(n * weigh(true[v]) for v, n in total.items())
+                for i in range(len(VOTERS)):
+                    yes = sum(n * weigh(true[v]) for v, n in total.items() if v >> i & 1)
+                    rate[i] = (yes + 20 * prior) / (size + 20)
+            share = (sum(n * true[v] for v, n in total.items()) + 3) / (sum(total.values()) + 10)
+        out |= {(kind, v): p for v, p in true.items()}
     return out
 
 
-def fit(counts: Counts, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Classifier:
-    """Logistic regression on the posteriors, each vote pattern weighted by the logarithm of its count."""
+def fit(counts: Counts, rounds: int = 300, rate: float = 2.0, decay: float = 1e-3) -> Classifier:
+    """Logistic regression on the posteriors, each pattern weighted by the logarithm of its count; without candidates the majority of the labelers decides."""
+    if not counts:
+        return Classifier(-1.5, dict.fromkeys(VOTERS, 1.0))
     truth = posteriors(counts)
-    names = [*VOTERS, *ADDED, "long"]
-    weights, bias = dict.fromkeys(names, 0.0), 0.0
-    rows = [([*(v for i, v in enumerate(VOTERS) if votes >> i & 1), kind, *(["long"] if long else [])], truth[kind, votes], 1 + log(n)) for (kind, votes, long), n in sorted(counts.items())]
-    if not rows:  # nothing was seen: a majority of the labelers decides
-        return Classifier(-1.5, (1.0,) * len(VOTERS), dict.fromkeys(ADDED, 0.0), 0.0)
-    size = sum(w for *_, w in rows)
+    rows = [(names_of(kind, votes), truth[kind, votes & ((1 << len(VOTERS)) - 1)], 1 + log(n)) for (kind, votes), n in sorted(counts.items())]
+    # kinds without candidates here keep the majority's verdict
+    seen = {kind for kind, _ in counts}
+    rows += [(names_of(kind, v), float(v.bit_count() > 1), 0.5) for kind in ADDED if kind not in seen for v in range(1 << len(VOTERS))]
+    bias, weights, size = 0.0, dict.fromkeys(sorted({x for on, _, _ in rows for x in on}), 0.0), sum(w for *_, w in rows)
     for _ in range(rounds):
-        steps, step = dict.fromkeys(names, 0.0), 0.0
+        steps, step = dict.fromkeys(weights, 0.0), 0.0
         for on, p, w in rows:
             error = w / size * (p - 1 / (1 + exp(-bias - sum(weights[x] for x in on))))
             step += error
             for x in on:
                 steps[x] += error
-        bias += rate * step * 4
-        for x in names:
-            weights[x] += rate * 4 * (steps[x] - decay * weights[x])
-    return Classifier(bias, tuple(weights[v] for v in VOTERS), {k: weights[k] for k in ADDED}, weights["long"])
+        bias += rate * step
+        for x in weights:
+            weights[x] += rate * (steps[x] - decay * weights[x])
+    return Classifier(bias, weights)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Classifier:
-    """Counts the votes on all candidates of docs; at most len(ADDED) * 16 rows reach the driver."""
-    text = F.col("_text")
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    found = rows.select(F.explode(candidates(text)).alias("s"))
-    counts = found.groupBy(F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes"), (F.col("s.end") - F.col("s.start") >= 14).alias("long")).agg(F.count("*").alias("n"))
-    return fit({(r["kind"], r["votes"], r["long"]): r["n"] for r in counts.collect()})
+    """Counts the votes on all candidates of docs; the rows that reach the driver are at most 256 patterns, whatever the corpus."""
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = rows.select(F.explode(candidates(F.col("text"))).alias("s"))
+    counts = found.groupBy(F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes")).agg(F.count("*").alias("n"))
+    return fit({(r["kind"], r["votes"]): r["n"] for r in counts.collect()})
 
 
 def find(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """docs, all columns, with _spans: array of (start, rank, end, kind, votes), sorted by start, then kind as in KINDS.
+    """row (a row of docs whole) and spans: array of (start, rank, end, kind, votes), sorted by start, then kind as in KINDS.
 
-    Code points, end exclusive. Null and empty texts have no spans. Fixed kinds may overlap each other; added ones overlap
-    no fixed span. Rows alike are treated alike.
+    Code points, end exclusive. docs may have columns of any names, as they stay inside row. Null and empty texts have no
+    spans. Fixed kinds may overlap each other; added ones overlap no fixed span. Rows alike are treated alike. Texts of any
+    length are read whole. An empty table gives an empty result.
     """
-    rows = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    text = F.col("_text")
+    rows = docs.select(whole(docs), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.col("text")
 
     def merged(base: Column) -> Column:
-        return F.sort_array(F.concat(base, free_of(F.filter(candidates(text), model.column), base)))
+        return let(F.filter(candidates(text), model.column), lambda more: F.when(F.size(more) > 0, F.sort_array(F.concat(base, free_of(more, base)))).otherwise(F.sort_array(base)))
 
-    return rows.select(*docs.columns, let(base_spans(text), merged).alias("_spans"))
+    return rows.select("row", let(base_spans(text), merged).alias("spans"))
 
 
-def redact(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of `find` with each run of overlapping spans in the text replaced by its first kind, as in [email]."""
-    text, spans = F.col(text_col), F.col("_spans")
+def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of a result of `find`, with each run of overlapping spans in the text replaced by its first kind, as in [email]; null texts stay null."""
+    text, spans = F.col("row").getField(text_col), F.col("spans")
 
     def step(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
@@ -236,5 +284,6 @@ def redact(rows: DataFrame, text_col: str = "text") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     ends = lambda x: F.concat(F.array_join(x["out"], ""), F.substr(text, x["at"] + 1, F.length(text)))
-    clean = let(F.aggregate(spans, start, step), ends)
-    return rows.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text))
+    clean = F.when(F.size(spans) > 0, let(F.aggregate(spans, start, step), ends)).otherwise(text)
+    names = found.schema["row"].dataType.names
+    return found.select(*(clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names))

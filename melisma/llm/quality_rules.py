@@ -14,6 +14,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import whole
+
 SPACES = "\t\n\x0b\f\r "
 #: What a sample of labelled rows has at most; it is all that reaches the driver, as numbers.
 SAMPLE = 4_000
@@ -44,44 +46,44 @@ def words_of(text: Column) -> Column:
 
 
 def with_base(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _text, n_words and the four base counts, in one pass and without exchange."""
+    """row (a row of docs whole), text and the base counts beside it, in one pass and without exchange."""
     has_word = f"[^{SPACES}]"
-    rows = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = rows.withColumn("_words", words_of(F.col("_text")))
-    rows = rows.withColumn("_n", F.size("_words"))
+    rows = docs.select(whole(docs), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("words", words_of(F.col("text")))
+    rows = rows.withColumn("n", F.size("words"))
     # the hash of each three words in a row; a text without a repeat needs no more
-    at = F.sequence(F.lit(0), F.col("_n") - 3)
-    windows = F.transform(at, lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))
-    rows = rows.withColumn("_windows", F.when(F.col("_n") >= 3, windows).otherwise(F.array().cast("array<bigint>")))
-    repeats = F.size("_windows") > F.size(F.array_distinct("_windows"))
-    placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("_placed", F.when(repeats, placed))
+    at = F.sequence(F.lit(0), F.col("n") - 3)
+    windows = F.transform(at, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    rows = rows.withColumn("windows", F.when(F.col("n") >= 3, windows).otherwise(F.array().cast("array<bigint>")))
+    repeats = F.size("windows") > F.size(F.array_distinct("windows"))
+    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.withColumn("placed", F.when(repeats, placed))
     again = F.filter(
         F.transform(
-            "_placed",
-            lambda x, j: F.when((x["h"] == F.get("_placed", j - 1)["h"]) | (x["h"] == F.get("_placed", j + 1)["h"]), x["i"]),
+            "placed",
+            lambda x, j: F.when((x["h"] == F.get("placed", j - 1)["h"]) | (x["h"] == F.get("placed", j + 1)["h"]), x["i"]),
         ),
         lambda i: i.isNotNull(),
     )
-    rows = rows.withColumn("_again", F.sort_array(again))
+    rows = rows.withColumn("again", F.sort_array(again))
     # a window adds its three words less those that the next repeated window also has
     added = F.aggregate(
-        F.transform("_again", lambda i, j: F.least(F.lit(3), F.coalesce(F.get("_again", j + 1) - i, F.lit(3)))),
+        F.transform("again", lambda i, j: F.least(F.lit(3), F.coalesce(F.get("again", j + 1) - i, F.lit(3)))),
         F.lit(0).cast("bigint"),
         lambda total, x: total + x,
     )
-    lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(has_word))
-    rows = rows.withColumn("_lines", lines)
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(has_word))
+    rows = rows.withColumn("lines", lines)
     return rows.select(
-        *docs.columns,
-        "_text",
-        F.col("_n").cast("long").alias("_n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("_word_chars"),
-        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("_n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
-        F.size("_lines").cast("long").alias("_n_lines"),
-        F.coalesce(added, F.lit(0)).cast("long").alias("_n_repeat_words"),
-        F.monotonically_increasing_id().alias("_row"),
+        "row",
+        "text",
+        F.col("n").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(added, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.monotonically_increasing_id().alias("place"),
     )
 
 
@@ -91,33 +93,32 @@ def only(rows: DataFrame, condition: Column) -> DataFrame:
     A filter pushed below would put copies of the feature expressions into one another. It can't pass a
     column that is not deterministic and in use.
     """
-    return rows.where((F.col("_row") >= 0) & condition)
+    return rows.where((F.col("place") >= 0) & condition)
 
 
 def with_features(rows: DataFrame) -> DataFrame:
     """rows of with_base with the columns of FEATURES; empty texts have zeros."""
     share = lambda n, d: F.when(d > 0, n.cast("double") / d).otherwise(F.lit(0.0))
-    chars = F.col("_word_chars")
-    matched = lambda kind: chars_of(kind)
+    chars = F.col("word_chars")
     columns = {
-        "mean_word_chars": share(chars, F.col("_n_words")),
-        "symbol_share": share(F.col("_n_symbols"), chars),
-        "dup_line_share": share(F.col("_n_dup_lines"), F.col("_n_lines")),
-        "repeat_share": share(F.col("_n_repeat_words"), F.col("_n_words")),
-        "upper_share": share(matched("[^A-Z]+"), chars),
-        "digit_share": share(matched("[^0-9]+"), chars),
-        "bar_share": share(matched(r"[^|]+"), F.col("_n_words")),
-        "bang_share": share(matched("[^!]+"), F.col("_n_words")),
+        "mean_word_chars": share(chars, F.col("n_words")),
+        "symbol_share": share(F.col("n_symbols"), chars),
+        "dup_line_share": share(F.col("n_dup_lines"), F.col("n_lines")),
+        "repeat_share": share(F.col("n_repeat_words"), F.col("n_words")),
+        "upper_share": share(chars_of("[^A-Z]+"), chars),
+        "digit_share": share(chars_of("[^0-9]+"), chars),
+        "bar_share": share(chars_of(r"[^|]+"), F.col("n_words")),
+        "bang_share": share(chars_of("[^!]+"), F.col("n_words")),
     }
     return rows.select("*", *(v.alias(k) for k, v in columns.items()))
 
 
 def chars_of(complement: str) -> Column:
-    return F.length(F.regexp_replace("_text", complement, ""))
+    return F.length(F.regexp_replace("text", complement, ""))
 
 
 def base_failed() -> Column:
-    return (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words"))
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def gain(bad: int, good: int, bad_before: int, good_before: int) -> float:
@@ -172,7 +173,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text
     marked = marked.select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = only(with_features(with_base(rows.join(F.broadcast(marked), "doc_id"), "text")), ~base_failed())
-    found = found.select("h", "doc_id", *FEATURES, (F.col("quality") == 0).cast("int").alias("bad")).orderBy("h", "doc_id", *FEATURES).limit(sample)
+    found = found.select("row.h", "row.doc_id", *FEATURES, (F.col("row.quality") == 0).cast("int").alias("bad")).orderBy("h", "doc_id", *FEATURES).limit(sample)
     return [r.asDict() for r in found.collect()]
 
 
@@ -188,13 +189,15 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def assess(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """docs, all columns, with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _kept, and _row for `only`.
+    """row (a row of docs whole), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and place for `only`.
 
-    A null text has no words and fails the base rules, as does an empty one. Rows alike are judged alike.
+    docs may have columns of any names, these included, as they stay inside row. A null text has no words and fails the
+    base rules, as does an empty one. Rows alike are judged alike. Texts of any length are read whole.
+    An empty table gives an empty result.
     """
-    rows = with_features(with_base(docs, text_col)).withColumn("_base_failed", base_failed())
-    kept = ~F.col("_base_failed") & verdict(rules)
-    return rows.select(*docs.columns, "_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", kept.alias("_kept"), "_row")
+    rows = with_features(with_base(docs, text_col)).withColumn("base_failed", base_failed())
+    kept = ~F.col("base_failed") & verdict(rules)
+    return rows.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "place")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:

@@ -40,14 +40,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rules = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return quality_rules.assess(docs.select("doc_id", "text"), rules).select("doc_id", *(F.col(f"_{k}").alias(k) for k in columns))
+    return quality_rules.assess(docs, rules).select("row.doc_id", *columns)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, spans = documents(spark, sf_dir).select("doc_id", "text"), F.col("_spans")
+    docs, spans = documents(spark, sf_dir), F.col("spans")
     found = pii.find(docs, pii.train(docs))
     # one projection of the spans first, so that each column below reads them instead of finding them again
-    return found.select("doc_id", "_spans").select(
+    return found.select("row.doc_id", "spans").select(
         "doc_id", *(count(spans, k).alias(f"n_{k}") for k in pii.BASE), F.sha2(joined(spans, pii.BASE), 256).alias("base_sha256"), joined(spans).alias("spans")
     )
 
