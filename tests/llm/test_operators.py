@@ -22,6 +22,7 @@ COMMON = " ".join(f"common{i}" for i in range(60))
 TEXTS = [
     None, "", "   \n\t", "one", "é" * 700, COMMON, "head " + COMMON + " tail", COMMON, "x y\x85z " * 90, "a " * 300, "aa" * 900,
     "unlike any other text " + " ".join(map(str, range(200))), "日本語 " * 150 + COMMON[:200], COMMON.replace("common59", "other"),
+    *(f"{x} " + " ".join(f"shared{i}" for i in range(30)) + f" {x}" for x in ("first", "second")),
 ]
 
 
@@ -53,26 +54,67 @@ def kept_by_brute(sequences, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 0])
-def test_repeated_words(docs, empty, hot):
+@pytest.mark.parametrize("most", [4096, 3, 0])
+def test_repeated_words(docs, empty, most):
     rows = pairs(docs)
-    spec = Windows("words", 35, 8, hot_segments=hot)
+    spec = Windows("words", 35, 8, most)
     want = sorted(((i is None, i or 0), b" ".join(k).decode()) for (i, _), k in zip(rows, kept_by_brute([WORDS.findall(t.encode()) for _, t in rows], 35), strict=True))
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["kept"]) for r in substring_dedup.remove_repeated_words(docs, spec).collect())
     assert got == want
     assert substring_dedup.remove_repeated_words(empty, spec).count() == 0
 
 
-@pytest.mark.parametrize("hot", [4096, 0])
-def test_repeated_bytes(docs, empty, hot):
+@pytest.mark.parametrize("most", [4096, 3, 0])
+def test_repeated_bytes(docs, empty, most):
     rows = pairs(docs)
-    spec = Windows("bytes", 400, 48, hot_segments=hot)
-    want = sorted(((i is None, i or 0), bytes(k)) for (i, _), k in zip(rows, kept_by_brute([t.encode() for _, t in rows], 400), strict=True))
-    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), bytes(r["kept"])) for r in suffix_dedup.remove_repeated_bytes(docs, spec).collect())
+    spec, passage = Windows("bytes", 400, 48, most), Windows("bytes", 200, 48, most)
+    short = kept_by_brute([t.encode() for _, t in rows], 200)
+    want = Counter((i, bytes(k), len(t.encode()) - len(s)) for (i, t), k, s in zip(rows, kept_by_brute([t.encode() for _, t in rows], 400), short, strict=True))
+    assert any(n > 200 and k.startswith(b"first shared0") for _, k, n in want)  # a passage that stays
+    got = Counter((r["doc_id"], bytes(r["kept"]), r["n_passage"]) for r in suffix_dedup.remove_repeated_bytes(docs, spec, passage).collect())
     assert got == want
     assert suffix_dedup.remove_repeated_bytes(empty, spec).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n)), "".join("ba"[i.bit_count() % 2] for i in range(n))
+
+
+def test_long_words_differ(spark):
+    """Words that any polynomial modulo 2**64 confuses."""
+    tail = " ".join(f"t{i}" for i in range(34))
+    rows = [(i, f"{w} {tail}") for i, w in enumerate([*thue_morse(1024), *thue_morse(2048), "a" * 9, "a" * 9 + "\0", "a\0", "a"])]
+    table = spark.createDataFrame(rows, "doc_id int, text string")
+    assert all(r["n_removed"] == 0 for r in substring_dedup.remove_repeated_words(table).collect())
+    first, second = thue_morse(2048)
+    phrase = " ".join(f"t{i}" for i in range(9))
+    table = spark.createDataFrame([(0, f"{first} {phrase}"), (1, f"{second} {phrase}")], "doc_id int, text string")
+    bench = spark.createDataFrame([("x", f"{first} {phrase}")], "item_id string, text string")
+    assert sorted((r["doc_id"], r["n_hit"]) for r in fm_index.contamination(table, bench).collect()) == [(0, 10), (1, 0)]
+
+
+def test_parse_decides():
+    """Matches are looked up only at the begins of factors and across their boundaries."""
+    text = np.arange(100, dtype=np.uint64)
+    codes = np.concatenate([text, text[:60], text[58:]])  # the second copy's boundary is crossed by no repeated window, the text's own is
+    bound = np.array([0, 100, 160, 202])
+    asked = []
+
+    class Seen(substring_dedup.Reference):
+        def longest(self, at):
+            asked.append(len(at))
+            return super().longest(at)
+
+    plain, substring_dedup.Reference = substring_dedup.Reference, Seen
+    try:
+        got = substring_dedup.factor(codes, bound, np.diff(bound) - 34, np.ones(3, dtype=np.int64), 35)
+    finally:
+        substring_dedup.Reference = plain
+    every = Counter(tuple(codes[i : i + 35]) for a, b in zip(bound, bound[1:]) for i in range(a, b - 34))
+    assert got.tolist() == [any(a <= i <= b - 35 for a, b in zip(bound, bound[1:])) and every[tuple(codes[i : i + 35])] > 1 for i in range(len(codes))]
+    assert sum(asked) < len(codes) // 4
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), min_size=5, max_size=12), min_size=1, max_size=8))
 def test_block_methods(segments):
@@ -147,9 +189,10 @@ def test_simhash(docs, empty):
                 forest.join(i, j)
     least = {}
     for i, (d, _) in enumerate(rows):
-        least[forest.root(i)] = min((x for x in (least.get(forest.root(i)), d) if x is not None), default=None)
+        root = forest.roots(np.array([i]))[0]
+        least[root] = min((x for x in (least.get(root), d) if x is not None), default=None)
     got = simhash.near_duplicates(docs, shingle=4).collect()
-    assert Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == Counter((d, prints[i], least[forest.root(i)]) for i, (d, _) in enumerate(rows))
+    assert Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == Counter((d, prints[i], least[forest.roots(np.array([i]))[0]]) for i, (d, _) in enumerate(rows))
     assert simhash.near_duplicates(empty).count() == 0
 
 
@@ -192,7 +235,7 @@ def test_near_duplicates(spark, empty, near_copies):
         got.setdefault(r["component"], set()).add(r["did"])
     want = {}
     for i in range(len(rows)):
-        want.setdefault(forest.root(i), set()).add(i)
+        want.setdefault(int(forest.roots(np.array([i]))[0]), set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, "").collect()) == sorted(want)
     assert shingles.near_duplicates(empty).count() == 0
@@ -208,19 +251,53 @@ def test_near_duplicates_rows(spark):
     assert got == Counter([(None, other[0]), (None, other[1]), (7, other[2]), (3, other[3]), (7, other[4]), (9, None)])
 
 
+def near_prints(seed, families, members, others):
+    """Distinct fingerprints: families whose members differ in up to 4 random bits from one centre, and others at random."""
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 2**63, families, dtype=np.uint64) << np.uint64(1)
+    near = centres[rng.integers(0, families, members)]
+    for _ in range(4):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, members).astype(np.uint64))
+    return np.unique(np.concatenate([near, rng.integers(0, 2**63, others, dtype=np.uint64)]))
+
+
+def classes(prints, radius):
+    forest = simhash.Forest(len(prints))
+    for i in range(0, len(prints), 256):
+        for a, b in zip(*np.nonzero(simhash.distance(prints[i : i + 256, None], prints[None]) <= radius), strict=True):
+            forest.join(i + int(a), int(b))
+    return forest.roots(np.arange(len(prints))).tolist()
+
+
 @pytest.mark.parametrize("radius", [4, 7])
 def test_tree(radius):
-    rng = np.random.default_rng(radius)
-    centres = rng.integers(0, 2**63, 20, dtype=np.uint64)
-    near = centres[rng.integers(0, 20, 900)]
-    for _ in range(4):
-        near = near ^ (np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64))
-    prints = np.unique(np.concatenate([near, rng.integers(0, 2**63, 900, dtype=np.uint64)]))
-    tree, forest = simhash.Tree(prints, radius), simhash.Forest(len(prints))
-    tree.within(np.arange(len(prints)))
-    for a, b in zip(*np.nonzero(simhash.distance(prints[:, None], prints[None]) <= radius), strict=True):
-        forest.join(int(a), int(b))
-    assert [tree.forest.root(i) for i in range(len(prints))] == [forest.root(i) for i in range(len(prints))]
+    prints = near_prints(radius, 20, 900, 900)
+    masks, reach = simhash.block_masks(radius)
+    trees = [simhash.Tree(prints, radius)] + [simhash.Tree(prints, radius, int(m), reach) for m in masks]
+    for tree in trees:
+        tree.within(np.arange(len(prints)))
+        assert tree.splits > 10
+    want = classes(prints, radius)
+    assert trees[0].forest.roots(np.arange(len(prints))).tolist() == want
+    union = simhash.Forest(len(prints))
+    for tree in trees[1:]:
+        assert tree.tested < len(prints) ** 2 // 2  # branches were pruned
+        for a, b in tree.edges:
+            union.join(a, b)
+    assert union.roots(np.arange(len(prints))).tolist() == want
+
+
+def test_shards(spark, monkeypatch):
+    """Several thousand fingerprints over many shards: links across their boundaries are found."""
+    monkeypatch.setattr(simhash, "SHARD", 256)
+    prints = near_prints(1, 60, 3000, 3000)
+    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    met = simhash.shards_of(table, 4).groupBy("block", "shard").agg(F.sum(F.col("lives").cast("int")).alias("own"), F.count("*").alias("n")).collect()
+    assert len(met) > 3 * 16 and sum(r["own"] for r in met) == 3 * len(prints) and max(r["own"] for r in met) < len(prints) // 4
+    forest, place = simhash.Forest(len(prints)), {int(x): i for i, x in enumerate(prints.view(np.int64))}
+    for r in simhash.links(table, 4).collect():
+        forest.join(place[r["u"]], place[r["v"]])
+    assert forest.roots(np.arange(len(prints))).tolist() == classes(prints, 4)
 
 
 def test_components(spark):
@@ -234,24 +311,27 @@ def test_quality(spark, docs, empty):
     good = [(100 + i, " ".join(f"word{j} t{i * 100 + j}" for j in range(60)), 1) for i in range(60)]
     rows = spark.createDataFrame(spam + good, "doc_id int, text string, quality int")
     rules = quality_rules.train(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
-    kept = {r["doc_id"]: r["_kept"] for r in quality_rules.assess(rows, rules).collect()}
+    kept = {r["row"]["doc_id"]: r["kept"] for r in quality_rules.assess(rows, rules).collect()}
     assert rules and all(kept[i] == (i >= 100) for i in kept)
     assert quality_rules.train(empty, rows.select("doc_id", "quality")) == [] and quality_rules.assess(empty, rules).count() == 0
     for r in quality_rules.assess(docs, rules).collect():
-        w = WORDS.findall((r["text"] or "").encode())
+        w = WORDS.findall((r["row"]["text"] or "").encode())
         times = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         again = {j for i in range(len(w) - 2) if times[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
-        assert (r["_n_words"], r["_n_repeat_words"]) == (len(w), len(again))
-        assert r["_word_chars"] == len(b"".join(w).decode())
+        assert (r["n_words"], r["n_repeat_words"]) == (len(w), len(again))
+        assert r["word_chars"] == len(b"".join(w).decode())
 
 
 def test_pii(spark, empty):
     texts = ["é a@b.c_d@e.f 1.2.3.4.5.6.7.8 256.1.1.1", "4111 1111 1111 1111- 4111-1111-1111-1112", "+49 (30) 1234-5678. +1", "1 " * 30000, "9" * 30000, None, "", "call 212-555-1234 or ssn 219-09-9999"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     found = pii.find(rows, pii.train(rows))
-    got = {r["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["_spans"]] for r in found.collect()}
+    got = {r["row"]["doc_id"]: [(s["kind"], r["row"]["text"][s["start"] : s["end"]]) for s in r["spans"]] for r in found.collect()}
     assert got[0] == [("email", "a@b.c"), ("email", "_d@e.f"), ("ip", "1.2.3.4"), ("ip", "5.6.7.8")] and got[1] == [("card", "4111 1111 1111 1111")]
     assert got[2] == [("phone", "+49 (30) 1234-5678")] and not any(got[i] for i in (3, 4, 5, 6)) and [k for k, _ in got[7]] == ["local_phone", "national_id"]
+    many = " ".join(f"a{i}@b.cd" for i in range(1000))  # more than a chunk
+    spans = pii.find(spark.createDataFrame([(1, "é " + many)], "doc_id int, text string"), pii.fit({})).first()["spans"]
+    assert [("é " + many)[s["start"] : s["end"]] for s in spans] == many.split()
     clean = {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}
     assert clean[0] == "é [email][email] [ip].[ip] 256.1.1.1" and clean[5] is None and clean[6] == ""
     assert pii.find(empty, pii.train(empty)).count() == 0
@@ -313,6 +393,41 @@ def test_toxicity(spark, empty):
     assert toxicity.train(empty, table.select("doc_id", "toxic", "quality")) == [] and toxicity.predict(empty, chain).count() == 0
 
 
+def test_toxicity_held_out(spark):
+    """Trained on the even labelled ids, asked for the odd ones."""
+    folder = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{folder}/documents.parquet").join(F.broadcast(spark.read.parquet(f"{folder}/labels.parquet")), "doc_id").select("doc_id", "text", "quality", F.col("toxic").alias("truth"))
+    labels = table.where("doc_id % 2 = 0").select("doc_id", "quality", F.col("truth").alias("toxic"))
+    asked = table.where("doc_id % 2 = 1")
+    got = toxicity.predict(asked, toxicity.train(table.select("doc_id", "text"), labels)).join(asked.select("doc_id", "truth"), "doc_id").groupBy("truth", "toxic").count().collect()
+    times = {(r["truth"], r["toxic"]): r["count"] for r in got}
+    assert times[1, True] / (times[1, True] + times[1, False]) >= 0.9 and times[0, False] / (times[0, False] + times.get((0, True), 0)) >= 0.99
+
+
+def test_labelers():
+    """Kinds have reliabilities of their own: a labeler that is right in one kind and random in another."""
+    counts = {}
+    for n, votes in ((400, 0b111), (30, 0b110), (30, 0b101), (500, 0b000), (20, 0b100)):
+        counts["account", votes] = n
+    for n, votes in ((200, 0b111), (200, 0b101), (300, 0b010), (300, 0b000)):  # the gazetteer tosses a coin
+        counts["person", votes] = n
+    truth = pii.posteriors(counts)
+    assert truth["account", 0b111] > 0.95 and truth["account", 0b000] < 0.05
+    assert truth["person", 0b101] > 0.8 and truth["person", 0b010] < 0.2 and truth["account", 0b010 | 0b100] > truth["person", 0b010]
+    model = pii.fit(counts)
+    assert model.accepts("account", 0b111) and model.accepts("person", 0b101) and not model.accepts("person", 0b010) and not model.accepts("account", 0)
+
+
+def test_added_kinds(spark):
+    good, bad = "DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00"
+    texts = [f"IBAN: {good} end", f"part {bad} end", "ssn 078-05-1120", "SSN: 512-34-5678", "Dear Mr. John Smith", "The Grace Hopper"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r["row"]["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find(rows, pii.fit({})).collect()}
+    assert got == {0: ["account"], 1: [], 2: ["national_id"], 3: ["national_id"], 4: ["person"], 5: []}
+    valid = spark.createDataFrame([(good,), (bad,), ("GB82WEST12345698765432",)], "t string").select(pii.mod97(F.col("t")).alias("ok"))
+    assert [r["ok"] for r in valid.collect()] == [True, False, True]
+
+
 def test_language(spark, empty):
     stems = {"en": ["the", "house", "walk", "thing"], "de": ["der", "haus", "gehen", "schön"], "fr": ["le", "maison", "aller", "déjà"]}
     rows = [(i, " ".join(stems[k][(i + j) % 4] for j in range(12)), k) for i in range(60) for k in [list(stems)[i % 3]]]
