@@ -16,28 +16,28 @@ TITLE_SIMILARITY, ARTIST_SIMILARITY, SIMILAR = 5.0, 5.0, 0.3
 TITLE_WORD, ARTIST_WORD, LEXICAL, SEMANTIC = 2.0, 2.0, 1.5, 4.0
 PHRASE, ARTIST_EQUAL, STARTS = 8.0, 5.0, 3.0
 K1, B, LEAST_SCORE, SEMANTIC_SHOWN = 1.5, 0.75, 15.0, 0.05
+#: Stated queries that one pass over the songs takes; more are taken in blocks.
 MOST_QUERIES = 256
 
 
-def query_table(spark, queries: list[str]) -> DataFrame:
-    """(query_id, q): lower case, stripped; blank queries give no rows. Queries are a stated set of at most MOST_QUERIES."""
-    if len(queries) > MOST_QUERIES:
-        raise ValueError(f"{len(queries)} queries; give at most {MOST_QUERIES} at a time")
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(queries)], "query_id int, raw string")
+def query_table(spark, queries: list[str], first: int = 0) -> DataFrame:
+    """(query_id, q): lower case, stripped; blank queries give no rows. Ids count from `first`."""
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(queries, first)], "query_id int, raw string")
     return rows.select("query_id", strip(F.lower("raw")).alias("q")).where("q <> ''")
 
 
 def bm25(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, bm25): document frequencies of the index text, term frequencies of the search text.
 
-    A query is analysed in its own language. Only postings of query terms are read, so work follows the matches.
+    A query is analysed in its own language. Only postings of query terms are read, so work follows the matches. The
+    queries are a table of any size; its joins are sent to all tasks only where the measured size allows.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("q"), language(F.col("q"))))).alias("term"))
     n = index.docs.agg(F.count("*").alias("n"))
-    seen = document_frequency(index.postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi"))
+    seen = document_frequency(index.postings.join(wanted.select("term").distinct(), "term", "left_semi"))
     weighed = wanted.join(seen, "term", "left").join(F.broadcast(n)).withColumn("df", F.coalesce("df", F.lit(0)))
     weighed = weighed.select("query_id", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
-    hits = index.search.join(F.broadcast(weighed), "term").join(F.broadcast(average_length(index.docs)))
+    hits = index.search.join(weighed, "term").join(F.broadcast(average_length(index.docs)))
     length = F.when(F.col("avg_len") > 0, F.col("doc_len") / F.col("avg_len")).otherwise(F.lit(0.0))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
@@ -100,14 +100,17 @@ def reasons() -> Column:
     return F.array_compact(F.array(*(F.when(test, text) for test, text in shown)))
 
 
-def search(index: Index, queries: list[str], min_score: float = LEAST_SCORE, semantic: DataFrame | None = None, with_similarity: bool = True) -> DataFrame:
+def search(index: Index, queries: list[str], min_score: float = LEAST_SCORE, semantic: DataFrame | None = None, with_similarity: bool = True, first: int = 0) -> DataFrame:
     """(query_id, doc_id, score, razones) of documents with at least min_score. semantic: (query_id, doc_id, semantic) if there is a model.
 
     Every document is scored against each stated query, as short titles alone can reach the least score. The gestalt
     similarity, which Python computes, is asked for only where it could still lift the rest of the score to the least one.
     """
     spark = index.songs.sparkSession
-    asked = query_table(spark, queries)
+    if len(queries) > MOST_QUERIES:
+        rest = search(index, queries[MOST_QUERIES:], min_score, semantic, with_similarity, first + MOST_QUERIES)
+        return search(index, queries[:MOST_QUERIES], min_score, semantic, with_similarity, first).unionByName(rest)
+    asked = query_table(spark, queries, first)
     stated = [(r["query_id"], r["q"]) for r in asked.collect()]
     if not stated:
         return spark.createDataFrame([], "query_id int, doc_id string, score double, razones array<string>")

@@ -136,6 +136,15 @@ def bm25_topk(spark, sf_dir):
     return search.ranked(found, 10)
 
 
+@query
+def bm25_titles(spark, sf_dir):
+    """The titles of the songs with an id divisible by 50 as queries against all songs; the best ten of each."""
+    found = built(spark, sf_dir)
+    asked = found.songs.where(F.col("id").cast("long") % 50 == 0).select(F.col("id").cast("int").alias("query_id"), T.strip(F.lower("titulo")).alias("q")).where("q <> ''")
+    scores = search.bm25(found, asked).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
+    return search.ranked(scores, 10)
+
+
 def stated(spark) -> list[tuple[int, str]]:
     return [(r["query_id"], r["q"]) for r in search.query_table(spark, STATED).collect()]
 

@@ -72,13 +72,20 @@ found AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({terms
 lens AS (SELECT doc_id, len({words('t')}) AS doc_len FROM st),
 df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 n AS (SELECT count(*) AS n FROM s)"""
-SCORES = f"""{INDEX},
-asked AS (SELECT DISTINCT query_id, unnest({terms(tokens('q'), language('q'))}) AS term FROM {STATED_TABLE}),
+
+
+def scores(stated: str) -> str:
+    return f"""{INDEX},
+asked AS (SELECT DISTINCT query_id, unnest({terms(tokens('q'), language('q'))}) AS term FROM {stated}),
 idf AS (SELECT query_id, asked.term, ln((n - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE) + 1) AS idf FROM asked LEFT JOIN df ON asked.term = df.term, n),
 scores AS (
   SELECT query_id, found.doc_id, sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / (SELECT avg(doc_len) FROM lens)))) AS bm25
   FROM found JOIN idf ON found.term = idf.term JOIN lens ON found.doc_id = lens.doc_id GROUP BY ALL
 )"""
+
+
+SCORES = scores(STATED_TABLE)
+TOP = "SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, doc_id, round(bm25, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM scores) WHERE rank <= 10"
 SURFACE = f"""SELECT query_id, id AS doc_id,
   len(list_intersect({words('q')}, {words('lower(titulo)')})) AS title_words, len(list_intersect({words('q')}, {words('lower(artista)')})) AS artist_words,
   contains(lower(titulo), q) AS in_title, contains(lower(artista), q) AS in_artist, lower(artista) = q AND {strip('artista')} <> '' AS is_artist,
@@ -133,7 +140,8 @@ ORACLE: dict[str, str] = {
     "vocab_size": f"{INDEX} SELECT count(*) AS vocab_size FROM df",
     "doc_len_stats": f"{INDEX} SELECT count(*) AS n_docs, round(avg(doc_len), 6) AS avg_len, CAST(sum(doc_len) AS BIGINT) AS total_len FROM lens",
     "bm25_multi_query": f"{SCORES} SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM scores",
-    "bm25_topk": f"{SCORES} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, doc_id, round(bm25, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM scores) WHERE rank <= 10",
+    "bm25_topk": f"{SCORES} {TOP}",
+    "bm25_titles": f"{scores(f"(SELECT CAST(id AS INTEGER) AS query_id, {strip('lower(titulo)')} AS q FROM s WHERE CAST(id AS BIGINT) % 50 = 0 AND {strip('lower(titulo)')} <> '')")} {TOP}",
     "surface_features": f"WITH s AS ({SONGS}) {SURFACE}",
     "hybrid_no_similarity": f"""{SCORES} SELECT query_id, doc_id, round(score, 4) AS score FROM (
   SELECT x.query_id, x.doc_id, 2.0::DOUBLE * title_words + 2.0::DOUBLE * artist_words + 1.5::DOUBLE * coalesce(bm25, 0)

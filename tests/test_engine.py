@@ -266,3 +266,11 @@ def test_generic_rules():
     page = "<title>T</title><h1></h1><meta name=keywords content=' a,, b,c,d,e'>"
     got = html.extract(page, "http://example.org/")
     assert got["titulo"] == "" and got["tags"] == ["a", "", "b", "c", "d"] and html.extract("<title>T</title>", "")["tags"] == []
+
+
+def test_many_queries(spark, songs, monkeypatch):
+    built, asked = index.build(songs), ["the who", "road", "el mar", "canción del mar", " "]
+    rows = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    whole = rows(search.search(built, asked, min_score=5.0))
+    monkeypatch.setattr(search, "MOST_QUERIES", 2)
+    assert rows(search.search(built, asked, min_score=5.0)) == whole and len({x[0] for x in whole}) == 4
