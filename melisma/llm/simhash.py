@@ -9,7 +9,7 @@ also visits that side's shards as a query. Within a shard the tree goes on, down
 two rules. Pairs that meet in a leaf are tested on all 64 bits.
 
 The upper levels are laid out by a sample of at most SAMPLE fingerprints, which decides who is compared where but not what is
-found. A fingerprint visits about (n / SHARD) ** 0.42 shards of a part. A shard gives a spanning forest
+found. A fingerprint visits about (n / SHARD) ** 0.47 shards of a part. A shard gives a spanning forest
 of its links, not all pairs; the global components come from those edges.
 """
 
