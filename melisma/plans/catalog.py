@@ -384,6 +384,17 @@ def scrape_pages(spark, sf_dir):
     return html.scrape(pages(spark, sf_dir)).select("page_id", "record.*")
 
 
+@query
+def scraped_titles(spark, sf_dir):
+    return html.scrape(pages(spark, sf_dir)).select("page_id", "record.titulo")
+
+
+@query
+def scraped_links(spark, sf_dir):
+    found = html.scrape(pages(spark, sf_dir))
+    return found.select("page_id", F.size("links").cast("long").alias("n_links"), F.md5(F.array_join("links", "|")).alias("links_md5"))
+
+
 @query
 def meta_map(spark, sf_dir):
     return html.scrape(pages(spark, sf_dir)).select("page_id", F.explode("meta").alias("name", "content"))

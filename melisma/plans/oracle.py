@@ -195,6 +195,11 @@ FROM s WHERE k % 2 = 0 OR k % 3 = 0 OR k % 5 = 0 OR k % 7 = 0""",
     "event_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "page_title": r"SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM pages",
     "page_links": """SELECT page_id, CAST(len(l) AS BIGINT) AS n_links, array_to_string(l, '|') AS links FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)""",
+    "scraped_titles": r"""WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages),
+u AS (SELECT page_id, trim(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS h, trim(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS t FROM p)
+SELECT page_id, CASE WHEN length(h) < 100 THEN h ELSE t END AS titulo FROM u""",
+    "scraped_links": """WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS host, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)
+SELECT page_id, CAST(len(l) AS BIGINT) AS n_links, md5(array_to_string(list_transform(l, lambda x: CASE WHEN starts_with(x, 'http') THEN x ELSE host || x END), '|')) AS links_md5 FROM l""",
     "url_relevant": "SELECT page_id, regexp_matches(lower(url) || '/', '/(lyrics|song|artist|album|track|music|cancion|letra|artists|songs|albums)/') AS relevant, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages",
     "url_trusted": "SELECT page_id, contains(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), 'example.org') OR contains(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), 'example.com') AS trusted FROM pages",
 }
