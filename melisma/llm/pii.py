@@ -24,7 +24,7 @@ KINDS = BASE + ADDED
 
 # Possessive groups are matched in a loop, so long texts take no stack; a run of name characters or digits is tried once.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+IP = r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # a shorter match can't hold 12 digits, nor can its tails
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -37,11 +37,12 @@ TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split
 GIVEN = """James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Mark Paul Steven Andrew George Edward Peter
 Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah Karen Nancy Lisa Margaret Emily Laura Anna Maria Jean Pierre Louis Claude Marie
 Sophie Camille Juan Carlos Luis Antonio Carmen Pilar Lucía Hans Klaus Jürgen Wolfgang Ursula Sabine""".split()
+# Each begins with a look ahead at what it must start with, which passes over most of a text.
 CANDIDATES = {
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "national_id": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
-    "local_phone": r"(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9-])",
-    "person": r"(?<![A-Za-z])(?:" + "|".join(TITLES + GIVEN) + r")\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?",
+    "account": r"(?=[A-Z]{2}[0-9])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "national_id": r"(?=[0-9]{3}-)(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
+    "local_phone": r"(?=[(0-9])(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9-])",
+    "person": r"(?=[A-Z])(?<![A-Za-z])(?:" + "|".join(TITLES + GIVEN) + r")\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?",
 }
 STRICT = {
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
