@@ -77,6 +77,21 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_byte_bpe, op4_simhash, op5_quality_rules, op6_pii, op7_fm_index, op8_toxicity, op9_suffix_dedup, op10_language_id)}
+
+
+def repeated_runs(name: str, size: int) -> str:
+    """Common table expressions up to {name}_runs: the maximal runs (r, a, z) of bytes in strings of this size that start elsewhere too; d has each text in hexadecimal."""
+    return f"""{name}_hashed AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, {2 * size})) AS m FROM (SELECT r, h, unnest(range(0, n - {size - 1})) AS i FROM d WHERE n >= {size})
+), {name}_again AS (
+  SELECT r, i FROM {name}_hashed WHERE m IN (SELECT m FROM {name}_hashed GROUP BY m HAVING count(*) > 1)
+), {name}_marked AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {size} THEN 0 ELSE 1 END AS fresh FROM {name}_again
+), {name}_runs AS (
+  SELECT r, min(i) AS a, max(i) + {size} AS z FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM {name}_marked) GROUP BY r, k
+)"""
+
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
 WITH d AS (
@@ -97,6 +112,22 @@ WITH d AS (
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.r = kept.r""",
+    "op9_suffix_dedup": f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), {repeated_runs("long", 400)}, {repeated_runs("short", 200)}, removed AS (
+  SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed FROM long_runs GROUP BY r
+), passages AS (
+  SELECT r, sum(z - a) AS n_passage FROM short_runs GROUP BY r
+), edges AS (
+  SELECT r, a, z FROM long_runs UNION ALL SELECT r, n, n FROM d
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a, z) AS kept
+  FROM (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a, z), 0) AS b FROM edges) JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(kept)) AS kept_sha256, CAST(coalesce(n_passage, 0) AS BIGINT) AS n_passage
+FROM d JOIN kept USING (r) LEFT JOIN removed USING (r) LEFT JOIN passages USING (r)""",
     "op7_fm_index": r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r,
