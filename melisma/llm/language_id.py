@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 
-#: Numbers that are no digits, as ½ or Ⅳ: word characters to `re`, but not letters.
-NUMBERS = "".join(f"\\U{c:08x}" for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that are no digits, as ½ or Ⅳ, are word characters to `re`, but not letters.
+NUMBERS = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
+BLANKED = dict.fromkeys(map(ord, NUMBERS), " ")
 #: Lengths of the n-grams of words bounded by spaces, the longest first.
 GRAMS = (4, 3, 2, 1)
 SAMPLE, MOST_WORDS, MOST_GRAMS = 5_000, 60_000, 60_000
@@ -35,7 +36,10 @@ TEMPER = 0.5
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    text = text.lower()
+    if not text.isascii() and not NUMBERS.isdisjoint(text):
+        text = text.translate(BLANKED)
+    return LETTERS.findall(text)
 
 
 def grams_of(word: str, n: int) -> list[str]:
