@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fm_index, language_id, pii, quality_rules, secret_scan, simhash, spelling, substring_dedup, suffix_dedup, toxicity, whitening
+from . import byte_bpe, embedding_dedup, fm_index, language_id, pii, quality_rules, secret_scan, simhash, spelling, substring_dedup, suffix_dedup, toxicity, whitening
 from .spans import count, joined
 
 
@@ -84,7 +84,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_byte_bpe, op4_simhash, op5_quality_rules, op6_pii, op7_fm_index, op8_toxicity, op9_suffix_dedup, op10_language_id, op11_whitening, op12_spelling_variants)}
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_byte_bpe, op4_simhash, op5_quality_rules, op6_pii, op7_fm_index, op8_toxicity, op9_suffix_dedup, op10_language_id, op11_whitening, op12_spelling_variants, op13_embedding_dedup)}
 
 
 def repeated_runs(name: str, size: int) -> str:
