@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from melisma.functions.similarity import most_similar, similarity
 from melisma.functions.tables import LANGUAGE_NAMES, UNKNOWN_LANGUAGE
 from melisma.functions.text import language, strip, terms, words
 
+from melisma.sources.staging import stage
+
 from .index import Index, average_length, document_frequency
 
 # Weights of the parts of a score, BM25's constants, and the least score of a result.
@@ -16,41 +20,49 @@ TITLE_SIMILARITY, ARTIST_SIMILARITY, SIMILAR = 5.0, 5.0, 0.3
 TITLE_WORD, ARTIST_WORD, LEXICAL, SEMANTIC = 2.0, 2.0, 1.5, 4.0
 PHRASE, ARTIST_EQUAL, STARTS = 8.0, 5.0, 3.0
 K1, B, LEAST_SCORE, SEMANTIC_SHOWN = 1.5, 0.75, 15.0, 0.05
-#: Stated queries that one pass over the songs takes; more are taken in blocks.
+#: Queries that one pass over all songs takes, where a score can do without any word in common; more are taken in blocks.
 MOST_QUERIES = 256
+#: Letters of a gram that words are found by.
+GRAM = 3
 
 
-def query_table(spark, queries: list[str], first: int = 0) -> DataFrame:
-    """(query_id, q): lower case, stripped; blank queries give no rows. Ids count from `first`."""
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(queries, first)], "query_id int, raw string")
+def query_table(spark, queries: list[str]) -> DataFrame:
+    """(query_id, q): lower case, stripped; blank queries give no rows."""
+    rows = spark.createDataFrame([*enumerate(queries)], "query_id int, raw string")
     return rows.select("query_id", strip(F.lower("raw")).alias("q")).where("q <> ''")
 
 
-def bm25(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, bm25): document frequencies of the index text, term frequencies of the search text.
-
-    A query is analysed in its own language. Only postings of query terms are read, so work follows the matches. The
-    queries are a table of any size; its joins are sent to all tasks only where the measured size allows.
-    """
+def weighed(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, term, idf) of the terms of queries (query_id, q), each analysed in its own language; document frequencies are those of the index text."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("q"), language(F.col("q"))))).alias("term"))
     n = index.docs.agg(F.count("*").alias("n"))
     seen = document_frequency(index.postings.join(wanted.select("term").distinct(), "term", "left_semi"))
-    weighed = wanted.join(seen, "term", "left").join(F.broadcast(n)).withColumn("df", F.coalesce("df", F.lit(0)))
-    weighed = weighed.select("query_id", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
-    hits = index.search.join(weighed, "term").join(F.broadcast(average_length(index.docs)))
+    rows = wanted.join(seen, "term", "left").join(F.broadcast(n)).withColumn("df", F.coalesce("df", F.lit(0)))
+    return rows.select("query_id", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
+
+
+def term_part() -> Column:
+    """What a term adds to a document's score, but for its idf; columns tf, doc_len, avg_len."""
     length = F.when(F.col("avg_len") > 0, F.col("doc_len") / F.col("avg_len")).otherwise(F.lit(0.0))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
+
+
+def bm25(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, bm25): document frequencies of the index text, term frequencies of the search text.
+
+    Only postings of query terms are read, so work follows the matches. The queries are a table of any size; its joins
+    are sent to all tasks only where the measured size allows.
+    """
+    hits = index.search.join(weighed(index, queries), "term").join(F.broadcast(average_length(index.docs)))
+    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * term_part()).alias("bm25"))
 
 
 def matched(query: Column, other: Column) -> Column:
     return F.size(F.array_intersect(words(query), words(F.lower(other)))).cast("long")
 
 
-def surface(songs: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
-    """Features of titles and artists, a row for each query and document; the stated queries are literals of one pass."""
-    listed = F.array(*(F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("q")) for i, q in queries))
-    rows = songs.select(F.col("id").alias("doc_id"), "titulo", "artista", F.inline(listed))
+def features(rows: DataFrame, *also: str) -> DataFrame:
+    """Features of titles and artists for rows (query_id, doc_id, q, titulo, artista)."""
     q, title, artist = F.col("q"), F.col("titulo"), F.col("artista")
     return rows.select(
         "query_id",
@@ -58,6 +70,7 @@ def surface(songs: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
         "q",
         "titulo",
         "artista",
+        *also,
         matched(q, title).alias("title_words"),
         matched(q, artist).alias("artist_words"),
         F.contains(F.lower(title), q).alias("in_title"),
@@ -68,6 +81,46 @@ def surface(songs: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
     )
 
 
+def paired(songs: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
+    """(query_id, q, doc_id, titulo, artista): all songs for each of a block of stated queries, which are literals of one pass."""
+    listed = F.array(*(F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("q")) for i, q in queries))
+    return songs.select(F.col("id").alias("doc_id"), "titulo", "artista", F.inline(listed))
+
+
+def surface(songs: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
+    """Features of titles and artists, a row for each stated query and document."""
+    return features(paired(songs, queries))
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of one to GRAM letters."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))
+    return F.array_distinct(F.concat(*(F.when(F.length(text) >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1))))
+
+
+def sharing(songs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the pairs in which any feature of title or artist can hold, and few others; no pair of them is lost.
+
+    A word in common is found by joining the words. A title that begins with the query's first word has a word that begins so;
+    a title or artist that holds the whole query has a word that holds the query's longest one. Such words are looked up in the
+    vocabulary of titles and artists, by the rarest gram of what is asked for, and lead to the songs by the same word postings.
+    """
+    named = songs.select(F.col("id").alias("doc_id"), F.explode(F.array_distinct(F.concat(words(F.lower("titulo")), words(F.lower("artista"))))).alias("word"))
+    vocabulary = named.select("word").distinct()
+    asked = queries.select("query_id", words(F.col("q")).alias("w"))
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    parts = asked.select("query_id", F.inline(F.array(F.struct(F.lit(True).alias("begins"), F.get("w", F.lit(0)).alias("part")), F.struct(F.lit(False).alias("begins"), longest.alias("part")))))
+    looked = parts.select("begins", "part").distinct().withColumn("gram", F.explode(F.filter(grams(F.col("part")), lambda g: F.length(g) == F.least(F.length("part"), F.lit(GRAM)))))
+    spelled = vocabulary.select("word", F.explode(grams(F.col("word"))).alias("gram")).join(looked.select("gram").distinct(), "gram", "left_semi")
+    often = spelled.groupBy("gram").agg(F.count("*").alias("n"))
+    # a gram that no word has leaves no word for what asks by it
+    rarest = looked.join(often, "gram", "left").groupBy("begins", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    holding = rarest.join(spelled, "gram").where(F.when(F.col("begins"), F.startswith("word", "part")).otherwise(F.contains("word", "part")))
+    found = parts.join(holding.select("begins", "part", "word"), ["begins", "part"]).select("query_id", "word")
+    every = found.unionByName(asked.select("query_id", F.explode("w").alias("word"))).distinct()
+    return every.join(named, "word").select("query_id", "doc_id").distinct()
+
+
 def score_parts() -> dict[str, Column]:
     c, flag = F.col, lambda test, value: F.when(test, F.lit(value)).otherwise(F.lit(0.0))
     return {
@@ -100,23 +153,45 @@ def reasons() -> Column:
     return F.array_compact(F.array(*(F.when(test, text) for test, text in shown)))
 
 
-def search(index: Index, queries: list[str], min_score: float = LEAST_SCORE, semantic: DataFrame | None = None, with_similarity: bool = True, first: int = 0) -> DataFrame:
-    """(query_id, doc_id, score, razones) of documents with at least min_score. semantic: (query_id, doc_id, semantic) if there is a model.
-
-    Every document is scored against each stated query, as short titles alone can reach the least score. The gestalt
-    similarity, which Python computes, is asked for only where it could still lift the rest of the score to the least one.
+def without_words(with_similarity: bool, semantic: bool) -> float:
+    """The score that a pair can reach without any feature of its title and artist and without BM25."""
+    return (TITLE_SIMILARITY + ARTIST_SIMILARITY) * with_similarity + SEMANTIC * semantic
+
+
+def candidates(index: Index, queries: DataFrame, every: bool) -> DataFrame:
+    """(query_id, q, doc_id, titulo, artista, bm25): all pairs that can have a score, found by joins; or, if scores can do without words in common, every pair."""
+    scores, songs = bm25(index, queries), index.songs.select(F.col("id").alias("doc_id"), "titulo", "artista")
+    if not every:
+        pairs = scores.unionByName(sharing(index.songs, queries).withColumn("bm25", F.lit(0.0))).groupBy("query_id", "doc_id").agg(F.max("bm25").alias("bm25"))
+        return pairs.join(songs, "doc_id").join(queries.select("query_id", "q"), "query_id")
+    stated = [(r["query_id"], r["q"]) for r in queries.select("query_id", "q").collect()]
+    blocks = [paired(index.songs, stated[i : i + MOST_QUERIES]) for i in range(0, len(stated), MOST_QUERIES)]
+    rows = blocks[0] if blocks else songs.limit(0).select(F.lit(0).alias("query_id"), F.lit("").alias("q"), "*")
+    for block in blocks[1:]:
+        rows = rows.unionByName(block)
+    return rows.join(scores, ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+
+
+def search(
+    index: Index, queries: list[str] | DataFrame, min_score: float = LEAST_SCORE, semantic: DataFrame | Callable[[DataFrame], DataFrame] | None = None, with_similarity: bool = True
+) -> DataFrame:
+    """(query_id, doc_id, score, razones) of documents with at least min_score.
+
+    queries: texts, or a table (query_id, q) of any size, q stripped and in lower case, none blank. semantic:
+    (query_id, doc_id, semantic) if there is a model, or what gives these for a table of pairs (query_id, doc_id).
+    Similarity and meaning together reach less than the usual least score, so the documents of a query are those that
+    share words with it, and are found by joins; under a least score that they can reach, every document is scored against
+    each query. The gestalt similarity, which Python computes, is asked for only where it could still lift the rest of the
+    score to the least one.
     """
     spark = index.songs.sparkSession
-    if len(queries) > MOST_QUERIES:
-        rest = search(index, queries[MOST_QUERIES:], min_score, semantic, with_similarity, first + MOST_QUERIES)
-        return search(index, queries[:MOST_QUERIES], min_score, semantic, with_similarity, first).unionByName(rest)
-    asked = query_table(spark, queries, first)
-    stated = [(r["query_id"], r["q"]) for r in asked.collect()]
-    if not stated:
-        return spark.createDataFrame([], "query_id int, doc_id string, score double, razones array<string>")
-    rows = surface(index.songs, stated).join(bm25(index, asked), ["query_id", "doc_id"], "left")
-    rows = rows.join(semantic, ["query_id", "doc_id"], "left") if semantic is not None else rows.withColumn("semantic", F.lit(0.0))
-    rows = rows.withColumn("bm25", F.coalesce("bm25", F.lit(0.0))).withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
+    asked = queries if isinstance(queries, DataFrame) else query_table(spark, queries)
+    every = min_score <= without_words(with_similarity, semantic is not None)
+    rows = features(candidates(index, asked, every), "bm25")
+    if callable(semantic):
+        rows = stage(rows, "candidates")
+        semantic = semantic(rows.select("query_id", "doc_id"))
+    rows = rows.join(semantic, ["query_id", "doc_id"], "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0))) if semantic is not None else rows.withColumn("semantic", F.lit(0.0))
     parts = score_parts()
     sims = (("titulo", "title_sim", TITLE_SIMILARITY), ("artista", "artist_sim", ARTIST_SIMILARITY))
     if with_similarity:
@@ -161,7 +236,7 @@ def snippet(text: Column, query: Column, before: int = 40, after: int = 80) -> C
 
 def result_rows(found: DataFrame, songs: DataFrame, queries: DataFrame) -> DataFrame:
     """API rows: results whose document exists, with snippet and rounded score."""
-    rows = found.join(songs, found["doc_id"] == songs["id"]).join(F.broadcast(queries), "query_id")
+    rows = found.join(songs, found["doc_id"] == songs["id"]).join(queries, "query_id")
     return rows.select(
         "query_id", "id", "titulo", "artista", "album", "generos", "tags", F.round("score", 2).alias("score"), F.lit("N/A").alias("año"), F.lit("N/A").alias("duracion"), snippet(F.col("letra"), F.col("q")).alias("snippet"), "letra"
     )
@@ -199,7 +274,7 @@ def display_rows(found: DataFrame, songs: DataFrame, queries: DataFrame, min_sco
     else:
         found = found.select("query_id", "doc_id", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("razones"))
     left = found.groupBy("query_id").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
-    rows = ranked(found, most).join(F.broadcast(left), "query_id").join(songs.withColumnRenamed("id", "doc_id"), "doc_id").join(F.broadcast(queries.select("query_id", "q")), "query_id", "left")
+    rows = ranked(found, most).join(left, "query_id").join(songs.withColumnRenamed("id", "doc_id"), "doc_id").join(queries.select("query_id", "q"), "query_id", "left")
     head = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
     excerpt = console_excerpt(F.col("letra"), F.coalesce("q", F.lit("")))
     text = text_lines(

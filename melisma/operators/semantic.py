@@ -148,3 +148,10 @@ def scores(model: Model, songs: DataFrame, queries: DataFrame) -> DataFrame:
     asked = model.vectors(queries.select(F.col("query_id").alias("doc_id"), F.col("q").alias("text"))).collect()
     listed = F.array(*(F.struct(F.lit(r["doc_id"]).alias("query_id"), F.array(*map(F.lit, r["vec"])).alias("q")) for r in asked))
     return docs.select("doc_id", "vec", F.inline(listed)).select("query_id", "doc_id", dot(F.col("vec"), F.col("q")).alias("semantic"))
+
+
+def pair_scores(model: Model, songs: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, semantic) of the given pairs (query_id, doc_id): only their documents are embedded, and queries are a table of any size."""
+    rows = songs.select(F.col("id").alias("doc_id"), semantic_text().alias("text")).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = model.vectors(queries.select(F.col("query_id").alias("doc_id"), F.col("q").alias("text"))).select(F.col("doc_id").alias("query_id"), F.col("vec").alias("q"))
+    return pairs.join(model.vectors(rows), "doc_id").join(asked, "query_id").select("query_id", "doc_id", dot(F.col("vec"), F.col("q")).alias("semantic"))

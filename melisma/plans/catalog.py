@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from melisma.functions import text as T
 from melisma.functions.similarity import similarity
 from melisma.functions.tables import STOPWORDS
-from melisma.operators import dedupe, frontier, html, index, search, semantic
+from melisma.operators import blockmax, dedupe, frontier, html, index, search, semantic
 from melisma.sources import corpus, store
 
 from .oracle import ORACLE
@@ -136,11 +136,18 @@ def bm25_topk(spark, sf_dir):
     return search.ranked(found, 10)
 
 
+@query
+def bm25_blockmax(spark, sf_dir):
+    """The best ten songs for the title of every fiftieth, from postings in blocks."""
+    found = built(spark, sf_dir)
+    return blockmax.top(blockmax.blocks(found), titles_asked(found), 10).rows
+
+
 @query
 def bm25_titles(spark, sf_dir):
     """The titles of the songs with an id divisible by 50 as queries against all songs; the best ten of each."""
     found = built(spark, sf_dir)
-    asked = found.songs.where(F.col("id").cast("long") % 50 == 0).select(F.col("id").cast("int").alias("query_id"), T.strip(F.lower("titulo")).alias("q")).where("q <> ''")
+    asked = titles_asked(found).withColumn("query_id", F.col("query_id").cast("int"))
     scores = search.bm25(found, asked).select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
     return search.ranked(scores, 10)
 
@@ -170,8 +177,33 @@ def seq_similarity(spark, sf_dir):
 def hybrid(spark, sf_dir, min_score: float = search.LEAST_SCORE) -> DataFrame:
     """The full score, with the semantic part from the full model."""
     found = built(spark, sf_dir)
-    meaning = semantic.scores(semantic.fit(found.songs), found.songs, search.query_table(spark, STATED))
-    return search.search(found, STATED, min_score=min_score, semantic=meaning)
+    return whole_search(found, search.query_table(spark, STATED), min_score)
+
+
+def whole_search(found: index.Index, asked: DataFrame, min_score: float = search.LEAST_SCORE) -> DataFrame:
+    model = semantic.fit(found.songs)
+    return search.search(found, asked, min_score, lambda pairs: semantic.pair_scores(model, found.songs, asked, pairs))
+
+
+def titles_asked(found: index.Index) -> DataFrame:
+    """(query_id, q): the titles of the songs with an id divisible by 50."""
+    rows = found.songs.where(F.col("id").cast("long") % 50 == 0)
+    return rows.select(F.col("id").cast("long").alias("query_id"), T.strip(F.lower("titulo")).alias("q")).where("q <> ''")
+
+
+@query
+def hybrid_titles(spark, sf_dir):
+    """The full score of the titles of every fiftieth song as queries, against all songs."""
+    found = built(spark, sf_dir)
+    return whole_search(found, titles_asked(found)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def hybrid_titles_lexical(spark, sf_dir):
+    """The same without the two parts that only Python can compute."""
+    found = built(spark, sf_dir)
+    rows = search.search(found, titles_asked(found), with_similarity=False)
+    return rows.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.array_join("razones", ", ").alias("razones"))
 
 
 @query

@@ -86,10 +86,16 @@ scores AS (
 
 SCORES = scores(STATED_TABLE)
 TOP = "SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, doc_id, round(bm25, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM scores) WHERE rank <= 10"
-SURFACE = f"""SELECT query_id, id AS doc_id,
+
+
+def surface(stated: str) -> str:
+    return f"""SELECT query_id, id AS doc_id,
   len(list_intersect({words('q')}, {words('lower(titulo)')})) AS title_words, len(list_intersect({words('q')}, {words('lower(artista)')})) AS artist_words,
   contains(lower(titulo), q) AS in_title, contains(lower(artista), q) AS in_artist, lower(artista) = q AND {strip('artista')} <> '' AS is_artist,
-  starts_with(lower(titulo), ({words('q')})[1]) AS starts FROM s, {STATED_TABLE}"""
+  starts_with(lower(titulo), ({words('q')})[1]) AS starts FROM s, {stated}"""
+
+
+SURFACE = surface(STATED_TABLE)
 NGRAMS = r"""
 WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, concat_ws(' ', nullif(regexp_extract(text, '^[^.\n]*'), ''), source, lang, text) AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(lower(t), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM s),
@@ -103,18 +109,23 @@ firsts AS (SELECT DISTINCT ON (kt, ka) * FROM r WHERE kt <> '' AND ka <> '' ORDE
 added AS (SELECT * FROM firsts WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.kt = firsts.kt AND k.ka = firsts.ka))"""
 SONG_ID = f"substring(md5({strip('lower(titulo)')} || '|' || {strip('lower(artista)')}), 1, 16)"
 
-LEXICAL = f"""{SCORES}, parts AS (
+def lexical(stated: str) -> str:
+    return f"""{scores(stated)}, parts AS (
   SELECT x.*, coalesce(bm25, 0) AS lexical, 2.0::DOUBLE * title_words + 2.0::DOUBLE * artist_words + 1.5::DOUBLE * coalesce(bm25, 0)
     + CASE WHEN in_title OR in_artist THEN 8.0 ELSE 0.0 END + CASE WHEN is_artist THEN 5.0 ELSE 0.0 END + CASE WHEN starts THEN 3.0 ELSE 0.0 END AS score
-  FROM ({SURFACE}) x LEFT JOIN scores ON x.query_id = scores.query_id AND x.doc_id = scores.doc_id
+  FROM ({surface(stated)}) x LEFT JOIN scores ON x.query_id = scores.query_id AND x.doc_id = scores.doc_id
 ), results AS (
   SELECT parts.query_id, doc_id, q, score, [r for r in [
     CASE WHEN title_words > 0 THEN title_words || ' palabras en título' END, CASE WHEN artist_words > 0 THEN artist_words || ' palabras en artista' END,
     CASE WHEN lexical > 0 THEN printf('BM25 (%.3f)', lexical) END,
     CASE WHEN in_title THEN 'frase exacta en título' WHEN in_artist THEN 'frase exacta en artista' END,
     CASE WHEN is_artist THEN 'artista completo' END, CASE WHEN starts THEN 'título comienza con ''' || ({words('q')})[1] || '''' END] if r IS NOT NULL] AS razones
-  FROM parts JOIN {STATED_TABLE} ON parts.query_id = stated.query_id WHERE score >= 15
+  FROM parts JOIN {stated} ON parts.query_id = stated.query_id WHERE score >= 15
 )"""
+
+
+LEXICAL = lexical(STATED_TABLE)
+TITLES = f"(SELECT CAST(id AS BIGINT) AS query_id, {strip('lower(titulo)')} AS q FROM s WHERE CAST(id AS BIGINT) % 50 = 0 AND {strip('lower(titulo)')} <> '') AS stated"
 EXCERPT = f"""CASE WHEN letra = '' OR q = '' THEN NULL
   WHEN contains(lower(letra), q) THEN '...' || replace(substring(letra, greatest(strpos(lower(letra), q) - 51, 0) + 1, least(strpos(lower(letra), q) + 99, length(letra)) - greatest(strpos(lower(letra), q) - 51, 0)), chr(10), ' ') || '...'
   WHEN word IS NOT NULL THEN '...' || replace(substring(letra, greatest(strpos(lower(letra), word) - 41, 0) + 1, least(strpos(lower(letra), word) + 59, length(letra)) - greatest(strpos(lower(letra), word) - 41, 0)), chr(10), ' ') || '...'
@@ -142,6 +153,8 @@ ORACLE: dict[str, str] = {
     "bm25_multi_query": f"{SCORES} SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM scores",
     "bm25_topk": f"{SCORES} {TOP}",
     "bm25_titles": f"{scores(f"(SELECT CAST(id AS INTEGER) AS query_id, {strip('lower(titulo)')} AS q FROM s WHERE CAST(id AS BIGINT) % 50 = 0 AND {strip('lower(titulo)')} <> '')")} {TOP}",
+    "bm25_blockmax": f"{scores(TITLES)} {TOP}",
+    "hybrid_titles_lexical": f"{lexical(TITLES)} SELECT query_id, doc_id, round(score, 4) AS score, array_to_string(razones, ', ') AS razones FROM results",
     "surface_features": f"WITH s AS ({SONGS}) {SURFACE}",
     "hybrid_no_similarity": f"""{SCORES} SELECT query_id, doc_id, round(score, 4) AS score FROM (
   SELECT x.query_id, x.doc_id, 2.0::DOUBLE * title_words + 2.0::DOUBLE * artist_words + 1.5::DOUBLE * coalesce(bm25, 0)
