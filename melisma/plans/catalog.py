@@ -436,3 +436,33 @@ def meta_map(spark, sf_dir):
 def frontier_bfs(spark, sf_dir):
     seeds = [r["url"] for r in pages(spark, sf_dir).where("page_id < 5").select("url").collect()]
     return frontier.crawl(pages(spark, sf_dir), seeds, accept=F.lit(True))[1]
+
+
+def linked_pages(spark, sf_dir) -> DataFrame:
+    """The pages in sites of fifty, under addresses that links lead to: a page stands where a link of the page before it leads, of several the one of least hash."""
+    rows = pages(spark, sf_dir).select("page_id", F.floor(F.col("page_id") / 50).alias("site"), "html")
+    named = rows.select("site", "page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a href="(/[^"]*)"'), F.lit(1))).alias("path"))
+    following = rows.select("site", (F.col("page_id") - 1).alias("page_id"), F.col("page_id").alias("next"), "html")
+    at = named.join(following.select("site", "page_id", "next"), ["site", "page_id"])
+    at = at.groupBy("site", "path").agg(F.min(F.struct(F.md5(F.concat("path", F.col("page_id").cast("string"))), "next"))["next"].alias("next"))
+    return at.join(following.select("next", "html"), "next").select(F.col("next").alias("page_id"), F.concat(F.lit("https://s"), F.col("site"), F.lit(".example.org"), "path").alias("url"), "html")
+
+
+def first_pages(stored: DataFrame) -> DataFrame:
+    return stored.where("page_id % 10 = 0").select(F.col("page_id").alias("pos"), "url")
+
+
+@query
+def frontier_linked(spark, sf_dir):
+    """A crawl from every tenth page along links that lead to stored pages, until the queue is empty."""
+    stored = linked_pages(spark, sf_dir)
+    return frontier.crawl_counted(stored, first_pages(stored), budget=10**12, accept=F.lit(True)).visited
+
+
+@query
+def frontier_counts(spark, sf_dir):
+    """The counts of the same crawl under robots rules, given by the host: nothing below /d and /e, but for /de."""
+    stored = linked_pages(spark, sf_dir)
+    hosts = stored.select(frontier.authority(F.col("url")).alias("host")).distinct()
+    texts = hosts.withColumn("rules", F.lit("User-agent: *\nAllow: /de\nDisallow: /d\nDisallow: /e\n"))
+    return frontier.crawl_counted(stored, first_pages(stored), budget=10**12, accept=F.lit(True), robots=texts).counts

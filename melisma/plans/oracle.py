@@ -213,6 +213,17 @@ u AS (SELECT page_id, trim(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>')
 SELECT page_id, CASE WHEN length(h) < 100 THEN h ELSE t END AS titulo FROM u""",
     "scraped_links": """WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS host, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)
 SELECT page_id, CAST(len(l) AS BIGINT) AS n_links, md5(array_to_string(list_transform(l, lambda x: CASE WHEN starts_with(x, 'http') THEN x ELSE host || x END), '|')) AS links_md5 FROM l""",
+    "frontier_linked": """WITH RECURSIVE p AS (
+  SELECT page_id, page_id // 50 AS site, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS l FROM pages
+), placed AS (
+  SELECT site, path, arg_min(next, md5(path || page_id)) AS next FROM (
+    SELECT p.site, p.page_id, f.page_id AS next, unnest(p.l) AS path FROM p JOIN p f ON f.site = p.site AND f.page_id = p.page_id + 1) GROUP BY site, path
+), edges AS (
+  SELECT a.site, a.path, unnest(l) AS target FROM placed a JOIN p ON p.page_id = a.next
+), reached AS (
+  SELECT site, path, 0 AS depth FROM placed WHERE next % 10 = 0
+  UNION SELECT t.site, t.path, depth + 1 FROM reached r JOIN edges e ON e.site = r.site AND e.path = r.path JOIN placed t ON t.site = e.site AND t.path = e.target WHERE depth < 60
+) SELECT 'https://s' || site || '.example.org' || path AS url, min(depth) AS depth FROM reached GROUP BY site, path""",
     "url_relevant": "SELECT page_id, regexp_matches(lower(url) || '/', '/(lyrics|song|artist|album|track|music|cancion|letra|artists|songs|albums)/') AS relevant, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages",
     "url_trusted": "SELECT page_id, contains(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), 'example.org') OR contains(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), 'example.com') AS trusted FROM pages",
 }

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 OWN_FOLDER: list[str] = []
 
@@ -29,3 +29,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/melisma/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """df staged, and aggregates of its rows that come with the write instead of a second pass."""
+    seen = Observation(name)
+    found = stage(df.observe(seen, *(c.alias(k) for k, c in measures.items())), name)
+    return found, seen.get
