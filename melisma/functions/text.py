@@ -21,7 +21,13 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE[1:-1]}]+")).cast("long")
+
+
+def first_words(text: Column, most: int) -> Column:
+    """The first words; what comes after them is not cut up."""
+    found = F.split(F.coalesce(text, F.lit("")), f"{SPACE}+", most + 2)  # a blank begin is a part, and so is the rest
+    return F.slice(F.filter(found, lambda w: w != ""), 1, most)
 
 
 def fold(text: Column) -> Column:
@@ -50,7 +56,7 @@ def language(text: Column) -> Column:
         name = F.get(F.array(*map(F.lit, CUES)), F.array_position(found, most).cast("int") - 1)
         return F.when(most == 0, F.lit(DEFAULT_LANGUAGE)).otherwise(name)
 
-    return let(F.array_distinct(F.slice(words(F.lower(text)), 1, CUE_WORDS)), lambda first: let(scores(first), best))
+    return let(F.array_distinct(F.transform(first_words(text, CUE_WORDS), F.lower)), lambda first: let(scores(first), best))
 
 
 def by_language(lang: Column, make, names=tuple(STOPWORDS)) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from melisma.functions.text import language, terms, word_count
+from melisma.functions.text import language, let, terms, word_count
 from melisma.sources.corpus import index_text, search_text
 from melisma.sources.staging import stage
 
@@ -22,26 +22,41 @@ class Index:
     search: DataFrame
 
 
-def counted(rows: DataFrame, found: str, *also: str) -> DataFrame:
-    """(term, doc_id, also..., tf) of rows with a list of terms; a document's terms are in one row, so most of the sum is map-side."""
-    return rows.select("doc_id", *also, F.explode(found).alias("term")).groupBy("term", "doc_id", *also).agg(F.count("*").alias("tf"))
+def tally(found: Column) -> Column:
+    """(term, tf) of a list of terms: the lengths of its runs, once it is in order."""
+
+    def runs(terms: Column) -> Column:
+        begins = F.array_compact(F.transform(terms, lambda t, i: F.when((i == 0) | (F.get(terms, i - 1) != t), i)))
+        ends = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(terms))
+        return let(begins, lambda at: F.transform(at, lambda i, k: F.struct(F.get(terms, i).alias("term"), (ends(at, k) - i).cast("long").alias("tf"))))
+
+    return let(F.sort_array(found), runs)
 
 
 def analysed(songs: DataFrame, languages: DataFrame | None = None) -> DataFrame:
-    """(doc_id, idioma, doc_len, index_terms, search_terms), each text analysed once."""
+    """(doc_id, idioma, doc_len, index_terms, search_terms), the last two as lists of (term, tf).
+
+    The index text is the search text with genres and tags after it; where both are of one language, its terms are those of the
+    search text and of what comes after, so the long part of a song is analysed once.
+    """
     rows = songs.select(F.col("id").alias("doc_id"), index_text().alias("i"), search_text().alias("s"))
     rows = rows.withColumn("idioma", language(F.col("i")))
     if languages is not None:
         known = languages.select("doc_id", F.col("idioma").alias("known"))
         rows = rows.join(known, "doc_id", "left").withColumn("idioma", F.coalesce("known", "idioma"))
-    own = language(F.col("s"))
-    return rows.select("doc_id", "idioma", word_count(F.col("s")).alias("doc_len"), terms(F.col("i"), F.col("idioma")).alias("index_terms"), terms(F.col("s"), own).alias("search_terms"))
+    rows = rows.withColumn("own", language(F.col("s")))
+    found = rows.withColumn("search_terms", terms(F.col("s"), F.col("own")))
+    continued = F.concat(F.col("search_terms"), terms(F.substr(F.col("i"), F.length("s") + 1), F.col("idioma")))
+    after = F.startswith("i", F.concat("s", F.lit(" "))) | (F.col("i") == F.col("s"))
+    index_terms = F.when(after & (F.col("idioma") == F.col("own")), continued).otherwise(terms(F.col("i"), F.col("idioma")))
+    return found.select("doc_id", "idioma", word_count(F.col("s")).alias("doc_len"), tally(index_terms).alias("index_terms"), tally(F.col("search_terms")).alias("search_terms"))
 
 
 def build(songs: DataFrame, languages: DataFrame | None = None) -> Index:
-    """Full build: one pass over the songs, whose analysis is staged; the tables of the index read it. languages (doc_id, idioma): those known already; other documents' are detected."""
+    """Full build, one row of songs an id: one pass over them, in which terms are counted within the row, so that postings need no exchange. What it finds is staged; the tables of the index read it. languages (doc_id, idioma): those known already; other documents' are detected."""
     found = stage(analysed(songs, languages), "analysed")
-    return Index(songs, found.select("doc_id", "idioma", "doc_len"), counted(found, "index_terms"), counted(found, "search_terms", "doc_len"))
+    postings = found.select("doc_id", F.inline("index_terms")).select("term", "doc_id", "tf")
+    return Index(songs, found.select("doc_id", "idioma", "doc_len"), postings, found.select("doc_id", "doc_len", F.inline("search_terms")).select("term", "doc_id", "doc_len", "tf"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:

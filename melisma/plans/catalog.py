@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from melisma.functions import text as T
 from melisma.functions.similarity import similarity
 from melisma.functions.tables import STOPWORDS
 from melisma.operators import blockmax, dedupe, frontier, html, index, search, semantic
-from melisma.sources import corpus, store
+from melisma.sources import corpus, segments, store
+from melisma.sources.staging import shared_folder, spread
 
 from .oracle import ORACLE
 
@@ -28,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,6 +359,16 @@ def incremental_index(spark, sf_dir):
     return index.document_frequency(index.extend(first, every.where((n % 2 == 1) | (n % 10 == 0))).postings)
 
 
+@query
+def segmented_index(spark, sf_dir):
+    """df by the sums of an index in segments, after three batches that replace some songs."""
+    every, n = songs(spark, sf_dir), F.col("id").cast("long")
+    folder = f"{shared_folder(spark)}/melisma/segmented-{uuid.uuid4().hex}"
+    for number, some in enumerate((n % 2 == 0, (n % 2 == 1) | (n % 10 == 0), n % 7 == 0)):
+        found = segments.add(spark, folder, every.where(some), number)
+    return found.document_frequency()
+
+
 @query
 def full_outer_unify(spark, sf_dir):
     """Four sources that each lack some ids."""
@@ -387,7 +400,7 @@ def event_props(spark, sf_dir):
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"))
 
 
 @query

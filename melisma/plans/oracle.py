@@ -198,6 +198,7 @@ SELECT doc_id, ngram, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6)
 SELECT 'agregada' AS status, added AS n FROM c UNION ALL SELECT 'duplicada', n - skipped - added FROM c UNION ALL SELECT 'omitida', skipped FROM c""",
     "merged_songs": f"{KEYED} SELECT {SONG_ID} AS id, titulo, artista FROM (SELECT * FROM known UNION ALL SELECT * FROM added)",
     "incremental_index": f"{INDEX} SELECT term, df FROM df",
+    "segmented_index": f"{INDEX} SELECT term, df FROM df",
     "full_outer_unify": f"""WITH s AS (SELECT *, CAST(id AS BIGINT) AS k FROM ({SONGS}))
 SELECT id, CASE WHEN k % 2 = 0 THEN titulo ELSE '' END AS titulo, CASE WHEN k % 2 = 0 THEN artista ELSE '' END AS artista, CASE WHEN k % 3 = 0 THEN genero ELSE '' END AS generos,
   CASE WHEN k % 5 = 0 THEN artista ELSE '' END AS tags, CAST(CASE WHEN k % 7 = 0 THEN length(letra) ELSE 0 END AS BIGINT) AS n_letra

@@ -36,3 +36,9 @@ def counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, di
     seen = Observation(name)
     found = stage(df.observe(seen, *(c.alias(k) for k, c in measures.items())), name)
     return found, seen.get
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table as it is read, dealt to all cores if its files have fewer parts than there are cores: else one task would do all work on a small file."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

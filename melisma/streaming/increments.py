@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from melisma.operators.index import build, extend
-from melisma.sources import store
+from melisma.sources import segments, store
 
 
 def extending(folder: str):
@@ -23,3 +23,9 @@ def extending(folder: str):
 def index_stream(songs: DataFrame, folder: str) -> DataStreamWriter:
     """songs: a streaming DataFrame of the song table. The latest index is v0 or v1 by the parity of the last batch."""
     return songs.writeStream.foreachBatch(extending(folder)).option("checkpointLocation", f"{folder}/checkpoint")
+
+
+def segment_stream(songs: DataFrame, folder: str) -> DataStreamWriter:
+    """songs: a streaming DataFrame of the song table, one row an id in a batch. Each batch adds a segment, so what it writes follows its own size; `segments.opened` reads the latest state."""
+    run = lambda batch, number: segments.add(batch.sparkSession, f"{folder}/index", batch, number)
+    return songs.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")

@@ -48,7 +48,7 @@ def graph(seed, n):
 @pytest.mark.parametrize("seed, budget", [(1, 1000), (2, 17), (3, 1)])
 def test_equal_to_a_queue(spark, seed, budget):
     urls, links, kinds = graph(seed, 60)
-    seeds = [urls[7], urls[3], urls[7], "http://none/x", urls[60]]
+    seeds = [urls[7], *list(kinds)[2:5], urls[7], "http://none/x", urls[-1]]
     rules = {"h1.org": "User-agent: *\nDisallow: /p1"}
     barred = {u for u in urls if urlparse(u).netloc == "h1.org" and urlparse(u).path.startswith("/p1")}
     rows = [(i, u, "".join(f"<a href='{v}'>x</a>" for v in links[u]), kinds[u]) for i, u in enumerate(kinds)]
