@@ -36,10 +36,12 @@ CLASSES = (
     ("base32", re.compile(rb"(?=(?:[^0-9]*[0-9]){3})(?=.*[A-Z])[^a-z]+\Z", re.S), 3.6),
     ("letters", re.compile(rb"(?=.*[A-Z])(?=.*[a-z])[^0-9]+\Z", re.S), 4.0),
 )
-#: Not secrets: identifiers of version 1 to 5, paths and names of lower-case words, names of upper-case words, numbers, runs of one character.
+#: A word, also of several capitalised ones, with a short number after it; or a number.
+PART = rb"(?:(?:(?:[A-Z]{0,4}[a-z]{2,}+)++|[A-Z]++|[a-z])[0-9]{0,4}+|[0-9]++)"
+#: Not secrets: identifiers in the form of five hexadecimal groups; paths, names and dates, that is words and numbers between marks; runs of one character.
 ALLOWED = re.compile(
-    rb"(?:[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[1-5][0-9A-Fa-f]{3}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
-    rb"|/?[a-z]+(?:[/_-]+[a-z]+)*/?|[A-Z]+(?:[_-]+[A-Z]+)*|[0-9]+|(.)\1+)\Z"
+    rb"(?:[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
+    rb"|[/_=-]*+" + PART + rb"(?:[/_-]++" + PART + rb")*+[/_=-]*+|(.)\1+)\Z"
 )
 
 
