@@ -16,6 +16,7 @@ of its links, not all pairs; the global components come from those edges.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .staging import stage
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
 BLOCKS, LEAF = 3, 64
+#: Of a set that is alike in its part of the bits: fingerprints that are compared all with all, and parts of the other bits.
+DENSE, PARTS = 512, 6
 #: Fingerprints that live in a shard, about; fingerprints that lay out the trees, at most.
 SHARD, SAMPLE = 4096, 8192
 
@@ -103,12 +106,12 @@ class Tree:
         self.forest, self.edges, self.splits, self.tested = Forest(len(prints)), [], 0, 0
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Compare two leaves, or bounded blocks of places."""
+        """Compare two leaves, or bounded blocks of places; a set with itself once for each pair."""
         for i in range(0, len(a), 512):
-            some = a[i : i + 512]
-            self.tested += len(some) * len(b)
-            x, y = np.nonzero(distance(self.prints[some, None], self.prints[None, b]) <= self.radius)
-            p, q = some[x], b[y]
+            some, rest = a[i : i + 512], b[i:] if a is b else b
+            self.tested += len(some) * len(rest)
+            x, y = np.nonzero(distance(self.prints[some, None], self.prints[None, rest]) <= self.radius)
+            p, q = some[x], rest[y]
             new = self.forest.roots(p) != self.forest.roots(q)
             if new.any():  # one pair for each two trees of the forest that it joins
                 p, q = p[new], q[new]
@@ -117,6 +120,23 @@ class Tree:
                     if self.forest.join(int(p[k]), int(q[k])):
                         self.edges.append((int(p[k]), int(q[k])))
 
+    def alike(self, places: np.ndarray, bits: list[int] | None = None) -> None:
+        """Links in a set that trees can't split, as its masked bits are equal: of the other bits, cut into PARTS, two linked fingerprints have all but radius parts equal."""
+        if bits is None:
+            bits = [b for b in range(64) if len(np.unique(self.prints[places] >> np.uint64(b) & np.uint64(1))) > 1]
+        if len(places) <= DENSE or len(bits) < PARTS or self.radius >= PARTS:
+            self.link(places, places)
+            return
+        self.splits += 1
+        for equal in combinations(range(PARTS), PARTS - self.radius):
+            held = [b for i in equal for b in bits[i::PARTS]]
+            key = self.prints[places] & np.uint64(sum(1 << b for b in held))
+            order = np.argsort(key, kind="stable")
+            begins = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+            for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(order)], strict=True):
+                if j - i > 1:
+                    self.alike(places[order[i:j]], [b for b in bits if b not in held])
+
     def far(self, places: np.ndarray, vantage: int) -> np.ndarray:
         return distance(self.masked[places], self.masked[vantage]).astype(np.int64)
 
@@ -134,7 +154,7 @@ class Tree:
                 middle -= 1
                 near = far <= middle
             if not near.any() or near.all():
-                self.link(places, places)
+                self.alike(places)
                 continue
             self.splits += 1
             todo += [places[near], places[~near]]
@@ -157,7 +177,9 @@ class Tree:
                 middle -= 1
                 left = da <= middle
             parts = [(a[left], b[db <= middle + self.reach]), (a[~left], b[db > middle - self.reach])]
-            if left.all() or not left.any() or sum(len(x) * len(y) for x, y in parts) > 0.95 * len(a) * len(b):
+            if (da == 0).all() and (db == 0).all():
+                self.alike(np.concatenate([a, b]))
+            elif left.all() or not left.any() or sum(len(x) * len(y) for x, y in parts) > 0.95 * len(a) * len(b):
                 self.link(a, b)
             else:
                 self.splits += 1
