@@ -194,10 +194,11 @@ class Classifier:
 Counts = dict[tuple[str, int], int]
 
 
-def posteriors(counts: Counts, rounds: int = 50) -> dict[tuple[str, int], float]:
+def posteriors(counts: Counts, known: Counts | None = None, rounds: int = 50) -> dict[tuple[str, int], float]:
     """Expectation-maximisation for independent voters: the probability that a candidate of a kind with these votes is true.
 
-    Each kind has rates of its own. They are smoothed by what a fair labeler would do (right 7 times of 10), so few
+    known: candidates that are true for certain. They tell how often each labeler is right, but nothing of the share of
+    true ones among the others. Each kind has rates of its own. They are smoothed by what a fair labeler would do (right 7 times of 10), so few
     candidates can't turn a labeler over.
     """
     out: dict[tuple[str, int], float] = {}
@@ -207,6 +208,11 @@ def posteriors(counts: Counts, rounds: int = 50) -> dict[tuple[str, int], float]
             if k == kind:
                 voted = votes & ((1 << len(VOTERS)) - 1)
                 total[voted] = total.get(voted, 0) + n
+        sure: dict[int, int] = {}
+        for (k, votes), n in (known or {}).items():
+            if k == kind:
+                voted = votes & ((1 << len(VOTERS)) - 1)
+                sure[voted] = sure.get(voted, 0) + n
         hit, false, share = [0.7] * len(VOTERS), [0.3] * len(VOTERS), 0.3
         true: dict[int, float] = {}
         for _ in range(rounds):
@@ -216,21 +222,25 @@ def posteriors(counts: Counts, rounds: int = 50) -> dict[tuple[str, int], float]
                     yes = voted >> i & 1
                     odds += log((hit[i] if yes else 1 - hit[i]) / (false[i] if yes else 1 - false[i]))
                 true[voted] = 1 / (1 + exp(-odds))
-            for rate, prior, weigh in ((hit, 0.7, lambda p: p), (false, 0.3, lambda p: 1 - p)):
-                size = sum(n * weigh(true[v]) for v, n in total.items())
+            for rate, prior, weigh, also in ((hit, 0.7, lambda p: p, sure), (false, 0.3, lambda p: 1 - p, {})):
+                size = sum(n * weigh(true[v]) for v, n in total.items()) + sum(also.values())
                 for i in range(len(VOTERS)):
-                    yes = sum(n * weigh(true[v]) for v, n in total.items() if v >> i & 1)
+                    yes = sum(n * weigh(true[v]) for v, n in total.items() if v >> i & 1) + sum(n for v, n in also.items() if v >> i & 1)
                     rate[i] = (yes + 20 * prior) / (size + 20)
             share = (sum(n * true[v] for v, n in total.items()) + 3) / (sum(total.values()) + 10)
         out |= {(kind, v): p for v, p in true.items()}
     return out
 
 
-def fit(counts: Counts, rounds: int = 300, rate: float = 2.0, decay: float = 1e-3) -> Classifier:
-    """Logistic regression on the posteriors, each pattern weighted by the logarithm of its count; without candidates the majority of the labelers decides."""
+def fit(counts: Counts, known: Counts | None = None, rounds: int = 300, rate: float = 2.0, decay: float = 1e-3) -> Classifier:
+    """Logistic regression on the posteriors, each pattern weighted by the logarithm of its count; without candidates the majority of the labelers decides.
+
+    Patterns seen only of known candidates are asked of the model of votes too, with the weight of one candidate.
+    """
+    counts = {k: 1 for k in known or {}} | counts
     if not counts:
         return Classifier(-1.5, dict.fromkeys(VOTERS, 1.0))
-    truth = posteriors(counts)
+    truth = posteriors(counts, known)
     rows = [(names_of(kind, votes), truth[kind, votes & ((1 << len(VOTERS)) - 1)], 1 + log(n)) for (kind, votes), n in sorted(counts.items())]
     # kinds without candidates here keep the majority's verdict
     seen = {kind for kind, _ in counts}
@@ -250,11 +260,25 @@ def fit(counts: Counts, rounds: int = 300, rate: float = 2.0, decay: float = 1e-
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Classifier:
-    """Counts the votes on all candidates of docs; the rows that reach the driver are at most 256 patterns, whatever the corpus."""
+    """Counts the votes on all candidates of docs that stand free of fixed spans; the rows that reach the driver are at most 512 patterns, whatever the corpus.
+
+    A local phone number inside a phone span is known to be true; other candidates inside fixed spans tell nothing, and are not counted.
+    """
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = rows.select(F.explode(candidates(F.col("text"))).alias("s"))
-    counts = found.groupBy(F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes")).agg(F.count("*").alias("n"))
-    return fit({(r["kind"], r["votes"]): r["n"] for r in counts.collect()})
+    text = F.col("text")
+    in_phone = lambda s, t: (t["kind"] == "phone") & (s["kind"] == "local_phone") & (t["start"] <= s["start"]) & (s["end"] <= t["end"])
+
+    def told(found: Column) -> Column:
+        def by(base: Column) -> Column:
+            known = F.filter(found, lambda s: F.exists(base, lambda t: in_phone(s, t)))
+            row = lambda s, sure: F.struct(s["kind"].alias("kind"), s["votes"].alias("votes"), F.lit(sure).alias("known"))
+            return F.concat(F.transform(free_of(found, base), lambda s: row(s, False)), F.transform(known, lambda s: row(s, True)))
+
+        return F.when(F.size(found) > 0, let(base_spans(text), by)).otherwise(F.array().cast("array<struct<kind:string,votes:int,known:boolean>>"))
+
+    counts = rows.select(F.inline(let(candidates(text), told))).groupBy("kind", "votes", "known").agg(F.count("*").alias("n")).collect()
+    of = lambda known: {(r["kind"], r["votes"]): r["n"] for r in counts if r["known"] == known}
+    return fit(of(False), of(True))
 
 
 def find(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
