@@ -2,9 +2,8 @@
 
 A known word scores by its log frequency in each language. An unseen word is cut into the longest character
 n-grams; those that are unseen too fall back to the n-grams one shorter, down to single characters. Counts
-come from a sample of at most SAMPLE labelled rows (those of least hash, so the same rows each time). Of what occurs in it
-the model keeps at most MOST_WORDS words and MOST_GRAMS n-grams (the most frequent; ties by text), which bounds what
-is sent to executors; rarer words are scored by their n-grams.
+come from a sample of at most SAMPLE labelled rows (those of least hash, so the same rows each time), which bounds what
+is sent to executors; all words and n-grams that occur in it are known.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ NUMBERS = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.cat
 BLANKED = dict.fromkeys(map(ord, NUMBERS), " ")
 #: Lengths of the n-grams of words bounded by spaces, the longest first.
 GRAMS = (4, 3, 2, 1)
-SAMPLE, MOST_WORDS, MOST_GRAMS = 5_000, 60_000, 60_000
+SAMPLE = 5_000
 #: Log probabilities of one text are divided by a power of its number of words, lest scores be all 0 or 1.
 TEMPER = 0.5
 
@@ -168,19 +167,18 @@ def least_hashed(rows: DataFrame, sample: int) -> DataFrame:
     return rows.where(bits <= most).orderBy("h", "lang").limit(sample)
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, least: int = 1, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
+def train(labelled: DataFrame, sample: int = SAMPLE, least: int = 1) -> Model:
     """Learn from (doc_id, text, lang); rows with a null text or lang are left out, and rows alike count as often as they stand there.
 
-    least: entries that occur less often are left out as well. Ties in frequency are kept by text. No rows give a model without languages.
+    At most `sample` rows are learned from, of which all words and n-grams are kept that occur `least` times or more; texts of
+    any length are read whole. No rows give a model without languages.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("h"))
     rows = least_hashed(rows, sample).repartition("h").select("lang", "text")
     counts = rows.mapInArrow(counted, "lang string, n int, item string, times long").groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
     entries = counts.groupBy("n", "item").agg(F.sum("times").alias("all"), F.collect_list(F.struct("lang", "times")).alias("by"))
     entries = stage(entries.where(F.col("all") >= least), "language-counts")
-    words = entries.where("n = 0").orderBy(F.desc("all"), "item").limit(most_words)
-    grams = entries.where("n > 0").orderBy(F.desc("all"), "n", "item").limit(most_grams)
-    kept = [(b["lang"], r["n"], r["item"], b["times"]) for part in (words, grams) for r in part.toLocalIterator() for b in r["by"]]
+    kept = [(b["lang"], r["n"], r["item"], b["times"]) for r in entries.toLocalIterator() for b in r["by"]]
     totals: Counter = Counter()
     for lang, n, _, times in kept:
         totals[lang, n] += times
@@ -194,8 +192,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     scores the first language by name is taken. Only the text is read, whole; an empty table gives an empty result.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # once for each executor; bounded by the sample
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(model)
+        predictor = Predictor(shared.value)
         for batch in batches:
             found = [predictor.predict(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
