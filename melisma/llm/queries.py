@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from melisma.sources.staging import spread
+
 from . import byte_bpe, embedding_dedup, fm_index, language_id, pii, quality_rules, secret_scan, simhash, spelling, substring_dedup, suffix_dedup, toxicity, whitening
 from .spans import count, joined
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(stored(spark, sf_dir))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -37,14 +43,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = stored(spark, sf_dir)
     rules = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_rules.assess(docs, rules).select("row.doc_id", *columns)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, spans = documents(spark, sf_dir), F.col("spans")
+    docs, spans = stored(spark, sf_dir), F.col("spans")
     found = pii.find(docs, pii.train(docs))
     # one projection of the spans first, so that each column below reads them instead of finding them again
     return found.select("row.doc_id", "spans").select(
