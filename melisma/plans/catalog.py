@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from melisma.functions import text as T
+from melisma.functions import url
 from melisma.functions.similarity import similarity
 from melisma.functions.tables import STOPWORDS
 from melisma.operators import blockmax, dedupe, frontier, html, index, search, semantic
@@ -414,6 +415,14 @@ def page_links(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.size(found).cast("long").alias("n_links"), F.array_join(found, "|").alias("links"))
 
 
+@query
+def links_resolved(spark, sf_dir):
+    """Every link of the pages as an address of its own."""
+    found = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))
+    rows = pages(spark, sf_dir).select("page_id", "url", F.posexplode(found).alias("place", "link"))
+    return rows.select("page_id", "place", url.join(F.col("url"), F.col("link")).alias("link"))
+
+
 @query
 def url_relevant(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", frontier.relevant(F.concat("url", F.lit("/"))).alias("relevant"), frontier.authority(F.col("url")).alias("host"))

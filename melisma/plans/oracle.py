@@ -214,6 +214,8 @@ u AS (SELECT page_id, trim(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>')
 SELECT page_id, CASE WHEN length(h) < 100 THEN h ELSE t END AS titulo FROM u""",
     "scraped_links": """WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS host, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)
 SELECT page_id, CAST(len(l) AS BIGINT) AS n_links, md5(array_to_string(list_transform(l, lambda x: CASE WHEN starts_with(x, 'http') THEN x ELSE host || x END), '|')) AS links_md5 FROM l""",
+    "links_resolved": """SELECT page_id, CAST(place AS INTEGER) AS place, CASE WHEN starts_with(l, 'http') THEN l ELSE regexp_extract(url, '^[a-z]+://[^/?#]*') || l END AS link
+FROM (SELECT page_id, url, unnest(l) AS l, unnest(range(len(l))) AS place FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages))""",
     "frontier_linked": """WITH RECURSIVE p AS (
   SELECT page_id, page_id // 50 AS site, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS l FROM pages
 ), placed AS (
