@@ -14,6 +14,7 @@ from melisma.functions.tables import STOPWORDS
 from melisma.operators import blockmax, dedupe, frontier, html, index, search, semantic
 from melisma.sources import corpus, segments, store
 from melisma.sources.staging import shared_folder, spread
+from melisma.streaming import merging
 
 from .oracle import ORACLE
 
@@ -351,6 +352,17 @@ def merged_songs(spark, sf_dir):
     return dedupe.merge(known_songs(spark, sf_dir), crawled(spark, sf_dir), ["conv_id", "turn"])[0].select("id", "titulo", "artista")
 
 
+@query
+def merged_stream(spark, sf_dir):
+    """The same from a stream of the records, the state held by key."""
+    known, folder = known_songs(spark, sf_dir), f"{shared_folder(spark)}/melisma/merged-{uuid.uuid4().hex}"
+    arrived = crawled(spark, sf_dir)
+    arrived.write.parquet(f"{folder}/arrived")  # files of a folder, as a stream reads them
+    rows = spark.readStream.schema(arrived.schema).parquet(f"{folder}/arrived")
+    merging.merge_stream(rows, known, ["conv_id", "turn"], folder).trigger(availableNow=True).start().awaitTermination()
+    return known.select("id", "titulo", "artista").unionByName(spark.read.parquet(f"{folder}/songs").select("id", "titulo", "artista"))
+
+
 @query
 def incremental_index(spark, sf_dir):
     """df of an index of half the songs that the other half, and some again, were added to."""

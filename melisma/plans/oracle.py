@@ -197,6 +197,7 @@ SELECT doc_id, ngram, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6)
     "merge_counts": f"""{KEYED}, c AS (SELECT count(*) AS n, count(*) FILTER (titulo = '' OR artista = '') AS skipped, (SELECT count(*) FROM added) AS added FROM r)
 SELECT 'agregada' AS status, added AS n FROM c UNION ALL SELECT 'duplicada', n - skipped - added FROM c UNION ALL SELECT 'omitida', skipped FROM c""",
     "merged_songs": f"{KEYED} SELECT {SONG_ID} AS id, titulo, artista FROM (SELECT * FROM known UNION ALL SELECT * FROM added)",
+    "merged_stream": f"{KEYED} SELECT {SONG_ID} AS id, titulo, artista FROM (SELECT * FROM known UNION ALL SELECT * FROM added)",
     "incremental_index": f"{INDEX} SELECT term, df FROM df",
     "segmented_index": f"{INDEX} SELECT term, df FROM df",
     "full_outer_unify": f"""WITH s AS (SELECT *, CAST(id AS BIGINT) AS k FROM ({SONGS}))
