@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from melisma.functions.text import strip
 from melisma.sources.corpus import with_defaults
-from melisma.sources.staging import stage
+from melisma.sources.staging import counted, stage
 
 
 def key(column: str) -> Column:
@@ -46,19 +46,17 @@ def merge(songs: DataFrame, crawled: DataFrame, order: list[str]) -> tuple[DataF
     """(songs with the new ones, counts by status: agregada, duplicada, omitida). crawled has no ids of its own.
 
     Records without title or artist are left out; an id follows from title and artist, so one window by key
-    finds the first of each in the given order.
+    finds the first of each in the given order. The new songs are staged, and all counts come with that write: the records are read once.
     """
-    rows = with_keys(crawled)
     blank = (F.coalesce("titulo", F.lit("")) == "") | (F.coalesce("artista", F.lit("")) == "")
+    records = Observation("records")
+    rows = with_keys(crawled.observe(records, F.count("*").alias("n"), F.count_if(blank).alias("skipped")))
     rows = rows.withColumn("id", song_id(F.col("titulo"), F.col("artista")))
     usable = rows.where(~blank & (F.col("k_titulo") != "") & (F.col("k_artista") != ""))
-    added = new_to(first_wins(usable, ["k_titulo", "k_artista"], order), songs)
-    counts = (
-        crawled.agg(F.count("*").alias("n"), F.count_if(blank).alias("skipped"))
-        .join(F.broadcast(added.agg(F.count("*").alias("added"))))
-        .select(F.explode(F.create_map(F.lit("agregada"), F.col("added"), F.lit("duplicada"), F.col("n") - F.col("skipped") - F.col("added"), F.lit("omitida"), F.col("skipped"))).alias("status", "n"))
-    )
-    return songs.unionByName(with_defaults(added)), counts
+    added, seen = counted(new_to(first_wins(usable, ["k_titulo", "k_artista"], order), songs), "added", added=F.count("*"))
+    n, skipped = (records.get.get(k, 0) for k in ("n", "skipped"))
+    counts = [("agregada", seen["added"]), ("duplicada", n - skipped - seen["added"]), ("omitida", skipped)]
+    return songs.unionByName(with_defaults(added)), songs.sparkSession.createDataFrame(counts, "status string, n long")
 
 
 def greedy_first_wins(rows: DataFrame, by: list[list[str]], order: list[str], rounds: int = 100) -> DataFrame:

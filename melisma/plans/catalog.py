@@ -11,7 +11,7 @@ from melisma.functions import text as T
 from melisma.functions import url
 from melisma.functions.similarity import similarity
 from melisma.functions.tables import STOPWORDS
-from melisma.operators import blockmax, dedupe, frontier, html, index, search, semantic
+from melisma.operators import blockmax, dedupe, frontier, html, index, search, semantic, similar
 from melisma.sources import corpus, segments, store
 from melisma.sources.staging import shared_folder, spread
 from melisma.streaming import merging
@@ -179,6 +179,14 @@ def seq_similarity(spark, sf_dir):
     return rows.select("query_id", "id", similarity(F.col("q"), F.col("titulo")).alias("similarity"))
 
 
+@query
+def similar_titles(spark, sf_dir):
+    """Titles that are similar to that of a song with an id divisible by 50, by matching blocks."""
+    rows = songs(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("titulo").alias("text"))
+    asked = rows.where(F.col("doc_id").cast("long") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return similar.similar(rows, asked).select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"))
+
+
 def hybrid(spark, sf_dir, min_score: float = search.LEAST_SCORE) -> DataFrame:
     """The full score, with the semantic part from the full model."""
     found = built(spark, sf_dir)
@@ -400,6 +408,27 @@ def genres_collect(spark, sf_dir):
     return listed.select("id", F.array_join(F.transform("r", lambda x: x["lang"]), ",").alias("generos"))
 
 
+@query
+def genres_gathered(spark, sf_dir):
+    """The reader of lists by id, over the documents as lines of a file."""
+    rows = documents(spark, sf_dir).select(F.lit("documents").alias("file"), F.col("doc_id").alias("pos"), F.array("source", F.coalesce("lang", F.lit(""))).alias("parts"))
+    found = corpus.gathered(rows.where(corpus.part(0) != ""), F.array(corpus.part(1)), "generos")
+    return found.select("id", F.array_join("generos", ",").alias("generos"))
+
+
+@query
+def rebuilt_index(spark, sf_dir):
+    """df of an index that is built again with the languages that are known for every second song."""
+    every = songs(spark, sf_dir)
+    known = every.where(F.col("id").cast("long") % 2 == 0).select(F.col("id").alias("doc_id"), F.lit("es").alias("idioma"))
+    return index.document_frequency(index.build(every, known).postings)
+
+
+@query
+def clean_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(html.clean_text(F.col("text"))).alias("clean_md5"))
+
+
 @query
 def tags_split(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", html.genre_list(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("tags"))
@@ -466,6 +495,14 @@ def meta_map(spark, sf_dir):
     return html.scrape(pages(spark, sf_dir)).select("page_id", F.explode("meta").alias("name", "content"))
 
 
+@query
+def meta_map_titled(spark, sf_dir):
+    """Names and contents of the pages' meta tags, of which two more stand in each head."""
+    more = F.concat(F.lit('<head><meta name="author" content="'), F.col("page_id").cast("string"), F.lit('"><meta property="og:id" content="'), F.md5("url"), F.lit('">'))
+    rows = pages(spark, sf_dir).select("page_id", "url", F.replace("html", F.lit("<head>"), more).alias("html"))
+    return html.scrape(rows).select("page_id", F.explode("meta").alias("name", "content"))
+
+
 @query
 def frontier_bfs(spark, sf_dir):
     seeds = [r["url"] for r in pages(spark, sf_dir).where("page_id < 5").select("url").collect()]

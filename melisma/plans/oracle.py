@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from melisma.functions.tables import ACCENTED, CUE_WORDS, CUES, DEFAULT_LANGUAGE, LEAST_STEM, LEAST_WORD, PLAIN, STOPWORDS, SUFFIXES
+from .values import ACCENTED, CUE_WORDS, CUES, DEFAULT_LANGUAGE, LEAST_STEM, LEAST_WORD, PLAIN, STOPWORDS, SUFFIXES
 
 SPACE = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\p{Z}]"
 STATED = ["src3", "the that and onesen", "licensed under the apache license", "ertion blehe inan", "de la ciónue", "src1 to of"]
@@ -74,6 +74,10 @@ df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 n AS (SELECT count(*) AS n FROM s)"""
 
 
+#: The language of every second song is known.
+REBUILT = INDEX.replace("FROM it)", "FROM (SELECT doc_id, t, CASE WHEN CAST(doc_id AS BIGINT) % 2 = 0 THEN 'es' ELSE lang END AS lang FROM it))")
+
+
 def scores(stated: str) -> str:
     return f"""{INDEX},
 asked AS (SELECT DISTINCT query_id, unnest({terms(tokens('q'), language('q'))}) AS term FROM {stated}),
@@ -204,6 +208,10 @@ SELECT 'agregada' AS status, added AS n FROM c UNION ALL SELECT 'duplicada', n -
 SELECT id, CASE WHEN k % 2 = 0 THEN titulo ELSE '' END AS titulo, CASE WHEN k % 2 = 0 THEN artista ELSE '' END AS artista, CASE WHEN k % 3 = 0 THEN genero ELSE '' END AS generos,
   CASE WHEN k % 5 = 0 THEN artista ELSE '' END AS tags, CAST(CASE WHEN k % 7 = 0 THEN length(letra) ELSE 0 END AS BIGINT) AS n_letra
 FROM s WHERE k % 2 = 0 OR k % 3 = 0 OR k % 5 = 0 OR k % 7 = 0""",
+    "genres_gathered": "SELECT source AS id, string_agg(coalesce(lang, ''), ',' ORDER BY doc_id) AS generos FROM documents WHERE source <> '' GROUP BY source",
+    "rebuilt_index": f"{REBUILT} SELECT term, df FROM df",
+    "meta_map_titled": "SELECT page_id, 'author' AS name, CAST(page_id AS VARCHAR) AS content FROM pages UNION ALL SELECT page_id, 'og:id', md5(url) FROM pages",
+    "clean_text": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\t\n\x0b\f\r\x{85}\p{Z}]+', ' ', 'g'), '[^\p{L}\p{M}\p{Nd}\p{Pc} \-.,!?]', '', 'g')) AS clean_md5 FROM documents""",
     "genres_collect": "SELECT source AS id, string_agg(lang, ',' ORDER BY doc_id) AS generos FROM documents GROUP BY source",
     "tags_split": r"""SELECT doc_id, CAST(len(tags) AS BIGINT) AS n_tags, array_to_string(tags, '|') AS tags FROM (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_extract(text, '^[^.\n]*'), ','), lambda x: trim(x)), lambda x: x <> '') AS tags FROM documents)""",
