@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,11 @@ def merge(songs: DataFrame, crawled: DataFrame, order: list[str]) -> tuple[DataF
     rows = rows.withColumn("id", song_id(F.col("titulo"), F.col("artista")))
     usable = rows.where(~blank & (F.col("k_titulo") != "") & (F.col("k_artista") != ""))
     added, seen = counted(new_to(first_wins(usable, ["k_titulo", "k_artista"], order), songs), "added", added=F.count("*"))
-    n, skipped = (records.get.get(k, 0) for k in ("n", "skipped"))
+    try:
+        total = records.get
+    except Py4JJavaError:  # a plan that knows its input to be empty leaves it out, and what was to be observed of it
+        total = {"n": 0, "skipped": 0}
+    n, skipped = total["n"], total["skipped"]
     counts = [("agregada", seen["added"]), ("duplicada", n - skipped - seen["added"]), ("omitida", skipped)]
     return songs.unionByName(with_defaults(added)), songs.sparkSession.createDataFrame(counts, "status string, n long")
 
