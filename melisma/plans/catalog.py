@@ -11,7 +11,7 @@ from melisma.functions import text as T
 from melisma.functions import url
 from melisma.functions.similarity import similarity
 from melisma.functions.tables import STOPWORDS
-from melisma.operators import blockmax, dedupe, frontier, html, index, search, semantic, similar
+from melisma.operators import blockmax, dedupe, frontier, html, index, nearest, search, semantic, similar
 from melisma.sources import corpus, segments, store
 from melisma.sources.staging import shared_folder, spread
 from melisma.streaming import merging
@@ -309,10 +309,8 @@ def lsa_embed(spark, sf_dir):
 @query
 def embedding_cosine(spark, sf_dir):
     """Cosines of the stated vectors (ids divisible by 50) with all vectors."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", semantic.unit(F.col("embedding")).alias("v"))
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    found = rows.join(F.broadcast(asked)).select("query_id", "vec_id", F.round(semantic.dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return search.ranked(found.withColumnRenamed("vec_id", "doc_id"), 10)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).where("v IS NOT NULL")
+    return nearest.nearest(rows, rows.where("id % 50 = 0"), 10)
 
 
 def crawled(spark, sf_dir) -> DataFrame:

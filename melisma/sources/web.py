@@ -25,7 +25,7 @@ def hits(replies: DataFrame, most: int = 3) -> DataFrame:
 def found_songs(replies: DataFrame, pages: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, pos, titulo, artista, url, album, generos, tags, letra) of the hits; letra from the stored pages (url, html)."""
     rows = hits(replies, most)
-    stored = pages.select("url", "html").join(F.broadcast(rows.select("url").distinct()), "url", "left_semi").dropDuplicates(["url"])  # hits are few
+    stored = pages.select("url", "html").join(rows.select("url").distinct(), "url", "left_semi").dropDuplicates(["url"])
     rows = rows.join(stored, "url", "left").select("query_id", "pos", "titulo", "artista", "url", "album", "html")
     tags = F.array(F.lit("genius"), F.lit("web-scraping"))
     return with_lyrics(rows).select("*", F.array().cast("array<string>").alias("generos"), tags.alias("tags"))
