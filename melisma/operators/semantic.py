@@ -14,6 +14,8 @@ from melisma.sources.staging import stage
 
 # Features and components of the model.
 FEATURES, COMPONENTS = 5000, 128
+#: Columns of a block beyond the components asked for; rows of a block's sums that meet.
+SPARE, PART = 32, 256
 
 
 def ngrams(text: Column) -> Column:
@@ -81,55 +83,106 @@ class Model:
         return rows.select("doc_id", ngrams(F.col("text")).alias("ngrams")).mapInArrow(run, f"doc_id {kind}, vec array<double>")
 
 
-def packed(rows):
-    """Batches (i, row) of a matrix's rows from the diagonal on, as bytes."""
+def weighed(rows: DataFrame, idf: dict[str, float]) -> DataFrame:
+    """(at, x): the numbers and unit-length weights of each document's n-grams, rows (doc_id, text)."""
+    place, weights = {g: i for i, g in enumerate(idf)}, np.array(list(idf.values()))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            every = []
+            for found in batch.column("ngrams").to_pylist():
+                at, times = np.unique([place[g] for g in found if g in place], return_counts=True)
+                x = times * weights[at.astype(np.int64)]
+                every.append((at.astype(np.int32), x / (np.linalg.norm(x) or 1.0)))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in every], pa.list_(pa.int32())), pa.array([x for _, x in every], pa.list_(pa.float64()))], names=["at", "x"])
+
+    return rows.select(ngrams(F.col("text")).alias("ngrams")).mapInArrow(run, "at array<int>, x array<double>")
+
+
+def gram_times(vectors: DataFrame, block: np.ndarray) -> np.ndarray:
+    """The Gram matrix of rows (at, x) times a block of columns; the matrix itself is made nowhere.
+
+    A task multiplies its rows, which are sparse, with the block and the result with its rows again. What leaves it is as large
+    as the block; sums meet by parts of the block, one row after another.
+    """
     import pyarrow as pa
 
-    for i, row in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row.tobytes()], pa.binary())], names=["i", "row"])
+    schema = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
+    shared, (width, columns) = vectors.sparkSession.sparkContext.broadcast(block), block.shape
+
+    def multiply(batches):
+        block, total = shared.value, np.zeros((width, columns))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                at, x = batch.column("at").slice(i, 128), batch.column("x").slice(i, 128)
+                sizes = np.diff(at.offsets.to_numpy())
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                at, x = at.flatten().to_numpy(), x.flatten().to_numpy()
+                if not len(at):
+                    continue
+                below = np.zeros((len(sizes), columns))
+                some = sizes > 0
+                below[some] = np.add.reduceat(x[:, None] * block[at], np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
+                order = np.argsort(at, kind="stable")
+                begins = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
+                total[at[order][begins]] += np.add.reduceat((x[:, None] * below[row])[order], begins)
+        yield pa.RecordBatch.from_pylist([{"part": i, "sums": total[i : i + PART].tobytes()} for i in range(0, width, PART)], schema)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, x in zip(batch.column("part").to_pylist(), batch.column("sums"), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(x.as_buffer())
+        yield pa.RecordBatch.from_pylist([{"part": k, "sums": v.tobytes()} for k, v in sums.items()], schema)
+
+    kind = "part int, sums binary"
+    out = np.zeros((width, columns))
+    for r in vectors.mapInArrow(multiply, kind).repartition("part").mapInArrow(add, kind).collect():
+        out[r["part"] : r["part"] + PART] = np.frombuffer(r["sums"]).reshape(-1, columns)
+    return out
+
+
+def leading(times, width: int, size: int, tolerance: float = 1e-8) -> np.ndarray:
+    """The eigenvectors of the `size` greatest eigenvalues of a symmetric matrix that is known by its product with a block (times).
+
+    A block Krylov space: each product adds the directions that it has beyond those so far, until the eigenvectors of the
+    matrix within the space are such of the whole matrix, or nothing is added.
+    """
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(width, min(width, size + SPARE))))[0]
+    space, images = block, np.zeros((width, 0))
+    while True:
+        images = np.hstack([images, times(block)])
+        values, inner = np.linalg.eigh(space.T @ images)
+        values, inner = values[::-1][:size], inner[:, ::-1][:, :size]
+        rest = images @ inner - (space @ inner) * values
+        if np.linalg.norm(rest, axis=0).max() <= tolerance * max(values[0], 1e-300) or space.shape[1] == width:
+            return space @ inner
+        block = images[:, -block.shape[1] :]
+        for _ in range(2):  # once more, for what rounding left
+            block = block - space @ (space.T @ block)
+        axes, sizes, _ = np.linalg.svd(block, full_matrices=False)
+        block = axes[:, sizes > 1e-12 * max(values[0], 1e-300)][:, : width - space.shape[1]]
+        if not block.shape[1]:
+            return space @ inner
+        block = np.linalg.qr(block - space @ (space.T @ block))[0]
+        space = np.hstack([space, block])
 
 
 def fit(songs: DataFrame, components: int = COMPONENTS, features: int = FEATURES) -> Model:
-    """The leading eigenvectors of the n-grams' Gram matrix, which is summed on the executors; features squared numbers reach the driver."""
+    """The leading eigenvectors of the n-grams' Gram matrix, by products of the documents' staged weights with blocks of columns."""
     rows = songs.select(F.col("id").alias("doc_id"), semantic_text().alias("text"))
     vocabulary = stage(top_ngrams(rows, features), "vocabulary")
     n = songs.count()
-    # once for each document, as the n-grams are found anyway for the matrix
     kept = rows.select("doc_id", F.explode(F.array_distinct(ngrams(F.col("text")))).alias("ngram")).join(F.broadcast(vocabulary.select("ngram")), "ngram")
     df = {r["ngram"]: r["df"] for r in kept.groupBy("ngram").agg(F.count("*").alias("df")).orderBy("ngram").collect()}
     idf = {g: float(np.log((1 + n) / (1 + d)) + 1) for g, d in df.items()}
     size = min(components, len(idf) - 1, n - 1)
     if size < 1:
         return Model(idf, None)
-    weights, width = np.array(list(idf.values())), len(idf)
-
-    def gram(batches):
-        place, total = {g: i for i, g in enumerate(idf)}, np.zeros((width, width))
-        for batch in batches:
-            for words in batch.column("ngrams"):
-                at = [place[g] for g in words.as_py() if g in place]
-                if at:
-                    at, times = np.unique(at, return_counts=True)
-                    x = times * weights[at]
-                    x /= np.linalg.norm(x)
-                    total[np.ix_(at, at)] += np.outer(x, x)
-        yield from packed((i, total[i, i:]) for i in range(width))
-
-    def add(batches):
-        sums = {}
-        for batch in batches:
-            for i, row in zip(batch.column("i").to_pylist(), batch.column("row"), strict=True):
-                part = np.frombuffer(row.as_buffer(), dtype=np.float64)
-                sums[i] = sums[i] + part if i in sums else part.copy()
-        yield from packed(sums.items())
-
-    # a partial matrix for each core, not for each file: its size does not depend on the input
-    words = rows.coalesce(max(songs.sparkSession.sparkContext.defaultParallelism, 1)).select(ngrams(F.col("text")).alias("ngrams"))
-    matrix = np.zeros((width, width))
-    for r in words.mapInArrow(gram, "i int, row binary").repartition("i").mapInArrow(add, "i int, row binary").toLocalIterator():
-        matrix[r["i"], r["i"] :] = matrix[r["i"] :, r["i"]] = np.frombuffer(r["row"], dtype=np.float64)
-    values, axes = np.linalg.eigh(matrix)
-    return Model(idf, axes[:, np.argsort(-values)[:size]])
+    vectors = stage(weighed(rows, idf), "weights")
+    return Model(idf, leading(lambda block: gram_times(vectors, block), len(idf), size))
 
 
 def dot(a: Column, b: Column) -> Column:
