@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melisma.llm import byte_bpe, fm_index, pii, quality_rules, shingles
-from melisma.llm.staging import NO_ID, fresh, stage
+from melisma.llm import byte_bpe, fm_index, pii, quality_rules, shingles, simhash
+from melisma.llm.staging import NO_ID, fresh, keyed, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.only(quality_rules.assess(docs, rules), F.col("kept")).select("row.*")
 
 
+def prints(docs: DataFrame) -> DataFrame:
+    """(th, group) of the texts of docs by op4: groups of chains of 4-word fingerprints within 4 bits of each other, found in vantage-point trees."""
+    rows = simhash.fingerprints(keyed(docs, "doc_id", "text"), 4, "th", "text")  # the hash of a text takes the place of its id
+    rows = stage(rows.select(F.col("doc_id").alias("th"), "fp").distinct(), "fingerprints")
+    roots = simhash.rooted(stage(rows.select("fp").distinct(), "classes"), 4)
+    return rows.join(roots, "fp").select("th", F.col("root").alias("group"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similarity 0.8 or more one row stays: of least doc_id (null: last), then of least text hash."""
-    found = shingles.near_duplicates(docs)
+    """Of each group of documents linked by similarity 0.8 or more one row stays: of least doc_id (null: last), then of least text hash.
+
+    op4's groups are compared by their exact sets, together with what MinHash proposes beyond the 4 bits of a fingerprint.
+    """
+    found = shingles.near_duplicates(docs, proposed=prints(docs))
     first = found.groupBy("component").agg(F.min(F.struct((F.col("did") == NO_ID).alias("no_id"), "did", "th")).alias("at")).select("at.did", "at.th")
     did, th = fresh(docs, "did"), fresh(docs, "th")
     rows = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), th: F.xxhash64(F.coalesce("text", F.lit("")))})

@@ -127,20 +127,28 @@ def confirm(width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alike(classes: DataFrame, key: str) -> DataFrame:
+    """Edges (u, v) that connect the classes of each key: every other class with the least. classes: (class, key)."""
+    least = classes.groupBy(key).agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").select(key, "least")
+    return classes.join(least, key).where("class <> least").select(F.col("class").alias("u"), F.col("least").alias("v"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", proposed: DataFrame | None = None) -> DataFrame:
     """did, th (see staging.keyed), component: one row per row of docs; component is the same for all that any chain of links joins.
 
     Two rows are linked if the Jaccard similarity of their sets of `shingle` words is SIMILAR or more; words are split
     at white space and A-Z count as a-z. Texts without words (null or empty) are linked with each other only; a text
     under `shingle` words is one shingle. Ids do not matter, null or repeated. Other columns are not read.
+    proposed: (th, group), texts that another method takes for near copies of each other; they are candidates too.
     """
     rows = keyed(docs, id_col, text_col).drop("doc_id")
     sketched = stage(rows.mapInArrow(sketch(shingle), "did long, th long, class long, bands array<long>"), "sketches")
     classes = sketched.dropDuplicates(["class"]).select("class", F.explode("bands").alias("key"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = classes.repartition(parts, "key")
-    least = met.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    edges = met.join(least, "key").where("class <> least").select(F.col("class").alias("u"), F.col("least").alias("v"))
+    edges = alike(met, "key")
+    if proposed is not None:
+        edges = edges.unionByName(alike(sketched.select("th", "class").distinct().join(proposed, "th").select("class", "group").distinct(), "group"))
     groups = components(edges).select(F.col("node").alias("class"), F.col("root").alias("group"))
     one = sketched.groupBy("class").agg(F.min(F.struct("did", "th")).alias("at")).join(groups, "class").select("at.did", "at.th", "class", "group")
     texts = rows.alias("l").join(one.alias("r"), same_row()).select("group", "class", "text")

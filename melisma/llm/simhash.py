@@ -286,6 +286,12 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     return met.mapInArrow(shard_links(radius), "u long, v long")
 
 
+def rooted(classes: DataFrame, radius: int) -> DataFrame:
+    """classes (fp, ...; staged, fp distinct) with root, which is the same for all fingerprints that any chain of links joins."""
+    roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: one row per row of docs; component_id is the least doc_id linked by any chain.
 
@@ -296,8 +302,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col:
     """
     rows = stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = rooted(classes, radius)
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")

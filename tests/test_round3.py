@@ -22,3 +22,27 @@ def test_scraped_titles_with_other_references(spark, tmp_path):
     want = dict(by_sql(tmp_path, "scraped_titles"))
     assert got == want and want[0] == 'a &quot;b&quot; c' and want[2] == 'h &lt; <i> &copy &#33; & y'
     assert html.extract(rows[0][2], "")["titulo"] == 'a "b" c'  # the operator itself resolves all references
+
+
+def test_pipeline_proposes_by_fingerprints(spark, monkeypatch):
+    """Copies that only op4's trees propose are compared: MinHash gives no candidates here."""
+    import corpus_pipeline
+    import pyarrow as pa
+    from melisma.llm import shingles, simhash
+
+    sketch = shingles.sketch
+
+    def without_bands(width):
+        def run(batches, inner=sketch(width)):
+            for b in inner(batches):
+                none = pa.array([[]] * b.num_rows, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], none], names=b.schema.names)
+
+        return run
+
+    monkeypatch.setattr(shingles, "sketch", without_bands)
+    texts = [" ".join([f"t{n}w{i}" for i in range(400)] + end) for n in range(10) for end in ([], ["one"])]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0].upper(), None, ""])), "doc_id long, text string")
+    near = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle=4, radius=4).collect()}
+    assert sum(k != v for k, v in near.items()) >= 10
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(near.values())
