@@ -46,3 +46,24 @@ def test_pipeline_proposes_by_fingerprints(spark, monkeypatch):
     near = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle=4, radius=4).collect()}
     assert sum(k != v for k, v in near.items()) >= 10
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(near.values())
+
+
+def test_features_by_codes(spark):
+    """Numbers and products of features equal those of their texts."""
+    import numpy as np
+    from melisma.operators import semantic
+    from pyspark.sql import functions as F
+
+    texts = ["one two one two Ünder_score", None, "x two, one! two one", "", "none of these", "one", "ünder_score one two three"] * 40
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    features = ["one", "two", "one two", "two one", "ünder_score", "ünder_score one", "three four"]
+    found = semantic.counted(rows, features).cache()
+    plain = [[features.index(g) for g in r["g"] if g in features] for r in rows.select(semantic.ngrams(F.col("text")).alias("g")).collect()]
+    want = [sorted((i, g.count(i)) for i in set(g)) for g in plain]
+    assert sorted(list(zip(r["at"], r["n"])) for r in found.collect()) == sorted(want)
+    idf = np.arange(1.0, 8.0)
+    x = np.array([[dict(w).get(i, 0) for i in range(7)] for w in want]) * idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    block = np.random.default_rng(1).normal(size=(7, 3))
+    assert np.allclose(semantic.gram_times(found, idf, block), x.T @ x @ block, atol=1e-12)
+    assert semantic.counted(rows, []).count() == len(texts)
