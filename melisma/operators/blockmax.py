@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from .search import ranked, term_part, weighed
 BLOCK = 64
 #: Rounding of scores that ties are made by.
 TIE = 1e-5
+#: Queries that one pass over the documents takes; documents, and terms of queries, that are multiplied at a time.
+PASS, ROWS, TERMS = 16_384, 256, 8192
 
 
 @dataclass(frozen=True)
@@ -78,3 +81,76 @@ def top(found: Blocks, queries: DataFrame, most: int, digits: int = 6) -> Top:
     every = early.unionByName(scored(found, wanted, late))
     rows = ranked(every.select("query_id", "doc_id", F.round("bm25", digits).alias("score")), most)
     return Top(rows, first.unionByName(late), bounds)
+
+
+class Asked:
+    """A pass of queries: their numbers, and the terms of each, by query, as codes with an idf."""
+
+    def __init__(self, rows: list, most: int) -> None:
+        self.ids = np.array(sorted({r["query_id"] for r in rows}), dtype=np.int64)
+        self.terms = {t: k for k, t in enumerate(sorted({r["term"] for r in rows}))}
+        found = sorted((r["query_id"], self.terms[r["term"]], r["idf"]) for r in rows)
+        self.code, self.idf, self.most = np.array([c for _, c, _ in found]), np.array([x for _, _, x in found]), most
+        self.begins = np.flatnonzero(np.concatenate([[True], np.diff([q for q, _, _ in found]) != 0]))
+
+    def __call__(self, batches):
+        """(query_id, doc_id, bm25) of a task's documents that can be among the best of a query, rows (doc_id, found: lists of code and part)."""
+        import pyarrow as pa
+
+        least = np.zeros(len(self.ids))  # of the best of each query so far; documents without its terms have 0
+        best = np.zeros((len(self.ids), self.most))
+        ends = np.append(self.begins, len(self.code))
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(i, ROWS)
+                lists = batch.column("found")
+                row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                code, part = (lists.flatten().field(k).to_numpy() for k in ("code", "part"))
+                parts = np.zeros((len(self.terms), batch.num_rows))
+                parts[code, row] = part
+                out, first = [], 0
+                while first < len(self.ids):  # some queries at a time
+                    last = max(int(np.searchsorted(ends, ends[first] + TERMS, side="right")) - 1, first + 1)
+                    own = slice(ends[first], ends[last])
+                    score = np.add.reduceat(parts[self.code[own]] * self.idf[own, None], self.begins[first:last] - ends[first])
+                    q, d = np.nonzero((score > 0) & (score >= least[first:last, None] - TIE))
+                    out.append((q + first, d, score[q, d]))
+                    for k in np.unique(q).tolist():
+                        best[first + k] = np.sort(np.concatenate([best[first + k], score[k]]))[-self.most :]
+                    least[first:last] = best[first:last, 0]
+                    first = last
+                q, d, score = (np.concatenate(x) for x in zip(*out, strict=True))
+                kept = score >= least[q] - TIE
+                yield pa.RecordBatch.from_arrays([pa.array(self.ids[q[kept]]), batch.column("doc_id").take(pa.array(d[kept])), pa.array(score[kept])], names=["query_id", "doc_id", "bm25"])
+
+
+def best(index: Index, queries: DataFrame, most: int, digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best documents of each query (query_id, q) by BM25, rounded; ties by doc_id. Equal to ranking all scores.
+
+    The score of a query in a document stays in the task that has the document, unless it can be among the best: no pair of them is
+    shuffled. Queries are taken in passes of a bounded number, idf are positive.
+    """
+    kind, spark = queries.schema["query_id"].dataType.simpleString(), queries.sparkSession
+    wanted = stage(weighed(index, queries).orderBy("query_id"), "weighed")
+    rows = index.search.join(F.broadcast(average_length(index.docs))).select("doc_id", "term", term_part().alias("part"))
+    found = None
+
+    def run(held: list) -> DataFrame:
+        asked = Asked(held, most)
+        coded = spark.createDataFrame(list(asked.terms.items()), "term string, code int")
+        listed = rows.join(coded, "term").groupBy("doc_id").agg(F.collect_list(F.struct("code", "part")).alias("found"))
+        return stage(listed.mapInArrow(asked.__call__, "query_id long, doc_id string, bm25 double"), "best")
+
+    held, seen = [], set()
+    for r in wanted.toLocalIterator():  # in the order of the queries
+        if r["query_id"] not in seen and len(seen) == PASS:
+            part = run(held)
+            found, held, seen = part if found is None else found.unionByName(part), [], set()
+        held.append(r)
+        seen.add(r["query_id"])
+    if held:
+        part = run(held)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, doc_id string, bm25 double")
+    return ranked(found.select(F.col("query_id").cast(kind).alias("query_id"), "doc_id", F.round("bm25", digits).alias("score")), most)

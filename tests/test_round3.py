@@ -67,3 +67,21 @@ def test_features_by_codes(spark):
     block = np.random.default_rng(1).normal(size=(7, 3))
     assert np.allclose(semantic.gram_times(found, idf, block), x.T @ x @ block, atol=1e-12)
     assert semantic.counted(rows, []).count() == len(texts)
+
+
+def test_best_by_task_equals_ranking_all_scores(spark, monkeypatch):
+    """Also over several passes of queries, with ties, and without pairs of query and document in a shuffle."""
+    from melisma.operators import blockmax, index, search
+    from melisma.sources import corpus
+
+    rows = [(i, " ".join("k" + "abcdefghijklmnopq"[(i * k) % 17] + "t" for k in range(1, 6 + i % 5)) + ". x", "src", "en") for i in range(300)]
+    songs = corpus.from_documents(spark.createDataFrame([*rows, (300, rows[0][1], "src", "en")], "doc_id long, text string, source string, lang string")).repartition(3)
+    found, asked = index.build(songs), search.query_table(spark, ["kbt kct kdt", "ket", "nothing here", "kqt kct", "kft kft kgt"])
+    monkeypatch.setattr(blockmax, "PASS", 2)
+    from pyspark.sql import functions as F
+
+    for most in (7,):
+        want = search.ranked(search.bm25(found, asked).select("query_id", "doc_id", F.round("bm25", 6).alias("score")), most)
+        got = blockmax.best(found, asked, most)
+        assert got.schema.names == want.schema.names and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 2
+    assert blockmax.best(found, asked.limit(0), 3).count() == 0
