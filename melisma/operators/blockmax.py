@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from melisma.sources.staging import stage
 
 from .index import Index, average_length
-from .search import ranked, term_part, weighed
+from .passes import Codes, Sums, parts, passed, whole_queries
+from .search import B, K1, ranked, term_part, weighed
 
 #: Documents of a block; a power of two, so that no block spans two partitions.
 BLOCK = 64
 #: Rounding of scores that ties are made by.
 TIE = 1e-5
-#: Queries that one pass over the documents takes; documents, and terms of queries, that are multiplied at a time.
-PASS, ROWS, TERMS = 16_384, 256, 8192
+#: Queries that one pass over the documents takes; blocks whose bounds are made at a time.
+PASS, BLOCKS = 16_384, 32
 
 
 @dataclass(frozen=True)
@@ -84,73 +85,84 @@ def top(found: Blocks, queries: DataFrame, most: int, digits: int = 6) -> Top:
 
 
 class Asked:
-    """A pass of queries: their numbers, and the terms of each, by query, as codes with an idf."""
+    """A pass of queries (query_id, terms), and the best documents of each among those of a task."""
 
-    def __init__(self, rows: list, most: int) -> None:
-        self.ids = np.array(sorted({r["query_id"] for r in rows}), dtype=np.int64)
-        self.terms = {t: k for k, t in enumerate(sorted({r["term"] for r in rows}))}
-        found = sorted((r["query_id"], self.terms[r["term"]], r["idf"]) for r in rows)
-        self.code, self.idf, self.most = np.array([c for _, c, _ in found]), np.array([x for _, _, x in found]), most
-        self.begins = np.flatnonzero(np.concatenate([[True], np.diff([q for q, _, _ in found]) != 0]))
+    def __init__(self, rows: list, most: int, average: float) -> None:
+        self.ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+        self.terms = Codes({x["term"] for r in rows for x in r["terms"]})
+        self.sums = Sums([[(self.terms.code[x["term"]], x["idf"]) for x in r["terms"]] for r in rows])
+        self.most, self.average, self.opened = most, average, 0
 
     def __call__(self, batches):
-        """(query_id, doc_id, bm25) of a task's documents that can be among the best of a query, rows (doc_id, found: lists of code and part)."""
+        """(query_id, doc_id, bm25) of a task's documents (doc_id, doc_len, terms) that can be among the best of a query.
+
+        Documents of like length are a block. A block is scored for the queries only whose bound in it, by the greatest part of
+        each term, reaches the best so far.
+        """
         import pyarrow as pa
 
-        least = np.zeros(len(self.ids))  # of the best of each query so far; documents without its terms have 0
-        best = np.zeros((len(self.ids), self.most))
-        ends = np.append(self.begins, len(self.code))
-        for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(i, ROWS)
-                lists = batch.column("found")
-                row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-                code, part = (lists.flatten().field(k).to_numpy() for k in ("code", "part"))
-                parts = np.zeros((len(self.terms), batch.num_rows))
-                parts[code, row] = part
-                out, first = [], 0
-                while first < len(self.ids):  # some queries at a time
-                    last = max(int(np.searchsorted(ends, ends[first] + TERMS, side="right")) - 1, first + 1)
-                    own = slice(ends[first], ends[last])
-                    score = np.add.reduceat(parts[self.code[own]] * self.idf[own, None], self.begins[first:last] - ends[first])
-                    q, d = np.nonzero((score > 0) & (score >= least[first:last, None] - TIE))
-                    out.append((q + first, d, score[q, d]))
-                    for k in np.unique(q).tolist():
-                        best[first + k] = np.sort(np.concatenate([best[first + k], score[k]]))[-self.most :]
-                    least[first:last] = best[first:last, 0]
-                    first = last
-                q, d, score = (np.concatenate(x) for x in zip(*out, strict=True))
-                kept = score >= least[q] - TIE
-                yield pa.RecordBatch.from_arrays([pa.array(self.ids[q[kept]]), batch.column("doc_id").take(pa.array(d[kept])), pa.array(score[kept])], names=["query_id", "doc_id", "bm25"])
+        best = np.zeros((len(self.ids), self.most))  # the first of each is the least; documents without its terms have 0
+        values = np.zeros((len(self.terms), BLOCK))
+        kept = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object), np.zeros(0)
+        for batch in batches:
+            row, code, part = parts(self.terms, batch, self.average, K1, B)
+            place = np.empty(batch.num_rows, dtype=np.int64)
+            by_length = np.argsort(batch.column("doc_len").to_numpy(), kind="stable")
+            place[by_length] = np.arange(batch.num_rows)
+            order = np.argsort(place[row], kind="stable")
+            row, code, part = place[row][order], code[order], part[order]
+            found = []
+            for begin in range(0, batch.num_rows, BLOCK * BLOCKS):
+                cuts = np.searchsorted(row, np.arange(begin, min(begin + BLOCK * BLOCKS, batch.num_rows) + BLOCK, BLOCK))
+                greatest = np.zeros((len(self.terms), len(cuts) - 1))
+                own = slice(cuts[0], cuts[-1])
+                np.maximum.at(greatest, (code[own], (row[own] - begin) // BLOCK), part[own])
+                bound = np.concatenate([x for _, x in self.sums(greatest)])
+                for k in range(len(cuts) - 1):
+                    own = slice(cuts[k], cuts[k + 1])
+                    asked = np.flatnonzero((bound[:, k] > 0) & (bound[:, k] >= best[:, 0] - TIE))
+                    self.opened += len(asked)
+                    values[code[own], row[own] - begin - k * BLOCK] = part[own]
+                    for q, score in self.sums(values, asked):
+                        i, d = np.nonzero((score > 0) & (score >= best[q, :1] - TIE))
+                        found.append((q[i], by_length[np.minimum(begin + k * BLOCK + d, batch.num_rows - 1)], score[i, d]))
+                        i = np.unique(i)
+                        best[q[i]] = np.partition(np.hstack([best[q[i]], score[i]]), -self.most, axis=1)[:, -self.most :]
+                    values[code[own]] = 0
+            if found:
+                q, d, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                some = score >= best[q, 0] - TIE
+                doc = np.array(batch.column("doc_id").take(pa.array(d[some])).to_pylist(), dtype=object)
+                kept = self.reaching(*(np.concatenate(x) for x in zip(kept, (q[some], doc, score[some]), strict=True)), best[:, 0])
+        for i in range(0, len(kept[0]), 65_536):
+            q, doc, score = (x[i : i + 65_536] for x in kept)
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(doc, pa.string()), pa.array(score)], names=["query_id", "doc_id", "bm25"])
+
+    def reaching(self, q: np.ndarray, doc: np.ndarray, score: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What can be among the best: scores that reach the least of them, and of equal scores of a query the first documents only."""
+        some = score >= least[q] - TIE
+        q, doc, score = q[some], doc[some], score[some]
+        names, number = np.unique(doc, return_inverse=True)
+        order = np.lexsort((number, -score, q))
+        q, number, score = q[order], number[order], score[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(q), 1), dtype=bool), (np.diff(q) != 0) | (np.diff(score) != 0)]))
+        nth = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        some = nth < self.most
+        return q[some], names[number[some]], score[some]
 
 
 def best(index: Index, queries: DataFrame, most: int, digits: int = 6) -> DataFrame:
     """(query_id, doc_id, score, rank): the best documents of each query (query_id, q) by BM25, rounded; ties by doc_id. Equal to ranking all scores.
 
-    The score of a query in a document stays in the task that has the document, unless it can be among the best: no pair of them is
-    shuffled. Queries are taken in passes of a bounded number, idf are positive.
+    Blocks, their bounds and the scores of queries in documents stay in the task that has the documents: a task hands on what can be
+    among the best of its own, and no posting and no pair of query and block is shuffled. Queries come in passes of a bounded number; idf are positive.
     """
     kind, spark = queries.schema["query_id"].dataType.simpleString(), queries.sparkSession
-    wanted = stage(weighed(index, queries).orderBy("query_id"), "weighed")
-    rows = index.search.join(F.broadcast(average_length(index.docs))).select("doc_id", "term", term_part().alias("part"))
-    found = None
-
-    def run(held: list) -> DataFrame:
-        asked = Asked(held, most)
-        coded = spark.createDataFrame(list(asked.terms.items()), "term string, code int")
-        listed = rows.join(coded, "term").groupBy("doc_id").agg(F.collect_list(F.struct("code", "part")).alias("found"))
-        return stage(listed.mapInArrow(asked.__call__, "query_id long, doc_id string, bm25 double"), "best")
-
-    held, seen = [], set()
-    for r in wanted.toLocalIterator():  # in the order of the queries
-        if r["query_id"] not in seen and len(seen) == PASS:
-            part = run(held)
-            found, held, seen = part if found is None else found.unionByName(part), [], set()
-        held.append(r)
-        seen.add(r["query_id"])
-    if held:
-        part = run(held)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, doc_id string, bm25 double")
+    queries = stage(queries, "asked")
+    asked = whole_queries(queries, weighed(index, queries)).where("size(terms) > 0")
+    average = average_length(index.docs).first()["avg_len"]
+    rows = index.by_document().select("doc_id", "doc_len", "terms").coalesce(spark.sparkContext.defaultParallelism)  # more tasks than cores would only hand on more
+    pairs = "query_id long, doc_id string, bm25 double"
+    found = passed(asked, lambda held: stage(rows.mapInArrow(Asked(held, most, average).__call__, pairs), "best"), PASS)
+    found = spark.createDataFrame([], pairs) if found is None else found
     return ranked(found.select(F.col("query_id").cast(kind).alias("query_id"), "doc_id", F.round("bm25", digits).alias("score")), most)

@@ -115,3 +115,16 @@ def test_blocks_bound_their_documents(spark, songs):
     assert sum(len(r["entries"]) for r in rows) == found.index.search.count()
     empty = index.build(songs.limit(0))
     assert blockmax.top(blockmax.blocks(empty), search.query_table(spark, ["road"]), 5).rows.count() == 0
+
+
+def test_best_in_blocks_hands_on_few_rows(spark):
+    """Copies tie for every query: a task hands on as many of them as results are asked for, and scores few blocks."""
+    import pyarrow as pa
+
+    texts = [[("a", 2), ("b", 1)]] * 3000 + [[("a", 1 + i % 5), ("c", 1)] for i in range(3000)]
+    rows = [{"doc_id": f"d{i % 6000:04}", "doc_len": 3 if i < 3000 else 20 + i % 300, "terms": [{"term": t, "tf": n} for t, n in x]} for i, x in enumerate(texts)]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.string()), ("doc_len", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))]))
+    asked = blockmax.Asked([{"query_id": q, "terms": [{"term": "a", "idf": 0.5 + q}, {"term": "b", "idf": 1.0}]} for q in range(20)], 10, 50.0)
+    got = [r for b in asked([batch.slice(0, 2500), batch.slice(2500)]) for r in b.to_pylist()]
+    assert sorted((r["query_id"], r["doc_id"]) for r in got) == [(q, f"d{i:04}") for q in range(20) for i in range(10)]
+    assert asked.opened < 0.6 * 20 * 95
