@@ -128,3 +128,17 @@ def test_best_in_blocks_hands_on_few_rows(spark):
     got = [r for b in asked([batch.slice(0, 2500), batch.slice(2500)]) for r in b.to_pylist()]
     assert sorted((r["query_id"], r["doc_id"]) for r in got) == [(q, f"d{i:04}") for q in range(20) for i in range(10)]
     assert asked.opened < 0.6 * 20 * 95
+
+
+def test_pairs_that_leave_the_task(spark, songs, monkeypatch):
+    """Without similarity and meaning, only pairs of the least score; the same over several passes."""
+    built, table = index.build(songs), search.query_table(spark, ASKED)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id").collect()))
+    found = rows(search.search(built, table, 8.0, with_similarity=False))
+    assert found and rows(search.candidates(built, table, 8.0, False)) == found
+    features = {(r["query_id"], r["doc_id"]): r for r in search.surface(songs, [(r["query_id"], r["q"]) for r in table.collect()]).collect()}
+    monkeypatch.setattr(search, "MOST_QUERIES", 3)
+    every = search.candidates(index.Index(built.songs, built.docs, built.postings, built.search), table, 0.0, False).collect()  # lists made from the postings
+    assert len(every) == len(features)
+    names = ("title_words", "artist_words", "in_title", "in_artist", "is_artist", "starts")
+    assert all(tuple(r[k] for k in names) == tuple(features[r["query_id"], r["doc_id"]][k] for k in names) for r in every)
