@@ -85,3 +85,27 @@ def test_best_by_task_equals_ranking_all_scores(spark, monkeypatch):
         got = blockmax.best(found, asked, most)
         assert got.schema.names == want.schema.names and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 2
     assert blockmax.best(found, asked.limit(0), 3).count() == 0
+
+
+def test_top_ngrams_counts_few_pairs(spark, monkeypatch):
+    """Equal to counting all n-grams, with ties at the end, and pairs handed on in parts; pairs of rare words are not counted."""
+    import random
+    from collections import Counter
+
+    from melisma.operators import semantic
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)], [1 / (i + 1) for i in range(60)], k=40)) for _ in range(200)] + [None, "", "w0 w1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter()
+    for t in texts:
+        w = (t or "").split()
+        counts.update(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+    monkeypatch.setattr(semantic, "MOST_PAIRS", 100)
+    seen, pair_totals = [], semantic.pair_totals
+    monkeypatch.setattr(semantic, "pair_totals", lambda rows, words: seen.append(len(words)) or pair_totals(rows, words))
+    for k in (1, 7, 30):
+        want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:k]
+        assert [tuple(r) for r in semantic.top_ngrams(rows, k).collect()] == want
+    assert len(seen) == 3 and max(seen) < 40
+    assert len(semantic.top_ngrams(rows, 10_000).collect()) == len(counts)
